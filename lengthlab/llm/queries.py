@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lengthlab.llm import token_counts
+from lengthlab.llm import simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
