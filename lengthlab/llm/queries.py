@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lengthlab.llm import simhash, token_counts
+from lengthlab.llm import quality, simhash, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality": quality.op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_quality": quality.oracle_sql(),
+}
