@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lengthlab.llm import bpe, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from lengthlab.llm import bpe, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
     "op8_simhash": simhash.op8_simhash,
