@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lengthlab.llm import bpe, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from lengthlab.llm import bpe, licenses, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLES: dict[str, str] = {
