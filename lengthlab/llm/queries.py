@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lengthlab.llm import bpe, licenses, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from lengthlab.llm import bpe, licenses, multi_index, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_multi_index": multi_index.op2_multi_index,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_packing": packing.op5_packing,
