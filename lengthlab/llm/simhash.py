@@ -87,12 +87,10 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
 def codewords() -> np.ndarray:
     """For each 13-bit word (the top bits of a 23-bit word) its codeword indices, -1 where there are fewer than 6."""
     errors = np.array([sum(1 << b for b in bits) for n in range(5) for bits in combinations(range(23), n)])
-    weight = np.bitwise_count(errors)
     by_syndrome: dict[int, list[int]] = {}
     for error, of in zip(errors.tolist(), _syndrome(errors).tolist()):
         by_syndrome.setdefault(of, []).append(error)
     table = np.full((1 << 13, 6), -1, np.int64)
-    del weight
     words = np.arange(1 << 13, dtype=np.int64) << 10
     for word, syndrome in enumerate(_syndrome(words).tolist()):
         near = by_syndrome[syndrome][: 1 if word.bit_count() % 2 == 0 else None]
@@ -141,7 +139,8 @@ def _apart(a: str | Column, b: str | Column) -> Column:
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """(fp, component) for each distinct fingerprint in `fps`; component is a fingerprint of its group."""
     distinct = materialise(fps.select("fp").distinct(), "distinct")
-    keyed = _keyed(distinct.withColumn("component", F.col("fp")))
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes about sixty
+    keyed = _keyed(distinct.repartition(parts).withColumn("component", F.col("fp")))
     order = Window.partitionBy("key").orderBy("fp")
     near = keyed.select("fp", F.lag("fp").over(order).alias("before"), F.first("fp").over(order).alias("first"))
     near = near.where("before is not null").select("fp", F.explode(F.array("before", "first")).alias("other"))
@@ -151,10 +150,12 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
         distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "first"
     )
 
-    keyed = _keyed(first)
-    open_keys = keyed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_keys = materialise(open_keys.where("least <> most").select("key"), "open_keys")
-    members = materialise(keyed.join(open_keys, "key", "left_semi"), "members")
+    # One exchange by key serves both the test for open keys and the comparison under them.
+    under = Window.partitionBy("key")
+    keyed = _keyed(first.repartition(parts)).select(
+        "key", "fp", "component", F.min("component").over(under).alias("least"), F.max("component").over(under).alias("most")
+    )
+    members = materialise(keyed.where("least <> most").select("key", "fp", "component"), "members")
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     minor = members.join(largest, "key").where("component <> largest")
