@@ -79,3 +79,21 @@ def test_odd_rows(spark):
     assert out[(3, "0" * 16)] == 3 and out[(None, "0" * 16)] == 3
     assert len({c for (i, _), c in out.items() if i in (1, 2)}) == 1
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_one_near_copy_and_all_clean_texts(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda: [f"w{rng.integers(0, 10**6)}" for _ in range(300)]
+    base = [fresh() for _ in range(20)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(base)]
+    for i in range(5):  # copies, and near copies that differ in one word
+        rows.append((100 + i, rows[i][1]))
+        words = list(base[i])
+        words[150] = "changed"
+        rows.append((200 + i, " ".join(words)))
+    rows += [(None, rows[7][1]), (7, rows[7][1])]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, rid string")
+    left = simhash.one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted(r.doc_id for r in left.collect()) == list(range(20))
+    assert simhash.one_of_each(df.limit(0)).count() == 0
