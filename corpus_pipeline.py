@@ -1,17 +1,66 @@
-"""The corpus pipeline: quality rules, near-dedup, repeated passages, personal data, packing."""
+"""The corpus pipeline: quality rules, near-dedup, repeated passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. The driver of a
+run writes each stage's result as Parquet and reads it back; `run` does the same in the shared scratch folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lengthlab.llm import packing, pii, quality, simhash, suffix_dedup
+from lengthlab.llm.common import materialise
+
+#: The columns of documents, which all stages but the last return.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where a stage has changed it."""
+    return docs.selectExpr(*[f"cast(length(text) as bigint) as {c}" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules or diverge from their language go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes or more that also stand earlier are cut out."""
+    return _measured(suffix_dedup.without_repeats(docs))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and revealing terms are replaced by their kind."""
+    return _measured(pii.sanitised(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("repeated passages", repeated_passages),
+    ("personal data", personal_data),
+    ("packing", pack),
+]
 
-#: The stages hash, decode and pack; SQL cannot express them.
+#: The stages hash, sort suffixes and encode; SQL cannot express them.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = materialise(docs, name.replace(" ", "_"))
     return docs
