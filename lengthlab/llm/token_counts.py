@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lengthlab.llm import vocab
-from lengthlab.llm.common import read, text_or_empty
+from lengthlab.llm.common import materialise, read, text_or_empty
 
 #: Lengths of one block of the two-level sums.
 BLOCK = 256
@@ -40,7 +40,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     Columns: n_tokens, n_docs, n_tokens_here, docs_le, tokens_le, docs_gt, tokens_gt, total_docs,
     total_tokens, truncated_tokens (tokens left when each document is cut at n_tokens).
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # Both levels read these counts; written once, the texts are encoded once.
+    counts = materialise(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     counts = counts.withColumn("n_tokens_here", F.col("n_tokens") * F.col("n_docs"))
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = counts.groupBy("block").agg(
