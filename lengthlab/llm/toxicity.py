@@ -22,7 +22,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lengthlab.llm.common import read, slices, text_or_empty
+from lengthlab.llm.common import materialise, read, slices, text_or_empty
 
 #: Sample bounds and model settings; all are parameters of `train`.
 MAX_POSITIVES = 4_000
@@ -55,15 +54,19 @@ def features_of(text: str) -> set[str]:
     return words
 
 
-def once(texts: list[set[str]]) -> list[set[str]]:
-    """Without near copies: texts that agree in a pair of their four least word hashes with an earlier text."""
+def signature(features: set[str]) -> list[int]:
+    """The four least hashes of the longer words; near copies share most of them."""
+    return heapq.nsmallest(4, (zlib.crc32(w.encode()) for w in features if w[-1] != "-" and len(w) > 6))
+
+
+def once(signatures: list[tuple[int, list[int]]]) -> list[int]:
+    """The ids whose signature has no pair of hashes in common with an earlier one."""
     seen: set[tuple[int, int]] = set()
     kept = []
-    for words in texts:
-        least = heapq.nsmallest(4, (zlib.crc32(w.encode()) for w in words if w[-1] != "-" and len(w) > 6))
-        pairs = {(a, b) for i, a in enumerate(least) for b in least[i + 1 :]}
+    for i, least in signatures:
+        pairs = {(a, b) for k, a in enumerate(least) for b in least[k + 1 :]}
         if not pairs & seen:
-            kept.append(words)
+            kept.append(i)
         seen |= pairs
     return kept
 
@@ -80,47 +83,25 @@ class Model:
         return self.bias + sum([known[w] for w in features_of(text) if w in known])
 
 
-def _vocabulary(positives: list[set[str]], unlabelled: list[set[str]], most: int) -> list[str]:
-    """Features that positives hold significantly more often than unlabelled texts, most telling first."""
-    here = Counter(w for s in positives for w in s)
-    there = Counter(w for s in unlabelled for w in s if w in here)
-    n_p, n_u = len(positives), max(1, len(unlabelled))
-    scores = []
-    for word, n in here.items():
-        m = there[word]
-        p, u, both = n / n_p, (m + 0.5) / (n_u + 1), (n + m) / (n_p + n_u)
-        if n < MIN_POSITIVES or p <= u:
-            continue
-        fit = lambda k, size, q: k * np.log(q) + (size - k) * np.log1p(-q)
-        clip = lambda q: min(max(q, 1e-9), 1 - 1e-9)
-        ratio = 2 * (fit(n, n_p, clip(p)) + fit(m, n_u, clip(m / n_u)) - fit(n, n_p, clip(both)) - fit(m, n_u, clip(both)))
-        if ratio >= SIGNIFICANT:
-            scores.append((-p * np.log(p / u), word))
-    return [w for _, w in sorted(scores)[:most]]
-
-
-def _rows(texts: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [(i, index[w]) for i, s in enumerate(texts) for w in sorted(s) if w in index]
-    return (np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
-
-
 def train(
-    positives: list[set[str]],
-    unlabelled: list[set[str]],
+    words: list[str],
+    positives: list[list[int]],
+    unlabelled: list[list[int]],
     prior: float,
-    max_features: int = MAX_FEATURES,
     steps: int = 400,
     rate: float = 0.1,
     decay: float = 3e-5,
 ) -> Model:
-    """Full-batch Adam on the non-negative PU risk; the word sets are the whole training data."""
+    """Full-batch Adam on the non-negative PU risk. A text is the list of its features' places in `words`."""
     if not positives or not 0 < prior < 1:
         return Model()
-    positives, unlabelled = once(positives), once(unlabelled)
-    words = _vocabulary(positives, unlabelled, max_features)
-    index = {w: i for i, w in enumerate(words)}
-    p_row, p_col = _rows(positives, index)
-    u_row, u_col = _rows(unlabelled, index)
+
+    def flat(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = list(map(len, texts))
+        return np.repeat(np.arange(len(texts)), sizes), np.array([i for t in texts for i in t], np.int64)
+
+    p_row, p_col = flat(positives)
+    u_row, u_col = flat(unlabelled)
     n_p, n_u, k = len(positives), max(1, len(unlabelled)), len(words)
     theta = np.zeros(k + 1)
     theta[k] = np.log(prior / (1 - prior))
@@ -142,7 +123,7 @@ def train(
         gradient[:k] += decay * theta[:k]
         mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
         theta -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return Model(float(theta[k]), {w: float(theta[i]) for w, i in index.items()})
+    return Model(float(theta[k]), {w: float(theta[i]) for i, w in enumerate(words)})
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
@@ -160,6 +141,7 @@ def fit(
     prior: float | None = None,
     max_positives: int = MAX_POSITIVES,
     max_unlabelled: int = MAX_UNLABELLED,
+    max_features: int = MAX_FEATURES,
 ) -> Model:
     """Trains on bounded samples of the rows outside the held-out fold."""
     usable = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(label_col).isNotNull())
@@ -175,20 +157,59 @@ def fit(
     drawn = keyed.where(F.col("id").isNotNull() & ~held_out("id")).select("id")
     drawn = drawn.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(max_unlabelled)
     unlabelled = keyed.join(F.broadcast(drawn.distinct()), "id").select("text").limit(max_unlabelled)
-    return train(
-        [set(r.words) for r in _word_sets(positives).collect()],
-        [set(r.words) for r in _word_sets(unlabelled).collect()],
-        prior,
-    )
+    sample = _featured(positives, True).unionByName(_featured(unlabelled, False))
+    sample = materialise(sample.withColumn("sid", F.monotonically_increasing_id()), "sample")
+    # Bounded by the sample: four numbers per text, then the chosen features, then their places per text.
+    signatures = sample.where("positive").select("sid", "least").orderBy("sid").collect()
+    distinct = once([tuple(r) for r in signatures])
+    signatures = sample.where("not positive").select("sid", "least").orderBy("sid").collect()
+    distinct += once([tuple(r) for r in signatures])
+    ids = sample.sparkSession.createDataFrame([(i,) for i in distinct], "sid long")
+    sample = sample.join(F.broadcast(ids), "sid")
+    words = _significant(sample, max_features)
+    index = {w: i for i, w in enumerate(words)}
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[index[w] for w in text if w in index] for text in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], names=["positive", "at"]
+            )
+
+    rows = sample.select("positive", "features").mapInArrow(places, "positive boolean, at array<int>").collect()
+    return train(words, [r.at for r in rows if r.positive], [r.at for r in rows if not r.positive], prior)
 
 
-def _word_sets(texts: DataFrame) -> DataFrame:
+def _featured(texts: DataFrame, positive: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(features_of(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["words"])
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 21):
+                found = [features_of(t) for t in batch.column("text").to_pylist()]
+                arrays = [pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
+                arrays += [pa.array([signature(f) for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["features", "least"])
+
+    found = texts.select("text").mapInArrow(run, "features array<string>, least array<long>")
+    return found.withColumn("positive", F.lit(positive))
 
-    return texts.select("text").mapInArrow(run, "words array<string>")
+
+def _significant(sample: DataFrame, most: int) -> list[str]:
+    """Features that positives hold significantly more often than unlabelled texts, most telling first."""
+    sizes = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    n_p, n_u = F.lit(max(1, sizes[0])), F.lit(max(1, sizes[1]))
+    counts = sample.select("positive", F.explode("features").alias("word")).groupBy("word")
+    counts = counts.agg(F.count_if("positive").alias("n"), F.count_if(~F.col("positive")).alias("m"))
+    n, m = F.col("n"), F.col("m")
+
+    def fit(k: Column, size: Column, share: Column) -> Column:
+        share = F.greatest(F.lit(1e-9), F.least(share, F.lit(1 - 1e-9)))
+        return k * F.log(share) + (size - k) * F.log1p(-share)
+
+    both = (n + m) / (n_p + n_u)
+    ratio = 2 * (fit(n, n_p, n / n_p) + fit(m, n_u, m / n_u) - fit(n, n_p, both) - fit(m, n_u, both))
+    p, u = n / n_p, (m + 0.5) / (n_u + 1)
+    chosen = counts.where((n >= MIN_POSITIVES) & (p > u) & (ratio >= SIGNIFICANT))
+    return [r.word for r in chosen.orderBy(F.desc(p * F.log(p / u)), "word").limit(most).collect()]
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

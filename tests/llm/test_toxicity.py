@@ -17,12 +17,22 @@ def sets(n, toxic, rng):
 
 def test_unlabelled_positives_do_not_hide_the_signal():
     rng = random.Random(1)
-    model = toxicity.train(sets(200, True, rng), sets(800, False, rng) + sets(100, True, rng), 0.11)
+    positives, unlabelled = sets(200, True, rng), sets(800, False, rng) + sets(100, True, rng)
+    words = ["vile", "nasty", "rotten", "awful", "filthy", "mean", "cruel", "ugly", "ban", "ber", "kot", "lum"]
+    index = {w: i for i, w in enumerate(words)}
+    places = lambda texts: [[index[w] for w in t if w in index] for t in texts]
+    model = toxicity.train(words, places(positives), places(unlabelled), 0.11)
     fresh = [(s, 1) for s in sets(100, True, rng)] + [(s, 0) for s in sets(400, False, rng)]
     right = sum((model.logit(" ".join(s)) >= 0) == (y == 1) for s, y in fresh)
     assert right >= 0.97 * len(fresh)
 
 
+def test_near_copies_count_once():
+    texts = [{f"lengthy{a}{b}" for b in "bcdfghjklm"} for a in "xyz"]
+    texts.append((texts[0] - {"lengthyxb"}) | {"another"})
+    assert toxicity.once(list(enumerate(map(toxicity.signature, texts)))) == [0, 1, 2]
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     d = "/root/testdata/sf0.01"
     out = {r.doc_id: r for r in toxicity.op3_toxicity(spark, d).collect()}
