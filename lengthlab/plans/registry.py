@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("statistics", "preprocessing")
+MODULES: tuple[str, ...] = ("statistics", "preprocessing", "planning")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
