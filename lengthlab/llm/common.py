@@ -16,7 +16,20 @@ SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Rows and bytes of an Arrow batch that goes to a Python worker; long texts need smaller batches than the default.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+BATCH_SIZE = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at a time; a session that has set its own bounds keeps them."""
+    for key, default, value in (BATCH_ROWS, BATCH_SIZE):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
