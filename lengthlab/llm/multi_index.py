@@ -32,13 +32,15 @@ from lengthlab.llm.common import materialise, read
 
 SAMPLE = 20_000
 SAMPLE_QUERIES = 200
-TARGET = 0.97
+TARGET = 0.94
 FIRST = 200
+#: The first probe takes this part of the budget, so what reaches its k-th best score stays in proportion to k.
+EARLY = 8
 BLOCK = 1024
 CHUNK = 256
 ROUNDS = 12
 #: Vectors per cell aimed at, and the largest codebook.
-PER_CELL = 50
+PER_CELL = 16
 MOST_CODES = 256
 
 
@@ -178,7 +180,8 @@ def search(
 
     queries = placed.where(is_query).select("id", "v")
     chunks = max(1, -(-queries.count() // CHUNK))
-    most = int(np.ceil(books.share * total))
+    most = max(FIRST, int(np.ceil(books.share * total)))
+    early_most = max(FIRST, most // EARLY)
     shared = placed.sparkSession.sparkContext.broadcast(books)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +193,11 @@ def search(
             for row, query in enumerate(_vectors(batch.column("v"))):
                 seen, early, late = 0, {}, {}
                 for i, j in own.order(query):
-                    if seen >= max(most, FIRST):
+                    if seen >= most:
                         break
                     size = int(own.sizes[i, j])
                     if size:
-                        (early if seen < FIRST else late).setdefault(i, []).append(j)
+                        (early if seen < early_most else late).setdefault(i, []).append(j)
                         seen += size
                 for probe, part in ((0, early), (1, late)):
                     for i, js in part.items():
