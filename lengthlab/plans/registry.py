@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("statistics", "preprocessing", "planning")
+MODULES: tuple[str, ...] = ("statistics", "preprocessing", "planning", "reading", "catalog", "streams")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
