@@ -13,6 +13,12 @@ from lengthlab.operators.stats import k_longest
 #: A tokenizer's declared limit from here on stands for "none".
 NO_LIMIT = 1e20
 CHUNK = 256
+# Hardware presets and their nominal GiB.
+GPU_PRESETS = {
+    "rtx-3060-12gb": 12, "rtx-3090-24gb": 24, "rtx-4060-ti-16gb": 16, "rtx-4080-16gb": 16, "rtx-4090-24gb": 24, "rtx-5090-32gb": 32,
+    "a10-24gb": 24, "a10g-24gb": 24, "l4-24gb": 24, "rtx-a6000-48gb": 48, "rtx-6000-ada-48gb": 48, "l40s-48gb": 48, "a100-40gb": 40,
+    "a100-80gb": 80, "h100-80gb": 80,
+}
 # The checks of the preservation audit, in order.
 CHECKS = (
     "full_read", "no_length_drop", "no_split_or_concat", "template_content_preserved", "last_batch_included", "context_within_limit",
@@ -203,6 +209,12 @@ def assess_fit(scenarios: DataFrame, gpus: DataFrame) -> DataFrame:
     return rows.withColumns({"status": status.otherwise("expected_fit"), "reason": reason.otherwise("fits_with_margin")})
 
 
+def preset_capacities(spark, chosen: list[str] | None = None) -> DataFrame:
+    """(gpu, capacity in bytes) of the chosen presets; an id without a preset has no capacity."""
+    rows = [(g, GPU_PRESETS[g] << 30 if g in GPU_PRESETS else None) for g in (chosen or GPU_PRESETS)]
+    return spark.createDataFrame(rows, "gpu string, capacity long")
+
+
 def worst_fit(fits: DataFrame, by: str, primary: Column) -> DataFrame:
     """The primary scenario's verdict where there is one, else the most severe."""
     level = F.coalesce(*[F.when(F.col("status") == s, F.lit(n)) for s, n in FIT_SEVERITY.items()])

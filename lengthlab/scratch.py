@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=8)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}/{name}"
+    """A path that does not exist yet, below the shared folder."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or _local_folder(context.applicationId)
+    return f"{root}/{context.applicationId}-{uuid.uuid4().hex[:12]}/{name}"

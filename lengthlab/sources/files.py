@@ -67,7 +67,7 @@ def with_row_index(spark: SparkSession, df: DataFrame, files: DataFrame, split:
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
     ordered = own.select(plain("path").alias("_key"), "file_ord").join(counts.withColumn("_key", plain("_path")), "_key")
     offsets = file_offsets(ordered.select("_path", "file_ord", "n"))
-    joined = placed.join(F.broadcast(offsets), "_path")  # one row per file
+    joined = placed.join(offsets, "_path")  # a row per file: broadcast only if Spark finds it small
     indexed = joined.withColumn("row_index", F.col("offset") + F.col("_at"))
     return indexed.withColumn("row_id", F.concat(F.lit(f"{split}:"), F.col("row_index").cast("string"))).drop("_path", "_at", "offset")
 

@@ -25,7 +25,7 @@ def indexed_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     counts = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    joined = rows.join(F.broadcast(offsets), ["path", "block"])  # one row per file block
+    joined = rows.join(offsets, ["path", "block"])  # a row per file block: broadcast only if Spark finds it small
     return joined.select("path", (F.col("offset") + F.col("rid") - F.col("first") + 1).alias("line"), "value")
 
 

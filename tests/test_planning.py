@@ -105,3 +105,9 @@ def test_context_without_a_limit_is_unknown(spark):
     assert (over.exceeded_rows, over.status, over.exceeded_rows_exact) == (1, "exceeded", True)
     assert P.context_validation(rows, F.col("sequence_tokens"), 50).first().status == "ok"
     assert P.context_validation(rows, F.col("sequence_tokens"), 50, complete=False).first().status == "unknown"
+
+
+def test_presets(spark):
+    found = {r.gpu: r.capacity for r in P.preset_capacities(spark, ["a100-80gb", "none"]).collect()}
+    assert found == {"a100-80gb": 80 * GIB, "none": None}
+    assert P.preset_capacities(spark).count() == 15
