@@ -21,7 +21,7 @@ gives no rows. Other columns are ignored by `personal_data` and kept by `sanitis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lengthlab.llm.common import materialise, read
@@ -122,24 +122,26 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, term, disclosure) of the terms that reveal an entity; `found` is a materialised base_spans table."""
-    near = found.select(F.explode("near").alias("x")).select("x.key", "x.term")
+    """(key, term, disclosure) of the terms that reveal an entity; `found` is a materialised base_spans table with rid."""
+    near = found.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
     pairs = materialise(near.groupBy("key", "term").agg(F.count("*").alias("c_et")), "pairs")
     entities = pairs.groupBy("key").agg(F.sum("c_et").alias("n_e"))
-    wanted = pairs.where(F.col("c_et") >= MIN_SUPPORT)
+    # Places near entities are some of a term's places, so they bound its disclosures from above: common words go here.
+    places = near.select("rid", "term", "s").distinct().groupBy("term").agg(F.count("*").alias("c_near"))
+    total = F.lit(found.agg(F.sum("n_terms")).first()[0] or 0)
+    p_e = F.col("n_e") / total
+
+    def disclosure(c_t: str) -> Column:
+        return 1 + F.log2(F.col("c_et") / F.col(c_t)) / F.greatest(-F.log2(p_e), F.lit(1e-9))
+
+    wanted = pairs.where(F.col("c_et") >= MIN_SUPPORT).join(entities, "key").join(places, "term")
+    wanted = materialise(wanted.where(disclosure("c_near") >= THRESHOLD).drop("c_near"), "wanted")
     terms = materialise(wanted.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.expr(f"regexp_extract_all(lower(coalesce({text_col}, '')), r'{TERM}', 0)")).alias("term"))
     if terms.count() <= MAX_BROADCAST_TERMS:
         words = words.join(F.broadcast(terms), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("c_t"))
-    total = found.agg(F.sum("n_terms").alias("n"))
-    p_e = F.col("n_e") / F.col("n")
-    scored = (
-        wanted.join(entities, "key")
-        .join(counts, "term")
-        .join(F.broadcast(total))  # one row
-        .select("key", "term", (1 + F.log2(F.col("c_et") / F.col("c_t")) / F.greatest(-F.log2(p_e), F.lit(1e-9))).alias("disclosure"))
-    )
+    scored = wanted.join(counts, "term").select("key", "term", disclosure("c_t").alias("disclosure"))
     return materialise(scored.where(F.col("disclosure") >= THRESHOLD), "disclosures")
 
 
