@@ -264,13 +264,15 @@ def scan(hashes: np.ndarray, rank: np.ndarray, around: list[bytes], before: np.n
     right, right_len = _matrix([a[b:] for a, b in zip(around, before.tolist())], LENGTH)
     left, left_len = _matrix([a[:b][::-1] for a, b in zip(around, before.tolist())], LEFT)
     starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1], [True])))
-    found: list[tuple[int, int, int]] = []
+    # All that is covered around one anchor holds the anchor, so the union reaches as far as the farthest on each side.
+    before_it, after_it = [-1] * len(around), [-1] * len(around)
     pair = starts[:-1][np.diff(starts) == 2]
     if len(pair):
         d, e = _common(right, right_len, pair, pair + 1), _common(left, left_len, pair, pair + 1)
         later = np.where(rank[pair] < rank[pair + 1], pair + 1, pair)
         hit = (d + e >= LENGTH) & (d >= ANCHOR)
-        found += zip(later[hit].tolist(), e[hit].tolist(), d[hit].tolist())
+        for row, extension, depth in zip(later[hit].tolist(), e[hit].tolist(), d[hit].tolist()):
+            before_it[row], after_it[row] = extension, depth
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         if b - a < 3:
             continue
@@ -281,8 +283,9 @@ def scan(hashes: np.ndarray, rank: np.ndarray, around: list[bytes], before: np.n
             shared = [0, *_common(left, left_len, members[:-1], members[1:]).tolist()]
             for row, extension in zip(members.tolist(), left_extensions(rank[members].tolist(), shared)):
                 if extension + depth >= LENGTH:
-                    found.append((row, extension, depth))
-    return found
+                    before_it[row] = max(before_it[row], extension)
+                    after_it[row] = max(after_it[row], depth)
+    return [(row, e, d) for row, (e, d) in enumerate(zip(before_it, after_it)) if d >= 0]
 
 
 def _scanned(rows: DataFrame, most: int) -> DataFrame:
