@@ -131,33 +131,49 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumn("ord", F.row_number().over(order))
 
 
+def _settled(h: np.ndarray, c: np.ndarray, did: np.ndarray, ord_: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """True for occurrences with an equal one (hash and surroundings) before them in the same batch."""
+    order = np.lexsort((pos, ord_, did, c, h))
+    again = np.zeros(len(h), bool)
+    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+    return again
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, c, did, ord, pos): every anchor with its hash and the hash of its surroundings."""
+    """(h, c, did, ord, pos, sure): every anchor with its hash and the hash of its surroundings.
+
+    Repeats within a batch are settled before the shuffle (sure) and dealt out at random, so a line or a
+    document that is copied very often does not gather in one partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for whole in batches:
-            for batch in slices(whole, "text", 2 * PIECE):
-                texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
-                dids, ords = batch.column("did").to_numpy(), batch.column("ord").to_numpy()
-                for of, at, h in _document_anchors(texts):
-                    around = np.fromiter(
-                        (
-                            digest(texts[i][max(0, p - LEFT) : p + LENGTH], seed=min(p, LEFT))
-                            for i, p in zip(of.tolist(), at.tolist())
-                        ),
-                        np.uint64,
-                        len(at),
-                    )
-                    arrays = [h.view(np.int64), around.view(np.int64), dids[of], ords[of], at.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["h", "c", "did", "ord", "pos"])
-
-    return docs.select("did", "ord", "text").mapInArrow(run, "h long, c long, did long, ord int, pos int")
+        for batch in batches:
+            texts = [t.encode("utf-8") for t in batch.column("text").to_pylist()]
+            dids, ords = batch.column("did").to_numpy(), batch.column("ord").to_numpy()
+            parts = []
+            for of, at, h in _document_anchors(texts):
+                around = (
+                    digest(texts[i][max(0, p - LEFT) : p + LENGTH], seed=min(p, LEFT)) for i, p in zip(of.tolist(), at.tolist())
+                )
+                parts.append((h, np.fromiter(around, np.uint64, len(at)), dids[of], ords[of], at.astype(np.int32)))
+            if not parts:
+                continue
+            h, c, did, ord_, pos = (np.concatenate(column) for column in zip(*parts))
+            sure = _settled(h, c, did, ord_, pos)
+            spread = (did.view(np.uint64) * ODD[0] + pos.astype(np.uint64)) * ODD[1]
+            h = np.where(sure, spread ^ (spread >> np.uint64(31)), h)
+            for start in range(0, len(h), 50_000):
+                part = slice(start, start + 50_000)
+                arrays = [h[part].view(np.int64), c[part].view(np.int64), did[part], ord_[part], pos[part], sure[part]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["h", "c", "did", "ord", "pos", "sure"])
+
+    return docs.select("did", "ord", "text").mapInArrow(run, "h long, c long, did long, ord int, pos int, sure boolean")
 
 
 def _marked(rows: DataFrame) -> DataFrame:
     """(h, did, ord, pos): covered whole where h is null, else in need of the scan."""
-    order = Window.partitionBy("h").orderBy("c", "did", "ord", "pos")
+    order = Window.partitionBy("h", "sure").orderBy("c", "did", "ord", "pos")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = rows.select(
         "h",
@@ -165,12 +181,13 @@ def _marked(rows: DataFrame) -> DataFrame:
         "did",
         "ord",
         "pos",
+        "sure",
         F.lag("c").over(order).alias("before"),
         F.first("c").over(whole).alias("first"),
         F.last("c").over(whole).alias("last"),
     )
-    return df.where("c = before or first <> last").select(
-        F.when(~F.col("c").eqNullSafe(F.col("before")), F.col("h")).alias("h"), "did", "ord", "pos"
+    return df.where("sure or c = before or first <> last").select(
+        F.when(~F.col("sure") & ~F.col("c").eqNullSafe(F.col("before")), F.col("h")).alias("h"), "did", "ord", "pos"
     )
 
 
