@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from lengthlab.llm.common import materialise, read, slices, text_or_empty
 
 #: Sample bounds and model settings; all are parameters of `train`.
-MAX_POSITIVES = 4_000
-MAX_UNLABELLED = 12_000
+MAX_POSITIVES = 2_000
+MAX_UNLABELLED = 8_000
 MAX_FEATURES = 2_000
 #: Likelihood ratio (2 ln) that a feature needs, and positives that hold it at least.
 SIGNIFICANT = 18.0
@@ -153,10 +153,12 @@ def fit(
         prior = min(0.9, known[1] / known[0])
     keyed = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     chosen = usable.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(max_positives)
-    positives = keyed.join(F.broadcast(chosen), "id").select("text").limit(max_positives)
+    # One text per id, however often its row is repeated, so the sample keeps its bound and stays dealt out.
+    text_of = lambda ids: keyed.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
+    positives = text_of(chosen.select("id"))
     drawn = keyed.where(F.col("id").isNotNull() & ~held_out("id")).select("id")
     drawn = drawn.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(max_unlabelled)
-    unlabelled = keyed.join(F.broadcast(drawn.distinct()), "id").select("text").limit(max_unlabelled)
+    unlabelled = text_of(drawn.distinct())
     sample = _featured(positives, True).unionByName(_featured(unlabelled, False))
     sample = materialise(sample.withColumn("sid", F.monotonically_increasing_id()), "sample")
     # Bounded by the sample: four numbers per text, then the chosen features, then their places per text.
@@ -183,7 +185,7 @@ def fit(
 def _featured(texts: DataFrame, positive: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", 1 << 18):
                 found = [features_of(t) for t in batch.column("text").to_pylist()]
                 arrays = [pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
                 arrays += [pa.array([signature(f) for f in found], pa.list_(pa.int64()))]
@@ -219,7 +221,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 22):
+            for batch in slices(whole, "text", 1 << 20):
                 logit = np.array([own.logit(t) for t in batch.column("text").to_pylist()])
                 score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
                 arrays = [
