@@ -82,7 +82,8 @@ def quantiles(counts: DataFrame, percents: tuple[int, ...] = QUANTILES) -> DataF
 
 def histogram(counts: DataFrame, bins: int = BINS) -> DataFrame:
     """(branch, lo, hi, n): power-of-two wide bins, empty ones too; the first lo is never below 0."""
-    span = counts.groupBy("branch").agg(F.min("length").alias("low"), F.max("length").alias("high"))
+    # The sum keeps both uses of `counts` alike, so that Spark computes and shuffles them once.
+    span = counts.groupBy("branch").agg(F.min("length").alias("low"), F.max("length").alias("high"), F.sum("n").alias("rows")).where("rows > 0")
     need = F.expr(f"(high - low + 1 + {bins - 1}) div {bins}")
     span = span.withColumn("need", need)
     span = span.withColumn("width", F.expr("shiftleft(1L, cast(ceil(log2(need)) as int))"))
