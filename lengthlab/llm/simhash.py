@@ -23,7 +23,7 @@ unless all of its component's ids are null (then the component is null). An empt
 from __future__ import annotations
 
 from collections.abc import Collection, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -189,46 +189,220 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", tex
     )
 
 
-def similar_groups(docs: DataFrame, seeds: tuple[int, ...] = (42, 1042), text_col: str = "text") -> DataFrame:
-    """Columns row (all input columns), rid (a row number) and group_id, for five-word similarity of about 0.8.
+#: Two texts are near copies where 5 * |A and B| >= 4 * |A or B| for their sets of five-word shingles.
+SHINGLE = 5
+#: One text in so many is read for the shingles that are common; they come last in the prefix order.
+SAMPLE = 32
+COMMON = 3
+MOST_COMMON = 100_000
+#: Row numbers that may be broadcast to pick texts to verify or to drop; beyond it the texts are shuffled.
+MAX_BROADCAST_IDS = 500_000
 
-    A five-word shingle set of similarity 0.8 means that about one word in 45 differs, which turns 4.3 of the
-    64 bits of a SimHash of the distinct words. So documents link where such a fingerprint, for either seed,
-    differs in 4 bits at most. Each seed's links are found as for `near_duplicates`; groups that share a
-    document are merged.
+
+def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
+    """The hashes (uint64, in order) of the set of shingles of `words` words; fewer words make one, none gives none."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)] if parts else [], np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(parts)}
+    each = np.fromiter((known[w] for w in parts), np.uint64, len(parts))
+    mixed = np.zeros(len(parts) - words + 1, np.uint64)
+    for j in range(words):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + each[j : j + len(mixed)]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(mixed ^ mixed >> np.uint64(29))
+
+
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles and how common they are, from a sample; they set an order only, which any choice keeps right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["key"])
+
+    sample = texts.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long")
+    counts = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
+    keys = np.array([r.key for r in found], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r.n for r in found], np.int64)[order]
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(key, rid, size, pos): the shingles that stand first in the order, one of which near copies must share.
+
+    Rare shingles come first. Sets of n and m shingles, n >= m, that share 0.8 of their union share 0.8 n or more, so
+    at most n - ceil(0.8 n) shingles of either stand before the first common one.
+    """
+    common, weight = _common_shingles(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                own = shingles(text)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.argsort(np.where(common[at] == own, weight[at], 0), kind="stable")]
+                keys.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1] if len(own) else own)
+                sizes.append(len(own))
+            counts = np.array([len(k) for k in keys], np.int64)
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))),
+                    pa.array(np.repeat(np.array(sizes, np.int32), counts)),
+                    pa.array(pos),
+                ],
+                names=["key", "rid", "size", "pos"],
+            )
+
+    return texts.select("rid", "text").mapInArrow(run, "key long, rid long, size int, pos int")
+
+
+def _may_match(a: str, b: str) -> Column:
+    """Sizes and places of a common shingle leave room for the similarity; true for the first common one of near copies."""
+    return F.expr(
+        f"5 * least({a}.size, {b}.size) >= 4 * greatest({a}.size, {b}.size) and "
+        f"9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size)"
+    )
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b: rid) whose sets of shingles have a Jaccard similarity of 0.8 or more."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
+    few = ids.count() <= MAX_BROADCAST_IDS
+    wanted = texts.select("rid", "text").join(F.broadcast(ids) if few else ids, "rid", "left_semi")
+    wanted = materialise(wanted, "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, one, two = (batch.column(k).to_pylist() for k in range(4))
+            sets: dict[int, np.ndarray] = {}
+            near = []
+            for i, j, x, y in zip(a, b, one, two):
+                for k, text in ((i, x), (j, y)):
+                    if k not in sets:
+                        sets[k] = shingles(text)
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                near.append(9 * shared >= 4 * (len(sets[i]) + len(sets[j])))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(wanted.select(F.col("rid").alias("a"), F.col("text").alias("one")), "a")
+    both = both.join(wanted.select(F.col("rid").alias("b"), F.col("text").alias("two")), "b")
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, component) after the links (a, b: components)."""
+    merged = connected_components(links)
+    merged = merged.select(F.col("vertex").alias("component"), F.col("component").alias("merged"))
+    out = labels.join(merged, "component", "left").select("rid", F.coalesce("merged", "component").alias("component"))
+    return materialise(out, "labels")
+
+
+def _linked(labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rid, component) after the pairs (a, b: rid) that are near copies."""
+    links = materialise(_verified(pairs, texts), "links")
+    if links.isEmpty():
+        return labels
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("rid").alias(side), F.col("component").alias(f"c{side}")), side)
+    return _merge(labels, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+
+def _near_copies(texts: DataFrame) -> DataFrame:
+    """(rid, component) for the rows of texts (rid, text: one of each set of shingles) that share a prefix shingle.
+
+    As for fingerprints, a large group must not emit all its pairs: neighbours under a key are verified first, once
+    by size and once in an order of the key's own, then under each key that still holds two components or more all
+    members outside its largest component are compared with the members of other components. No key is capped.
     """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct("rid", "size", "pos")
+    order = Window.partitionBy("key").orderBy("size", "rid")
+    keyed = _prefixes(texts.repartition(parts)).select(
+        "key", place.alias("x"), F.lag(place).over(order).alias("y"), F.lead("rid").over(order).alias("next")
+    )
+    members = materialise(keyed.where("y is not null or next is not null").drop("next"), "members")
+    labels = members.select(F.col("x.rid").alias("rid")).distinct().withColumn("component", F.col("rid"))
+    near = members.where("y is not null").where(_may_match("x", "y"))
+    labels = _linked(materialise(labels, "labels"), near.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")), texts)
+
+    def still_open() -> DataFrame:
+        under = Window.partitionBy("key")
+        named = members.select("key", "x", F.col("x.rid").alias("rid")).join(labels, "rid").select(
+            "key", "x", "component", F.min("component").over(under).alias("least"), F.max("component").over(under).alias("most")
+        )
+        return materialise(named.where("least <> most").select("key", "x", "component"), "open")
+
+    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "x.rid"))
+    rest = still_open()
+    if rest.isEmpty():
+        return labels
+    near = rest.select("x", "component", F.lag(F.struct("x", "component")).over(mixed).alias("y"))
+    near = near.where("y is not null").where("component <> y.component").where(_may_match("x", "y.x"))
+    labels = _linked(labels, near.select(F.col("x.rid").alias("a"), F.col("y.x.rid").alias("b")), texts)
+
+    rest = still_open()
+    if rest.isEmpty():
+        return labels
+    sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    minor = rest.join(largest, "key").where("component <> largest").select("key", "x", F.col("component").alias("cx"))
+    other = rest.select("key", F.col("x").alias("y"), F.col("component").alias("cy"))
+    near = minor.join(other, "key").where("cx <> cy").where(_may_match("x", "y"))
+    return _linked(labels, near.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")), texts)
+
+
+def _similar(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Materialised rows (row, text, rid, ...), and (rid, group_id) of each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [np.array([fingerprint(t, 1, seed, True) for t in texts], np.uint64).view(np.int64) for seed in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found)], names=["row", *names])
+            digests = pa.array([xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), digests], names=["row", "digest"])
 
-    names = [f"fp{k}" for k in range(len(seeds))]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"row {kind}, " + ", ".join(f"{n} long" for n in names))
-    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "fingerprinted")
-    merged = None
-    for name in names:
-        groups = fingerprint_components(rows.select(F.col(name).alias("fp")))
-        each = rows.select("rid", F.col(name).alias("fp")).join(groups, "fp").select("rid", "component")
-        least = each.groupBy("component").agg(F.min("rid").alias("least"))
-        each = each.join(least, "component").select("rid", F.col("least").alias(name))
-        merged = each if merged is None else merged.join(each, "rid")
-    merged = materialise(merged, "grouped")
-    edges = [merged.select(F.col("rid").alias("a"), F.col(n).alias("b")) for n in names]
-    groups = connected_components(reduce(DataFrame.unionByName, edges))
-    groups = groups.select(F.col("vertex").alias("rid"), F.col("component").alias("group_id"))
-    return rows.select("row", "rid").join(groups, "rid", "left").select("row", "rid", F.coalesce("group_id", "rid").alias("group_id"))
+    rows = rows.mapInArrow(run, f"row {kind}, digest binary")
+    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "shingled")
+    rids = rows.select("rid", "digest")
+    rids = materialise(rids.join(rids.groupBy("digest").agg(F.min("rid").alias("least")), "digest").select("rid", "least"), "rids")
+    copies = rids.where("rid <> least").select("rid")
+    few = copies.count() <= MAX_BROADCAST_IDS
+    texts = rows.select("rid", text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
+    texts = texts.join(F.broadcast(copies) if few else copies, "rid", "left_anti")
+    groups = _near_copies(texts).select(F.col("rid").alias("least"), F.col("component").alias("group_id"))
+    return rows, rids.join(groups, "least", "left").select("rid", F.coalesce("group_id", "least").alias("group_id"))
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Columns row (all input columns), rid (a row number) and group_id, for five-word similarity of 0.8 or more.
+
+    Texts link where their sets of five-word shingles (words as for the fingerprint) have a Jaccard similarity of at
+    least 0.8; groups are the closure of these links. Equal sets are one text. Candidates come from a prefix filter,
+    which loses no link, and every link is verified on the whole sets, so neither way there is an error but for
+    equal 64-bit hashes.
+    """
+    rows, groups = _similar(docs, text_col)
+    return rows.select("row", "rid").join(groups, "rid")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each similar group stays: the one with the smallest id (null last), then the first row."""
-    grouped = similar_groups(docs, text_col=text_col)
-    key = F.struct(F.col(f"row.`{id_col}`").isNull().alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    kept = grouped.groupBy("group_id").agg(F.min(key).alias("key")).select(F.col("key.rid").alias("rid"))
-    return grouped.join(kept, "rid", "left_semi").select("row.*")
+    rows, groups = _similar(docs, text_col)
+    key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))
+    named = rows.select("rid", F.col(f"row.`{id_col}`").alias("id")).join(groups, "rid")
+    kept = named.groupBy("group_id").agg(F.min(key).alias("key")).select(F.col("key.rid").alias("rid"))
+    gone = materialise(named.select("rid").join(kept, "rid", "left_anti"), "gone")
+    few = gone.count() <= MAX_BROADCAST_IDS  # then the texts need no shuffle
+    return rows.join(F.broadcast(gone) if few else gone, "rid", "left_anti").select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

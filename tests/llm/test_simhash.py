@@ -97,3 +97,55 @@ def test_one_of_each_keeps_one_near_copy_and_all_clean_texts(spark):
     assert left.columns == df.columns
     assert sorted(r.doc_id for r in left.collect()) == list(range(20))
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def five_word_groups(texts):
+    """The least index of each text's group by brute-force five-word Jaccard similarity."""
+    sets = []
+    for text in texts:
+        words = text.encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_groups_match_brute_force_five_word_similarity(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(0, 10**5)}"
+    line = [word() for _ in range(40)]  # stands in many texts that are not near copies
+    texts = []
+    for size in (6, 20, 60, 120, 200, 400):
+        for _ in range(4):
+            first = [word() for _ in range(size)]
+            texts.append(" ".join(first))
+            for _ in range(10):  # on both sides of 0.8, by changed words, added and lost ends
+                words = list(first)
+                for at in rng.choice(size, int(rng.integers(0, 2 + size // 25)), replace=False):
+                    words[at] = word()
+                words = words[int(rng.integers(0, 1 + size // 15)) :] + [word() for _ in range(int(rng.integers(0, 1 + size // 12)))]
+                texts.append(" ".join(words))
+    texts += [" ".join([word() for _ in range(60)] + line) for _ in range(40)]
+    texts += [" ".join(line + [word() for _ in range(8)]) for _ in range(30)]
+    # Few single words, so that SimHashes of words agree where the order of the words does not.
+    for _ in range(5):
+        words = [word() for _ in range(100)]
+        texts += [" ".join(words), " ".join(rng.permutation(words))]
+    rng.shuffle(texts)
+    wanted = five_word_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 60 < len(set(wanted)) < len(texts) - 60
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    found = {r.row.doc_id: r.group_id for r in simhash.similar_groups(df).collect()}
+    groups = lambda of: sorted([i for i in range(len(texts)) if of[i] == g] for g in {of[i] for i in range(len(texts))})
+    assert groups(found) == groups(wanted)
