@@ -73,7 +73,7 @@ class WordBpe:
         made = np.array([ids[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str | tuple[str], tuple[int, str, str]] = {}
         from tokenizers import Tokenizer
 
         self.normalise_any = Tokenizer.from_file(file).normalizer.normalize_str
@@ -137,14 +137,14 @@ class WordBpe:
         for word, a, b in zip(listed, bounds, bounds[1:]):
             self.known[word] = (b - a, " ".join(shown[a:b]), " ".join(tokens[a:b]))
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text in order; a special token's string is a piece of its own, marked by a NUL."""
+    def pieces(self, text: str) -> list[str | tuple[str]]:
+        """The words of a text in order; a special token is a piece of its own, a tuple that holds its string."""
         if self.special_cut is None or "<|" not in text:
             return self.words.findall(self.normalise(text))
-        out: list[str] = []
+        out: list[str | tuple[str]] = []
         for part in self.special_cut.split(text):
             if part in self.special:
-                out.append("\0" + part)
+                out.append((part,))
             else:
                 out += self.words.findall(self.normalise(part))
         return out
@@ -153,14 +153,14 @@ class WordBpe:
         """Per text, one (number of ids, ids joined, tokens joined) for each of its pieces."""
         cut = [self.pieces(t) for t in texts]
         wanted = set().union(*cut) if cut else set()
-        new = {w for w in wanted if w not in self.known and w[0] != "\0"}
+        new = {w for w in wanted if w not in self.known and isinstance(w, str)}
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = {w for w in wanted if w[0] != "\0"}
+            new = {w for w in wanted if isinstance(w, str)}
         self.learn(new)
         known = self.known
         for name, i in self.special.items():
-            known["\0" + name] = (1, str(i), name)
+            known[(name,)] = (1, str(i), name)
         return [[known[w] for w in words] for words in cut]
 
 

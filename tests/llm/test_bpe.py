@@ -71,3 +71,10 @@ def test_odd_rows(spark):
     assert len(out) == 3 and sum(r.n_tokens for r in out) == 2
     assert [r.ids for r in bpe.encoded(df).where("doc_id is null").collect()][0] is not None
     assert bpe.digests(df.limit(0)).count() == 0
+
+
+def test_nul_and_control_characters_match_the_library(spark, library):
+    texts = ["a\0b", "\0", "\0\0#x \0", "\0<|endoftext|>\0", "<|endoftext|> \0<|startoftext|>", "\x01\x02a\x7f\x9f \x1b[0m"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in bpe.digests(df).collect():
+        assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == expected(library, texts[row.doc_id]), repr(texts[row.doc_id])
