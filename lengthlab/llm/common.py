@@ -40,9 +40,15 @@ def _local_folder(application: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset a folder of this machine serves a local master; on a cluster the executors would not see it.
+    """
     context = spark.sparkContext
-    return context.getConf().get("spark.checkpoint.dir") or _local_folder(context.applicationId)
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or _local_folder(context.applicationId)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +59,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more, so that scratch does not pile up over many rounds."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is heavy where it holds one in so many rows or more, so there are at most as many heavy keys.
+HEAVY = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins materialised `rows` with a narrow materialised `table` of one row per key, whatever the skew of the rows.
+
+    The entries of heavy keys, at most HEAVY, are broadcast; what is left of the rows is joined by a shuffle in which
+    no key holds more than one in HEAVY rows. `how` is inner or left; null keys match nothing.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull())
+    heavy = materialise(counts.where(F.col("_n") * HEAVY >= rows.count()).select(key), "heavy")
+    if heavy.isEmpty():
+        return rows.join(table, key, how)
+    few = F.broadcast(heavy)
+    by_broadcast = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
+    return by_broadcast.unionByName(rows.join(few, key, "left_anti").join(table, key, how))
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lengthlab.llm.common import materialise
+from lengthlab.llm.common import discard, materialise
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -30,24 +30,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialise(
-            both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p")), "parent"
+        least = materialise(
+            both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p")), "least"
         )
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("up"))
+        up = least.select(F.col("v").alias("p"), F.col("p").alias("up"))
+        parent = least
         for _ in range(2):
             parent = parent.join(up, "p").select("v", F.col("up").alias("p"))
-        parent = materialise(parent, "jumped")
+        parent = materialise(parent, "parent")
+        done = [least, edges]
         if labels is None:
             labels = parent
         else:
             step = parent.select(F.col("v").alias("p"), F.col("p").alias("up"))
-            labels = labels.join(step, "p", "left").select("v", F.coalesce("up", "p").alias("p"))
-        labels = materialise(labels, "labels")
+            done.append(labels)
+            labels = materialise(
+                labels.join(step, "p", "left").select("v", F.coalesce("up", "p").alias("p")), "labels"
+            )
         left = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         right = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         edges = materialise(
             _ordered(edges.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges"
         )
+        discard(*done)
     if labels is None:
         return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     return labels.select(F.col("v").alias("vertex"), F.col("p").alias("component"))

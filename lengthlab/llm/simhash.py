@@ -1,13 +1,18 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
 Every whole text gets a 64-bit SimHash of its word shingles. Fingerprints that differ in at most 4 bits
-link. To find the links, a fingerprint is cut into five segments (13, 13, 13, 13 and 12 bits). Of 4 or
-fewer differing bits, either three segments at most are touched, so two agree exactly (10 pairs of
-segments), or exactly four segments differ by one bit each and the fifth agrees (5 cases). For the second
-case a segment is read as a word of the (23, 12, 7) Golay code and decoded: an even word gives the one
-codeword within 3 bits, an odd word all codewords within 4 bits (1 or 6 of them). Two words one bit apart
-have different parity, and the even word's codeword lies within 4 bits of the odd one, so they always
-share a codeword. A key of that case is the agreeing segment with one codeword of each of two others.
+link. To find the links, a fingerprint is cut into five segments (13, 13, 13, 13 and 12 bits). A segment can be
+read as a word of the (23, 12, 7) Golay code and decoded: an even word gives the one codeword within 3 bits, an
+odd word all codewords within 4 bits (1 or 6 of them). Two words one bit apart have different parity, and the
+even word's codeword lies within 4 bits of the odd one, so they always share a codeword. The keys follow from
+where 4 or fewer differing bits can fall:
+
+* two segments at most are touched: three agree (10 keys of three segments);
+* three are touched: two agree, and of the other three at least two differ by one bit, so one of any two of
+  them does (10 pairs of agreeing segments, each with the codewords of two others in turn);
+* four are touched, by one bit each: the fifth agrees, and two of the others share a codeword each (5 cases).
+
+A key holds 37 to 39 bits, so unrelated fingerprints seldom share one, even among 10^10.
 
 Joining on keys gives candidates; all are verified on the whole fingerprints. So that a large group never
 emits all its pairs, a first pass links each fingerprint only to its neighbour and to the first one under
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lengthlab.llm.common import materialise, read, text_or_empty
+from lengthlab.llm.common import discard, look_up, materialise, read, text_or_empty
 from lengthlab.llm.components import connected_components
 
 SEED = 42
@@ -111,16 +116,25 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys of the fingerprints (uint64): the row of each key's fingerprint, and the key."""
     segment = [((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
     rows, keys = [], []
-    for kind, (i, j) in enumerate(combinations(range(5), 2)):
+    for kind, (i, j, k) in enumerate(combinations(range(5), 3)):
         rows.append(np.arange(len(fps)))
-        keys.append(np.int64(kind) << 40 | segment[i] << 13 | segment[j])
+        keys.append(np.int64(kind) << 40 | segment[i] << 26 | segment[j] << 13 | segment[k])
     table = codewords()
+    coded = [table[s] for s in segment]
+    kind = 10
+    for i, j in combinations(range(5), 2):
+        for other in [k for k in range(5) if k not in (i, j)][:2]:
+            there = coded[other] >= 0
+            key = (segment[i] << 25 | segment[j] << 12)[:, None] | coded[other]
+            rows.append(np.nonzero(there)[0])
+            keys.append(np.int64(kind) << 40 | key[there])
+            kind += 1
     for i in range(5):
-        one, two = table[segment[(i + 1) % 5]], table[segment[(i + 2) % 5]]
+        one, two = coded[(i + 1) % 5], coded[(i + 2) % 5]
         key = (segment[i] << 24)[:, None, None] | one[:, :, None] << 12 | two[:, None, :]
         there = (one >= 0)[:, :, None] & (two >= 0)[:, None, :]
         rows.append(np.nonzero(there)[0])
-        keys.append(np.int64(10 + i) << 40 | key[there])
+        keys.append(np.int64(kind + i) << 40 | key[there])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -148,7 +162,7 @@ def _apart(a: str | Column, b: str | Column) -> Column:
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """(fp, component) for each distinct fingerprint in `fps`; component is a fingerprint of its group."""
     distinct = materialise(fps.select("fp").distinct(), "distinct")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes about sixty
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes over a hundred
     keyed = _keyed(distinct.repartition(parts).withColumn("component", F.col("fp")))
     order = Window.partitionBy("key").orderBy("fp")
     near = keyed.select("fp", F.lag("fp").over(order).alias("before"), F.first("fp").over(order).alias("first"))
@@ -158,6 +172,7 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     first = materialise(
         distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "first"
     )
+    discard(distinct)
 
     # One exchange by key serves both the test for open keys and the comparison under them.
     under = Window.partitionBy("key")
@@ -173,7 +188,8 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     links = minor.join(other, "key").where((F.col("a") != F.col("b")) & (_apart("fp_a", "fp_b") <= MOST_BITS))
     merged = connected_components(links.select("a", "b"))
     merged = merged.select(F.col("vertex").alias("component"), F.col("component").alias("merged"))
-    return first.join(merged, "component", "left").select("fp", F.coalesce("merged", "component").alias("component"))
+    out = look_up(first, materialise(merged, "merged"), "component", "left")
+    return materialise(out.select("fp", F.coalesce("merged", "component").alias("component")), "groups")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,9 +198,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", tex
     groups = fingerprint_components(prints)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = materialise(groups.join(least, "fp"), "named")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(names, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    names = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")
+    by_print = materialise(look_up(named, names, "component").select("fp", "component_id"), "by_print")
+    return look_up(prints, by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -197,6 +213,8 @@ COMMON = 3
 MOST_COMMON = 100_000
 #: Row numbers that may be broadcast to pick texts to verify or to drop; beyond it the texts are shuffled.
 MAX_BROADCAST_IDS = 500_000
+#: Rounds that link one pair of components per key before all that still share a key are compared.
+ROUNDS = 3
 
 
 def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -214,7 +232,27 @@ def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed ^ mixed >> np.uint64(29))
 
 
-def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes as a signed number; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8)).reshape(len(part), 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bits, as longs: whether an odd number of the hashes falls into each of about as many bins as there are hashes.
+
+    The bins of half the width are the exclusive or of both halves. Two sets differ in as many hashes, at least, as
+    their parities differ in bits.
+    """
+    bins = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles and how common they are, from a sample; they set an order only, which any choice keeps right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +260,8 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["key"])
 
-    sample = texts.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "key long")
+    texts = docs.select(text_or_empty(text_col).alias("text"))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(run, "key long")
     counts = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     found = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
     keys = np.array([r.key for r in found], np.int64).view(np.uint64)
@@ -230,37 +269,37 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.array([r.n for r in found], np.int64)[order]
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """(key, rid, size, pos): the shingles that stand first in the order, one of which near copies must share.
+def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
+    """Columns row (all input columns), digest and fp of the set of shingles, its size, prefix and parities.
 
-    Rare shingles come first. Sets of n and m shingles, n >= m, that share 0.8 of their union share 0.8 n or more, so
-    at most n - ceil(0.8 n) shingles of either stand before the first common one.
+    The prefix holds the shingles that stand first in an order, one of which near copies must share; rare ones come
+    first. Sets of n and m shingles, n >= m, that share 0.8 of their union share 0.8 n or more, so at most
+    n - ceil(0.8 n) shingles of either stand before the first common one.
     """
-    common, weight = _common_shingles(texts)
+    common, weight = _common_shingles(docs, text_col)
+    at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                own = shingles(text)
+            row = batch.column(0)
+            digests, fps, sizes, prefixes, bits = [], [], [], [], []
+            for text in row.field(at_text).to_pylist():
+                own = shingles(text or "")
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                fps.append(majority(own))
+                sizes.append(len(own))
+                bits.append(parities(own))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     own = own[np.argsort(np.where(common[at] == own, weight[at], 0), kind="stable")]
-                keys.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1] if len(own) else own)
-                sizes.append(len(own))
-            counts = np.array([len(k) for k in keys], np.int64)
-            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys).view(np.int64)),
-                    batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))),
-                    pa.array(np.repeat(np.array(sizes, np.int32), counts)),
-                    pa.array(pos),
-                ],
-                names=["key", "rid", "size", "pos"],
-            )
+                prefixes.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1].view(np.int64) if len(own) else own.view(np.int64))
+            arrays = [row, pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32())]
+            arrays += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "digest", "fp", "size", "prefix", "bits"])
 
-    return texts.select("rid", "text").mapInArrow(run, "key long, rid long, size int, pos int")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row {kind}, digest binary, fp long, size int, prefix array<long>, bits array<long>")
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -271,13 +310,33 @@ def _may_match(a: str, b: str) -> Column:
     )
 
 
+def _not_apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b: rid) whose parities leave room for the similarity: no near copies are lost.
+
+    Sets that share 0.8 of their union differ in a ninth of the sum of their sizes at most.
+    """
+    half = "least(size(x), size(y))"
+    narrow = "if(size({0}) = " + half + ", {0}, zip_with(slice({0}, 1, " + half + "), slice({0}, " + half + " + 1, " + half + "), (p, q) -> p ^ q))"
+    differ = f"aggregate(zip_with({narrow.format('x')}, {narrow.format('y')}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side, bits, size in (("a", "x", "n"), ("b", "y", "m")):
+        pairs = pairs.join(sets.select(F.col("rid").alias(side), F.col("bits").alias(bits), F.col("size").alias(size)), side)
+    close = pairs.where("5 * least(n, m) >= 4 * greatest(n, m)")
+    return materialise(close.where(f"9 * {differ} <= n + m").select("a", "b"), "pairs")
+
+
+def _texts_of(rows: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
+    """Materialised (rid, text) of the rows named in ids (rid)."""
+    ids = materialise(ids.select("rid").distinct(), "ids")
+    few = ids.count() <= MAX_BROADCAST_IDS
+    texts = rows.select("rid", text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
+    found = materialise(texts.join(F.broadcast(ids) if few else ids, "rid", "left_semi"), "texts")
+    discard(ids)
+    return found
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b: rid) whose sets of shingles have a Jaccard similarity of 0.8 or more."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ids")
-    few = ids.count() <= MAX_BROADCAST_IDS
-    wanted = texts.select("rid", "text").join(F.broadcast(ids) if few else ids, "rid", "left_semi")
-    wanted = materialise(wanted, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,115 +351,120 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 near.append(9 * shared >= 4 * (len(sets[i]) + len(sets[j])))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(wanted.select(F.col("rid").alias("a"), F.col("text").alias("one")), "a")
-    both = both.join(wanted.select(F.col("rid").alias("b"), F.col("text").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
-
+    both = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("two")), "b")
+    both = both.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("one")), "a")
+    return materialise(both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "links")
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(rid, component) after the links (a, b: components)."""
-    merged = connected_components(links)
-    merged = merged.select(F.col("vertex").alias("component"), F.col("component").alias("merged"))
-    out = labels.join(merged, "component", "left").select("rid", F.coalesce("merged", "component").alias("component"))
-    return materialise(out, "labels")
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(rid, component) for all vertices that have left their own component, after the links (a, b: rid).
 
-def _linked(labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rid, component) after the pairs (a, b: rid) that are near copies."""
-    links = materialise(_verified(pairs, texts), "links")
-    if links.isEmpty():
-        return labels
+    labels (rid, component) holds those that had left it before; a vertex outside it is its own component.
+    """
     for side in ("a", "b"):
-        links = links.join(labels.select(F.col("rid").alias(side), F.col("component").alias(f"c{side}")), side)
-    return _merge(labels, links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-
-
-def _near_copies(texts: DataFrame) -> DataFrame:
-    """(rid, component) for the rows of texts (rid, text: one of each set of shingles) that share a prefix shingle.
-
-    As for fingerprints, a large group must not emit all its pairs: neighbours under a key are verified first, once
-    by size and once in an order of the key's own, then under each key that still holds two components or more all
-    members outside its largest component are compared with the members of other components. No key is capped.
+        named = labels.select(F.col("rid").alias(side), F.col("component").alias(f"c{side}"))
+        links = links.join(named, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    merged = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = materialise(merged.select(F.col("vertex").alias("component"), F.col("component").alias("merged")), "merged")
+    old = look_up(labels, merged, "component", "left").select("rid", F.coalesce("merged", "component").alias("component"))
+    new = merged.select(F.col("component").alias("rid"), F.col("merged").alias("component")).join(labels, "rid", "left_anti")
+    return materialise(old.unionByName(new).where("rid <> component"), "labels")
+
+
+def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
+    """Materialised (rid, component) for the sets that are not their component's own name: the closure of all links.
+
+    sets: materialised (rid, fp, size, prefix, bits), one of each set of shingles; rows hold their texts.
+    First the SimHash operator links fingerprints within 4 bits, and every member of such a group is verified against
+    one of them. The rest comes from the prefixes: while a key holds two components, their name-givers are verified,
+    for ROUNDS rounds; then under each key that still holds several components all members outside its largest one
+    are compared with the members of the others. So a large group costs one pair per member and no pair is lost.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.struct("rid", "size", "pos")
-    order = Window.partitionBy("key").orderBy("size", "rid")
-    keyed = _prefixes(texts.repartition(parts)).select(
-        "key", place.alias("x"), F.lag(place).over(order).alias("y"), F.lead("rid").over(order).alias("next")
-    )
-    members = materialise(keyed.where("y is not null or next is not null").drop("next"), "members")
-    labels = members.select(F.col("x.rid").alias("rid")).distinct().withColumn("component", F.col("rid"))
-    near = members.where("y is not null").where(_may_match("x", "y"))
-    labels = _linked(materialise(labels, "labels"), near.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")), texts)
-
-    def still_open() -> DataFrame:
-        under = Window.partitionBy("key")
-        named = members.select("key", "x", F.col("x.rid").alias("rid")).join(labels, "rid").select(
-            "key", "x", "component", F.min("component").over(under).alias("least"), F.max("component").over(under).alias("most")
-        )
-        return materialise(named.where("least <> most").select("key", "x", "component"), "open")
-
-    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "x.rid"))
-    rest = still_open()
-    if rest.isEmpty():
-        return labels
-    near = rest.select("x", "component", F.lag(F.struct("x", "component")).over(mixed).alias("y"))
-    near = near.where("y is not null").where("component <> y.component").where(_may_match("x", "y.x"))
-    labels = _linked(labels, near.select(F.col("x.rid").alias("a"), F.col("y.x.rid").alias("b")), texts)
-
-    rest = still_open()
-    if rest.isEmpty():
+    prints = materialise(fingerprint_components(sets.select("fp")), "prints")
+    named = materialise(look_up(sets.select("rid", "fp"), prints, "fp").select("rid", "component"), "named")
+    hubs = materialise(named.groupBy("component").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    stars = look_up(named, hubs, "component").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b"))
+    pairs = _not_apart(stars, sets)
+    texts = _texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("rid")), text_col)
+    links = _verified(pairs, texts)  # a is the smaller id, here the hub
+    labels = materialise(links.select(F.col("b").alias("rid"), F.col("a").alias("component")), "labels")
+    discard(prints, named, hubs, pairs, texts, links)
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(labels, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+
+    def several(members: DataFrame) -> DataFrame:
+        """(key, a, b): keys with members of two components or more, and two of these."""
+        found = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        return materialise(found.where("a <> b"), "several")
+
+    first = several(labelled(sets.select("rid", "prefix")).select("component", F.explode("prefix").alias("key")))
+    if first.isEmpty():
         return labels
+    keyed = sets.select("rid", "size", F.posexplode("prefix").alias("pos", "key"))
+    members = materialise(keyed.join(first.select("key"), "key", "left_semi"), "members")
+    texts = _texts_of(rows, members, text_col)
+    found = first
+    for _ in range(ROUNDS):
+        pairs = _not_apart(found.select("a", "b"), sets)
+        links = _verified(pairs, texts)
+        discard(pairs, found)
+        if links.isEmpty():
+            break
+        labels = _merged(labels, links)
+        found = several(labelled(members))
+        if found.isEmpty():
+            return labels
+    else:
+        discard(found)
+    open_keys = several(labelled(members)).select("key")
+    rest = labelled(members.join(open_keys, "key", "left_semi"))
+    rest = materialise(rest.select("key", F.struct("rid", "size", "pos").alias("x"), "component"), "rest")
     sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     minor = rest.join(largest, "key").where("component <> largest").select("key", "x", F.col("component").alias("cx"))
     other = rest.select("key", F.col("x").alias("y"), F.col("component").alias("cy"))
     near = minor.join(other, "key").where("cx <> cy").where(_may_match("x", "y"))
-    return _linked(labels, near.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")), texts)
-
+    pairs = _not_apart(near.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")), sets)
+    links = _verified(pairs, texts)
+    discard(texts, members, rest, pairs)
+    return labels if links.isEmpty() else _merged(labels, links)
 
-def _similar(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Materialised rows (row, text, rid, ...), and (rid, group_id) of each of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            digests = pa.array([xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), digests], names=["row", "digest"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"row {kind}, digest binary")
-    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "shingled")
-    rids = rows.select("rid", "digest")
-    rids = materialise(rids.join(rids.groupBy("digest").agg(F.min("rid").alias("least")), "digest").select("rid", "least"), "rids")
-    copies = rids.where("rid <> least").select("rid")
-    few = copies.count() <= MAX_BROADCAST_IDS
-    texts = rows.select("rid", text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
-    texts = texts.join(F.broadcast(copies) if few else copies, "rid", "left_anti")
-    groups = _near_copies(texts).select(F.col("rid").alias("least"), F.col("component").alias("group_id"))
-    return rows, rids.join(groups, "least", "left").select("rid", F.coalesce("group_id", "least").alias("group_id"))
+def _similar(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Materialised rows (row, digest, rid, ...), sets (digest, rid of its first row, ...) and the labels of the sets."""
+    rows = materialise(_sketched(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketched")
+    one = F.min(F.struct("rid", "fp", "size", "prefix", "bits")).alias("x")
+    sets = materialise(rows.groupBy("digest").agg(one).select("digest", "x.*"), "sets")
+    return rows, sets, _alike(rows, sets, text_col)
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Columns row (all input columns), rid (a row number) and group_id, for five-word similarity of 0.8 or more.
 
     Texts link where their sets of five-word shingles (words as for the fingerprint) have a Jaccard similarity of at
-    least 0.8; groups are the closure of these links. Equal sets are one text. Candidates come from a prefix filter,
-    which loses no link, and every link is verified on the whole sets, so neither way there is an error but for
-    equal 64-bit hashes.
+    least 0.8; groups are the closure of these links. Equal sets are one text. Candidates come from SimHashes and from
+    a prefix filter, which loses no link, and every link is verified on the whole sets, so neither way there is an
+    error but for equal 64-bit hashes.
     """
-    rows, groups = _similar(docs, text_col)
-    return rows.select("row", "rid").join(groups, "rid")
+    rows, sets, labels = _similar(docs, text_col)
+    groups = sets.select("digest", "rid").join(labels, "rid", "left")
+    groups = materialise(groups.select("digest", F.coalesce("component", "rid").alias("group_id")), "groups")
+    return look_up(rows.select("row", "rid", "digest"), groups, "digest").select("row", "rid", "group_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each similar group stays: the one with the smallest id (null last), then the first row."""
-    rows, groups = _similar(docs, text_col)
-    key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))
-    named = rows.select("rid", F.col(f"row.`{id_col}`").alias("id")).join(groups, "rid")
-    kept = named.groupBy("group_id").agg(F.min(key).alias("key")).select(F.col("key.rid").alias("rid"))
-    gone = materialise(named.select("rid").join(kept, "rid", "left_anti"), "gone")
+    """One document of each similar group stays: the one with the smallest id (null last), then the first row.
+
+    Null text counts as empty, and texts without words are alike. Repeated rows are copies. An empty table gives no rows.
+    """
+    rows, sets, labels = _similar(docs, text_col)
+    groups = sets.select("digest", "rid").join(labels, "rid", "left").select("digest", F.coalesce("component", "rid").alias("group_id"))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    # The best row of each set, then of each group: both are sums over partial minima, whatever the size of a group.
+    best = rows.select("digest", "rid", F.col(f"row.`{id_col}`").alias("id")).groupBy("digest").agg(F.min(key).alias("key"))
+    kept = best.join(groups, "digest").groupBy("group_id").agg(F.min("key").alias("key")).select(F.col("key.rid").alias("rid"))
+    gone = materialise(rows.select("rid").join(kept, "rid", "left_anti"), "gone")
     few = gone.count() <= MAX_BROADCAST_IDS  # then the texts need no shuffle
     return rows.join(F.broadcast(gone) if few else gone, "rid", "left_anti").select("row.*")
 

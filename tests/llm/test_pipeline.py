@@ -3,10 +3,11 @@
 import hashlib
 
 import corpus_pipeline
-from lengthlab.llm import pii, quality, simhash
+from lengthlab.llm import pii, quality
 from tests.llm.test_packing import verify
 from tests.llm.test_pii import base
 from tests.llm.test_quality import plain
+from tests.llm.test_simhash import five_word_groups
 from tests.llm.test_suffix_dedup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -34,21 +35,9 @@ def test_stages(spark, tmp_path):
         assert words >= 50 and 100 * repeated <= 50 * words and r == given[r.doc_id]
 
     given, left = seen["near-dedup"]
-    prints = {i: [simhash.fingerprint(r.text, 1, s, True) for s in (42, 1042)] for i, r in given.items()}
-    parent = {i: i for i in prints}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(prints)
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j])):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    assert {r.doc_id for r in left} == {i for i in ids if find(i) == i}
+    ids = sorted(given)
+    least = five_word_groups([given[i].text for i in ids])
+    assert {r.doc_id for r in left} == {ids[k] for k, group in enumerate(least) if group == k}
 
     given, left = seen["repeated passages"]
     wanted = {row[0]: row for row in brute(sorted((i, r.text) for i, r in given.items()))}
