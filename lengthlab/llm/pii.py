@@ -3,20 +3,24 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found per kind, leftmost and without
 overlap, by regular expressions whose repetitions are possessive (no backtracking over long runs).
 
-Information-theoretic sanitisation adds spans: words near a protected entity can give it away. Over the
-whole corpus, c(e, t) counts how often term t stands within REACH characters of entity e, c(t) how often t
-occurs at all, n(e) the terms near e and N all terms. A term's disclosure of an entity is its pointwise
-mutual information with it, as a share of what there is to know:
+Information-theoretic sanitisation adds spans: words that stand near a protected entity can give it away
+wherever they are read. An entity is the matched text of a base span. Over the whole corpus, c(e, t) counts the
+occurrences of term t within REACH characters of entity e, c(t) all occurrences of t, n(e) the occurrences of
+terms near e and N all terms. A term's disclosure of an entity is its pointwise mutual information with it, as a
+share of what there is to know:
 
     disclosure(e, t) = log2(P(e | t) / P(e)) / log2(1 / P(e)),  P(e | t) = c(e, t) / c(t),  P(e) = n(e) / N
 
-Terms seen near an entity MIN_SUPPORT times or more with a disclosure of at least THRESHOLD are spans of kind
-"term" wherever they stand near that entity; `sanitised` replaces base spans and terms by their kind's name.
-Contexts are taken per run of overlapping base spans and never reach into a neighbouring run, so their number
-grows with the number of base spans, and no pairs are built within a document.
+A term with c(e, t) >= MIN_SUPPORT, P(e | t) >= MIN_SHARE and a disclosure of at least THRESHOLD for some entity is
+a disclosing term: all its occurrences, in any document, are spans of kind "term". Terms are words of the text in
+which valid matches of each kind in turn are blanked, so what stands in a base span is no term, and contexts reach
+past neighbouring spans. `sanitised` replaces base spans and terms by their kind's name.
 
-Null text counts as empty (no spans). Repeated rows are treated alike and count each time. An empty table
-gives no rows. Other columns are ignored by `personal_data` and kept by `sanitised`.
+Work is linear in a text: offsets are running sums over blocks of BLOCK matches, contexts are cut from chunks of
+CHUNK characters, and their number grows with the number of base spans; no pairs are built within a document.
+
+Null text counts as empty (no spans). Repeated rows are treated alike and count each time. Very long texts are
+taken whole. An empty table gives no rows. Other columns are ignored by `personal_data` and kept by `sanitised`.
 """
 
 from __future__ import annotations
@@ -43,51 +47,81 @@ VALID = {
     "card": "length(regexp_replace(m, '[^0-9]', '')) between 14 and 19 and luhn_check(regexp_replace(m, '[^0-9]', ''))",
     "phone": "length(regexp_replace(m, '[^0-9]', '')) between 10 and 15",
 }
-TERM = "\\p{L}{4,}+"
+#: A run of three or more letters and digits with a letter in it.
+TERM = "(?<![\\p{L}\\p{N}])(?=\\p{N}*+\\p{L})[\\p{L}\\p{N}]{3,}+"
 #: Characters of context on either side of an entity.
 REACH = 60
 MIN_SUPPORT = 3
+MIN_SHARE = 0.5
 THRESHOLD = 0.9
-#: Candidate terms that may be broadcast to the counting pass; beyond it all terms are counted by a shuffle.
+#: Terms that may be broadcast to the passes over all words; beyond it the words are shuffled.
 MAX_BROADCAST_TERMS = 50_000
+#: Matches whose offsets are added up together; lists of this length are copied, so it bounds the copying.
+BLOCK = 128
+#: Characters of a chunk of text; a context lies in two chunks at most.
+CHUNK = 1024
+
 
-_SPANS = "array<struct<s:int,e:int,v:string>>"
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for `body`, in which `name` stands for the value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _found(text: str, pattern: str, matches: str | None = None) -> str:
     """SQL for the matches of a pattern as structs (s, e, v) of code point offsets and the matched text.
 
-    The text is split at its matches; lengths of pieces and matches, added up in order, give the offsets.
+    The text is split at its matches; lengths of the gaps and matches, added up in order, give the offsets: first of
+    blocks, then within each block, as a list that grows by appending is copied each time.
     """
-    pieces = f"split({text}, r'{pattern}', -1)"
     matches = matches or f"regexp_extract_all({text}, r'{pattern}', 0)"
-    step = (
-        "named_struct('at', acc.at + length(z.p) + length(z.m), 'out', array_append(acc.out, "
-        "named_struct('s', acc.at + length(z.p), 'e', acc.at + length(z.p) + length(z.m), 'v', z.m)))"
-    )
-    return (
-        f"aggregate(zip_with({pieces}, {matches}, (p, m) -> named_struct('p', p, 'm', m)), "
-        f"named_struct('at', 0, 'out', cast(array() as {_SPANS})), "
-        f"(acc, z) -> if(z.m is null, acc, {step})).out"
-    )
+    steps = f"zip_with(slice(split({text}, r'{pattern}', -1), 1, size(mm)), mm, (p, m) -> named_struct('g', length(p), 'l', length(m), 'v', m))"
+    block = f"slice(zz, b * {BLOCK} + 1, {BLOCK})"
+    blocks = f"sequence(0, (size(zz) - 1) div {BLOCK})"
+    lengths = f"transform({blocks}, b -> aggregate({block}, 0, (a, z) -> a + z.g + z.l))"
+    starts = f"aggregate({lengths}, array(0), (acc, l) -> array_append(acc, element_at(acc, -1) + l))"
+    place = "named_struct('s', acc.at + z.g, 'e', acc.at + z.g + z.l, 'v', z.v)"
+    step = f"named_struct('at', acc.at + z.g + z.l, 'out', array_append(acc.out, {place}))"
+    none = "cast(array() as array<struct<s:int,e:int,v:string>>)"
+    inside = f"aggregate({block}, named_struct('at', get(starts, b), 'out', {none}), (acc, z) -> {step}).out"
+    placed = _let(starts, "starts", f"flatten(transform({blocks}, b -> {inside}))")
+    return _let(matches, "mm", f"if(size(mm) = 0, {none}, {_let(steps, 'zz', placed)})")
+
+
+def _cut(start: str, stop: str) -> str:
+    """SQL for the characters from start to stop (0-based) of the text in `chunks`; no other chunks are touched."""
+    held = f"slice(chunks, ({start}) div {CHUNK} + 1, ({stop}) div {CHUNK} - ({start}) div {CHUNK} + 1)"
+    return f"substring(array_join({held}, ''), ({start}) % {CHUNK} + 1, ({stop}) - ({start}))"
+
+
+def _chunks(text: str) -> str:
+    return f"regexp_extract_all({text}, r'(?s).{{1,{CHUNK}}}', 0)"
 
 
 def _contexts() -> str:
-    """SQL for the terms around each run of base spans: structs (key, term, s, e) for all its entities."""
-    before_from = f"greatest(coalesce(get(runs, i - 1).e, 0), r.s - {REACH})"
-    after_to = f"least(coalesce(get(runs, i + 1).s, n), r.e + {REACH})"
-    # A blank stands in for the text's edge or a neighbouring run, so that words cut by the window do not count.
-    pad = f"if({before_from} = coalesce(get(runs, i - 1).e, 0), 1, 0)"
-    before = f"concat(repeat(' ', {pad}), substring(text, {before_from} + 1, r.s - {before_from}))"
-    after = f"concat(substring(text, r.e + 1, {after_to} - r.e), if({after_to} = coalesce(get(runs, i + 1).s, n), ' ', ''))"
-    left = f"transform({_found(before, '(?<=[^\\p{L}])' + TERM)}, x -> named_struct('t', lower(x.v), 's', x.s + {before_from} - {pad}, 'e', x.e + {before_from} - {pad}))"
-    right = f"transform({_found(after, TERM + '(?=[^\\p{L}])')}, x -> named_struct('t', lower(x.v), 's', x.s + r.e, 'e', x.e + r.e))"
-    keyed = f"transform(concat({left}, {right}), x -> transform(r.keys, k -> named_struct('key', k, 'term', x.t, 's', x.s, 'e', x.e)))"
-    return f"flatten(transform(runs, (r, i) -> flatten({keyed})))"
+    """SQL for the surroundings of each base span: structs (key, at, before, stop, after).
+
+    `before` starts at offset `at`, `after` at `stop`; each holds one character more than REACH at its far end, a blank
+    at the text's edge, by which words that go on outside are told.
+    """
+    low, high = f"greatest(x.s - {REACH + 1}, 0)", f"least(x.e + {REACH + 1}, n)"
+    before = f"concat(if(x.s <= {REACH}, ' ', ''), {_cut(low, 'x.s')})"
+    after = f"concat({_cut('x.e', high)}, if(x.e + {REACH} >= n, ' ', ''))"
+    at = f"if(x.s <= {REACH}, -1, {low})"
+    return f"transform(base, x -> named_struct('key', x.key, 'at', {at}, 'before', {before}, 'stop', x.e, 'after', {after}))"
+
+
+def _blanked() -> str:
+    """SQL for the text with the valid matches of each kind in turn replaced by as many blanks."""
+    out = "text"
+    for kind, pattern in PATTERNS.items():
+        blank = f"if({VALID[kind]}, repeat(' ', length(m)), m)"  # the last piece has no match
+        joined = f"array_join(zip_with(split(t, r'{pattern}', -1), mm, (p, m) -> concat(p, coalesce({blank}, ''))), '')"
+        out = _let(out, "t", _let(f"regexp_extract_all(t, r'{pattern}', 0)", "mm", f"if(size(mm) = 0, t, {joined})"))
+    return out
 
 
 def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Columns row (all input columns), n_terms, base (structs s, k, e in order) and near (terms by entity)."""
+    """Columns row (all input columns), text, n_terms, base (structs s, k, e in order) and around (their contexts)."""
     df = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
@@ -104,26 +138,44 @@ def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         empty = "cast(array() as array<struct<s:int,k:int,e:int,key:string>>)"
         parts.append(f"if(size(m_{kind}) = 0, {empty}, {spans})")
     df = df.select("row", "text", F.expr(f"sort_array(concat({', '.join(parts)}))").alias("base"))
-    last = "element_at(acc, -1)"
-    runs = (
-        "aggregate(base, cast(array() as array<struct<s:int,e:int,keys:array<string>>>), (acc, b) -> "
-        f"if(coalesce(get(acc, size(acc) - 1).e > b.s, false), concat(slice(acc, 1, size(acc) - 1), array(named_struct("
-        f"'s', {last}.s, 'e', greatest({last}.e, b.e), 'keys', array_union({last}.keys, array(b.key))))), "
-        "array_append(acc, named_struct('s', b.s, 'e', b.e, 'keys', array(b.key)))))"
-    )
-    df = df.withColumn("runs", F.expr(runs)).withColumn("n", F.length("text"))
-    near = "cast(array() as array<struct<key:string,term:string,s:int,e:int>>)"
+    # Columns that later columns use more than once are kept by Spark, not computed again for each use.
+    df = df.withColumn("blanked", F.expr(f"if(size(base) = 0, null, {_blanked()})"))
+    contexts = _let(_chunks("blanked"), "chunks", _let("length(blanked)", "n", _contexts()))
+    none = "cast(array() as array<struct<key:string,at:int,before:string,stop:int,after:string>>)"
     return df.select(
         "row",
-        F.expr(f"cast(regexp_count(text, r'{TERM}') as bigint)").alias("n_terms"),
+        "text",
+        "blanked",
+        F.expr(f"cast(regexp_count(coalesce(blanked, text), r'{TERM}') as bigint)").alias("n_terms"),
         F.expr("transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))").alias("base"),
-        F.expr(f"if(size(runs) = 0, {near}, {_contexts()})").alias("near"),
+        F.expr(f"if(size(base) = 0, {none}, {contexts})").alias("around"),
     )
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, term, disclosure) of the terms that reveal an entity; `found` is a materialised base_spans table with rid."""
-    near = found.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
+def _near(found: DataFrame) -> DataFrame:
+    """(rid, key, term, s): every occurrence of a term near an entity once, however many spans of it are near."""
+    each = found.select("rid", F.explode("around").alias("a")).select("rid", "a.*")
+    left = _found("before", "(?<=[^\\p{L}\\p{N}])" + TERM)
+    right = _found("after", TERM + "(?=[^\\p{L}\\p{N}])")
+    placed = "transform({0}, x -> named_struct('t', lower(x.v), 's', x.s + {1}))"
+    terms = each.select("rid", "key", F.explode(F.expr(f"concat({placed.format(left, 'at')}, {placed.format(right, 'stop')})")).alias("x"))
+    return terms.select("rid", "key", F.col("x.t").alias("term"), F.col("x.s").alias("s")).distinct()
+
+
+def _uses(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """(rid, term, n): how often each of the terms stands in each text."""
+    words = found.select("rid", F.explode(F.expr(f"regexp_extract_all(lower(coalesce(blanked, text)), r'{TERM}', 0)")).alias("term"))
+    few = terms.count() <= MAX_BROADCAST_TERMS
+    words = words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return materialise(words.groupBy("rid", "term").agg(F.count("*").alias("n")), "uses")
+
+
+def disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, term, disclosure) of the terms that reveal an entity, and (rid, term, n) of where these terms stand.
+
+    `found` is a materialised base_spans table with rid.
+    """
+    near = materialise(_near(found), "near")
     pairs = materialise(near.groupBy("key", "term").agg(F.count("*").alias("c_et")), "pairs")
     entities = pairs.groupBy("key").agg(F.sum("c_et").alias("n_e"))
     # Places near entities are some of a term's places, so they bound its disclosures from above: common words go here.
@@ -131,31 +183,34 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Da
     total = F.lit(found.agg(F.sum("n_terms")).first()[0] or 0)
     p_e = F.col("n_e") / total
 
-    def disclosure(c_t: str) -> Column:
-        return 1 + F.log2(F.col("c_et") / F.col(c_t)) / F.greatest(-F.log2(p_e), F.lit(1e-9))
+    def reveals(c_t: str) -> tuple[Column, Column]:
+        share = F.col("c_et") / F.col(c_t)
+        disclosure = 1 + F.log2(share) / F.greatest(-F.log2(p_e), F.lit(1e-9))
+        return disclosure, (disclosure >= THRESHOLD) & (share >= MIN_SHARE)
 
     wanted = pairs.where(F.col("c_et") >= MIN_SUPPORT).join(entities, "key").join(places, "term")
-    wanted = materialise(wanted.where(disclosure("c_near") >= THRESHOLD).drop("c_near"), "wanted")
+    wanted = materialise(wanted.where(reveals("c_near")[1]).drop("c_near"), "wanted")
     terms = materialise(wanted.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.expr(f"regexp_extract_all(lower(coalesce({text_col}, '')), r'{TERM}', 0)")).alias("term"))
-    if terms.count() <= MAX_BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("c_t"))
-    scored = wanted.join(counts, "term").select("key", "term", disclosure("c_t").alias("disclosure"))
-    return materialise(scored.where(F.col("disclosure") >= THRESHOLD), "disclosures")
+    uses = _uses(found, terms)
+    counts = uses.groupBy("term").agg(F.sum("n").alias("c_t"))
+    disclosure, holds = reveals("c_t")
+    scored = wanted.join(counts, "term").where(holds).select("key", "term", disclosure.alias("disclosure"))
+    scored = materialise(scored, "disclosures")
+    return scored, uses.join(scored.select("term").distinct(), "term", "left_semi")
 
 
 def _with_spans(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns row, base and spans (base and terms in order), one row per input row."""
+    """Columns row, text, base and spans (base and terms in order), one row per input row."""
     found = base_spans(docs, text_col).withColumn("rid", F.monotonically_increasing_id())
     found = found.withColumn("row", F.struct(*[F.col(f"row.`{c}`") for c in keep]))
     found = materialise(found, "spans")
-    revealing = disclosures(found, docs, text_col).select("key", "term")
-    near = found.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    terms = near.join(revealing, ["key", "term"]).select("rid", "s", "e").distinct()
-    terms = terms.groupBy("rid").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
-    out = found.join(terms, "rid", "left")
-    return out.select("row", "base", F.expr("if(terms is null, base, sort_array(concat(base, terms)))").alias("spans"))
+    _, uses = disclosing(found)
+    told = materialise(uses.groupBy("rid").agg(F.collect_set("term").alias("told")), "told")
+    few = told.count() <= MAX_BROADCAST_TERMS
+    out = found.drop("around").join(F.broadcast(told) if few else told, "rid", "left")
+    terms = f"filter({_found('coalesce(blanked, text)', TERM)}, x -> array_contains(told, lower(x.v)))"
+    terms = f"transform({terms}, x -> named_struct('s', x.s, 'k', 4, 'e', x.e))"
+    return out.select("row", "text", "base", F.expr(f"if(told is null, base, sort_array(concat(base, {terms})))").alias("spans"))
 
 
 def _listed(spans: str) -> str:
@@ -177,14 +232,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets."""
-    df = _with_spans(docs, text_col, docs.columns).withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
+    df = _with_spans(docs, text_col, docs.columns)
     names = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    replaced = (
-        "aggregate(spans, named_struct('at', 0, 'out', ''), (acc, x) -> if(x.s < acc.at, "
-        "named_struct('at', greatest(acc.at, x.e), 'out', acc.out), "
-        f"named_struct('at', x.e, 'out', concat(acc.out, substring(text, acc.at + 1, x.s - acc.at), get(array({names}), x.k)))), "
-        "acc -> concat(acc.out, substring(text, acc.at + 1)))"
-    )
+    blocks, block = f"sequence(0, (size(spans) - 1) div {BLOCK})", f"slice(spans, b * {BLOCK} + 1, {BLOCK})"
+    # How far spans have reached before each block, and at last; a span that begins before that is covered already.
+    reach = f"aggregate(transform({blocks}, b -> array_max(transform({block}, x -> x.e))), array(0), (acc, m) -> array_append(acc, greatest(element_at(acc, -1), m)))"
+    label = f"concat({_cut('acc.at', 'x.s')}, get(array({names}), x.k))"
+    step = f"if(x.s < acc.at, named_struct('at', greatest(acc.at, x.e), 'out', acc.out), named_struct('at', x.e, 'out', array_append(acc.out, {label})))"
+    pieces = f"transform({blocks}, b -> aggregate({block}, named_struct('at', get(reach, b), 'out', cast(array() as array<string>)), (acc, x) -> {step}).out)"
+    whole = f"concat(array_join(flatten({pieces}), ''), {_cut('element_at(reach, -1)', 'length(text)')})"
+    replaced = _let(_chunks("text"), "chunks", _let(reach, "reach", whole))
     clean = F.expr(f"if(size(spans) = 0, row.`{text_col}`, {replaced})")
     return df.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
