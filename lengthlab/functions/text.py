@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,9 +12,14 @@ from pyspark.sql import types as T
 TOKENS = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f]"
 
 
-def token_length(text: Column | str, by: str = "tokens") -> Column:
-    """The untruncated length of a text by the SQL tokenizer, in bytes or in characters; null for null."""
+def token_length(text: Column | str, by: str | Callable[[Column], Column] = "tokens") -> Column:
+    """The untruncated length of a text by the SQL tokenizer, in bytes or in characters; null for null.
+
+    `by` may be any function from a text column to a count, such as tokenizer.file_token_length().
+    """
     text = F.col(text) if isinstance(text, str) else text
+    if callable(by):
+        return by(text).cast("long")
     if by == "tokens":
         return F.regexp_count(text, F.lit(TOKENS)).cast("long")
     return {"bytes": F.octet_length, "chars": F.length}[by](text).cast("long")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 # Bits per element, by canonical name.
 DTYPE_BITS = {
-    "float64": 64, "float32": 32, "bfloat16": 16, "float16": 16, "float8_e4m3fn": 8, "float8_e5m2": 8, "float8_e8m0fnu": 8,
+    "float64": 64, "float32": 32, "tfloat32": 32, "bfloat16": 16, "float16": 16, "float8_e4m3fn": 8, "float8_e5m2": 8, "float8_e8m0fnu": 8,
     "int64": 64, "int32": 32, "int16": 16, "int8": 8, "uint8": 8, "uint16": 16, "uint32": 32, "uint64": 64, "complex64": 64,
     "bool": 8, "nf4": 4, "fp4": 4, "float4_e2m1": 4, "float6_e2m3": 6, "float6_e3m2": 6,
 }
-# Header codes and other spellings.
+# Header codes and other spellings; all but the codes count in any case.
 DTYPE_NAMES = {
     "F64": "float64", "F32": "float32", "BF16": "bfloat16", "F16": "float16", "F8_E4M3": "float8_e4m3fn", "F8_E5M2": "float8_e5m2",
     "I64": "int64", "I32": "int32", "I16": "int16", "I8": "int8", "U8": "uint8", "U16": "uint16", "U32": "uint32", "U64": "uint64",
@@ -33,6 +33,8 @@ def with_bytes(df: DataFrame, dtype: str = "raw_dtype", numel: str = "numel") ->
     known = spark.createDataFrame(
         [(s, n, DTYPE_BITS[n]) for s, n in (DTYPE_NAMES | {n: n for n in DTYPE_BITS}).items()], "spelled string, dtype string, bits long"
     )
-    clean = F.regexp_replace(F.trim(F.col(dtype)), "^torch\\.", "")
+    trimmed = F.trim(F.col(dtype))
+    codes = [s for s in DTYPE_NAMES if s.isupper()]
+    clean = F.when(trimmed.isin(*codes), trimmed).otherwise(F.regexp_replace(F.lower(trimmed), "^torch\\.", ""))
     out = df.withColumn("spelled", clean).join(F.broadcast(known), "spelled", "left").drop("spelled")
     return out.withColumn("nbytes", F.expr(f"(`{numel}` * bits + 7) div 8"))

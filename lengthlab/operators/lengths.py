@@ -6,6 +6,8 @@ null, never 0; nothing is truncated.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ EOS = "<|im_end|>"
 TEMPLATE, TOKENIZER = "chatml-1", "ascii-words-1"
 
 
+#: How texts are counted: a name that token_length knows, or a function from a text column to a count.
+Counter = str | Callable[[Column], Column]
+
+
+def tokenizer_name(by: Counter) -> str:
+    """What enters the records and keys; a counting function may carry its own name in `fingerprint`."""
+    if callable(by):
+        return getattr(by, "fingerprint", getattr(by, "__name__", type(by).__name__))
+    return TOKENIZER if by == "tokens" else f"{by}-1"
+
+
 def row_id(split: Column | str = "split", index: Column | str = "row_index") -> Column:
     split, index = (F.col(c) if isinstance(c, str) else c for c in (split, index))
     return F.concat(split, F.lit(":"), index.cast("string"))
@@ -58,6 +71,7 @@ def records(
     content: Column,
     ids: Column,
     limit: int | None = None,
+    by: Counter = "tokens",
 ) -> DataFrame:
     """The length table's rows; a failed row has no lengths and no digests."""
     ok = F.col("error_code").isNull()
@@ -70,7 +84,7 @@ def records(
         "objective": F.lit(objective),
         **{name: F.when(ok, lengths[name]) if name in lengths else F.lit(None) for name in LENGTHS},
         "template_fingerprint": F.lit(TEMPLATE),
-        "tokenizer_fingerprint": F.lit(TOKENIZER),
+        "tokenizer_fingerprint": F.lit(tokenizer_name(by)),
         "content_digest": F.when(ok, content),
         "token_digest": F.when(ok, ids),
         "processing_status": F.when(ok, "ok").otherwise("failed"),
@@ -80,28 +94,41 @@ def records(
     return df.withColumn("context_status", context_status(limit)).select(*[name for name, _ in SCHEMA])
 
 
-def sft_text(rows: DataFrame, text: str = "text", limit: int | None = None, by: str = "tokens") -> DataFrame:
+def sft_text(rows: DataFrame, text: str = "text", limit: int | None = None, by: Counter = "tokens") -> DataFrame:
     """Plain text: the whole text is the sequence; every position but the first has loss."""
     n = token_length(text, by)
     lengths = {"sequence_tokens": n, "loss_token_count": chat.loss_positions(None, n)}
     content = F.sha2(F.concat_ws("\x1f", F.lit("text"), F.col(text)), 256)
     ids = F.sha2(F.concat(F.lit("input_ids:"), F.array_join(F.transform(tokens(text), F.length), ","), F.lit("\n")), 256)
-    return records(rows, "sft", lengths, row_checks({"text": F.col(text)}), content, ids, limit)
+    return records(rows, "sft", lengths, row_checks({"text": F.col(text)}), content, ids, limit, by)
 
 
-def sft_messages(rows: DataFrame, messages: str = "messages", limit: int | None = None) -> DataFrame:
-    """A conversation rendered whole; an empty one fails."""
+def sft_messages(
+    rows: DataFrame, messages: str = "messages", limit: int | None = None, by: Counter = "tokens", assistant_only: bool = False
+) -> DataFrame:
+    """A conversation rendered whole; an empty one fails.
+
+    Every position but the first has loss; with assistant_only the positions of assistant turns with their end marks,
+    which follow a header and so never hold the first position. The texts of these turns are counted together.
+    """
     text = chat.render_chat(messages)
-    n = token_length(text)
-    lengths = {"sequence_tokens": n, "loss_token_count": chat.loss_positions(None, n)}
+    n = token_length(text, by)
+    loss = chat.loss_positions(None, n)
+    if assistant_only:
+        own = F.filter(messages, lambda m: m["role"] == "assistant")
+        spoken = F.array_join(F.transform(own, lambda m: F.concat(F.coalesce(m["content"], F.lit("")), F.lit(EOS + "\n"))), "")
+        loss = token_length(spoken, by)
+    lengths = {"sequence_tokens": n, "loss_token_count": loss}
     code = F.when(F.col(messages).isNull(), "missing_messages").when(F.size(messages) == 0, "empty_conversation")
-    return records(rows, "sft", lengths, code, F.sha2(text, 256), F.sha2(text, 256), limit)
+    return records(rows, "sft", lengths, code, F.sha2(text, 256), F.sha2(text, 256), limit, by)
 
 
-def sft_prompt_completion(rows: DataFrame, prompt: str, completion: str, limit: int | None = None, eos: str = EOS) -> DataFrame:
+def sft_prompt_completion(
+    rows: DataFrame, prompt: str, completion: str, limit: int | None = None, eos: str = EOS, by: Counter = "tokens"
+) -> DataFrame:
     """Plain strings: the completion ends with the end text; loss on the completion only."""
     whole = F.concat(F.col(prompt), chat.add_eos(completion, eos))
-    p, total = token_length(prompt), token_length(whole)
+    p, total = token_length(prompt, by), token_length(whole, by)
     lengths = {
         "prompt_tokens": p,
         "sequence_tokens": total,
@@ -109,14 +136,14 @@ def sft_prompt_completion(rows: DataFrame, prompt: str, completion: str, limit:
         "loss_token_count": F.greatest(total - F.greatest(p, F.lit(1)), F.lit(0)),
     }
     code = row_checks({"prompt": F.col(prompt), "completion": F.col(completion)})
-    return records(rows, "sft", lengths, code, F.sha2(whole, 256), F.sha2(whole, 256), limit)
+    return records(rows, "sft", lengths, code, F.sha2(whole, 256), F.sha2(whole, 256), limit, by)
 
 
 def _conversation(*turns: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in turns])
 
 
-def dpo(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def dpo(rows: DataFrame, limit: int | None = None, by: Counter = "tokens") -> DataFrame:
     """Prompt, and prompt with either branch, rendered whole; a branch is what follows the prompt's tokens."""
     turns = [("system", F.col("system")), ("user", F.col("prompt"))]
     prompt = chat.render_chat(chat.omit_blank_system(_conversation(*turns)), True)
@@ -124,24 +151,25 @@ def dpo(rows: DataFrame, limit: int | None = None) -> DataFrame:
         name: chat.render_chat(chat.omit_blank_system(_conversation(*turns, ("assistant", F.col(name)))))
         for name in ("chosen", "rejected")
     }
-    p = token_length(prompt)
+    p = token_length(prompt, by)
     lengths: dict[str, Column] = {"prompt_tokens": p}
     for name, text in branch.items():
-        suffix = F.greatest(token_length(text) - p, F.lit(0))
+        suffix = F.greatest(token_length(text, by) - p, F.lit(0))
         lengths[f"{name}_completion_tokens"] = suffix
         lengths[f"{name}_total_tokens"] = p + suffix
     code = row_checks({name: F.col(name) for name in ("prompt", "chosen", "rejected")})
     content = F.sha2(F.concat_ws("\x1f", "system", "prompt", "chosen", "rejected"), 256)
     ids = F.sha2(F.concat_ws("\x1f", branch["chosen"], branch["rejected"]), 256)
-    return records(rows, "dpo", lengths, code, content, ids, limit)
+    return records(rows, "dpo", lengths, code, content, ids, limit, by)
 
 
-def grpo(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def grpo(rows: DataFrame, limit: int | None = None, by: Counter = "tokens") -> DataFrame:
     """The prompt alone, with the generation prompt."""
     turns = [("system", F.col("system")), ("user", F.col("prompt"))]
     prompt = chat.render_chat(chat.omit_blank_system(_conversation(*turns)), True)
     code = row_checks({"prompt": F.col("prompt")})
-    return records(rows, "grpo", {"prompt_tokens": token_length(prompt)}, code, F.sha2(prompt, 256), F.sha2(prompt, 256), limit)
+    lengths = {"prompt_tokens": token_length(prompt, by)}
+    return records(rows, "grpo", lengths, code, F.sha2(prompt, 256), F.sha2(prompt, 256), limit, by)
 
 
 #: Registered ways to process rows, by objective and layout; the name and version enter the preprocess key.
@@ -172,7 +200,8 @@ def read_lengths(spark, path: str, preprocess_key: str | None = None) -> DataFra
     """The ok rows of one key; without a key the table must hold one key only."""
     df = spark.read.parquet(path)
     if preprocess_key is None:
-        if df.select("preprocess_key").distinct().limit(2).count() > 1:
+        # The key is a folder name, so this reads no rows of the parts.
+        if df.agg(F.min("preprocess_key") != F.max("preprocess_key")).first()[0]:
             raise ValueError("the table mixes preprocess keys")
     else:
         df = df.where(F.col("preprocess_key") == preprocess_key)

@@ -152,9 +152,14 @@ def suggest(candidates: DataFrame) -> DataFrame:
 
 
 def validate_mapping(kinds: DataFrame, requested: dict[str, str], fmt: str) -> DataFrame:
-    """(role, name, issue) of an explicit mapping: what is wrong with it, no rows if nothing is."""
+    """(role, name, issue) of an explicit mapping: what is wrong with it, no rows if nothing is.
+
+    With a column `dataset` in kinds the mapping is held against each of the datasets, and the result names them.
+    """
     spark = kinds.sparkSession
     rows = spark.createDataFrame(list(requested.items()), "role string, name string")
+    if "dataset" in kinds.columns:
+        return _validated_each(kinds, rows, fmt)
     roles = spark.createDataFrame(
         [(r, k) for r in FORMATS[fmt] for k in KINDS[r]], "role string, kind string"
     ).groupBy("role").agg(F.collect_set("kind").alias("kinds"))
@@ -169,6 +174,24 @@ def validate_mapping(kinds: DataFrame, requested: dict[str, str], fmt: str) -> D
     return out.unionByName(missing.select("role", F.lit(None).cast("string").alias("name"), F.lit("missing_role").alias("issue")))
 
 
+def _validated_each(kinds: DataFrame, requested: DataFrame, fmt: str) -> DataFrame:
+    """(dataset, role, name, issue): a few requested roles against the columns of many datasets, by one join."""
+    spark = kinds.sparkSession
+    datasets = kinds.select("dataset").distinct()
+    required = spark.createDataFrame([(r,) for r in REQUIRED[fmt]], "role string")
+    allowed = F.create_map(*[x for r in FORMATS[fmt] for x in (F.lit(r), F.array(*map(F.lit, KINDS[r])))])
+    all_roles = requested.join(required, "role", "full")  # a few rows, with a null name where a role was left out
+    checked = datasets.crossJoin(F.broadcast(all_roles)).join(kinds.select("dataset", "name", "kind"), ["dataset", "name"], "left")
+    fits = F.try_element_at(allowed, "role")
+    issue = (
+        F.when(F.col("name").isNull(), "missing_role")
+        .when(fits.isNull(), "role_not_in_format")
+        .when(F.col("kind").isNull(), "missing_column")
+        .when(~F.array_contains(fits, F.col("kind")), "kind_mismatch")
+    )
+    return checked.select("dataset", "role", "name", issue.alias("issue")).where("issue is not null")
+
+
 def apply_mapping(df: DataFrame, mapping: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Only the mapped columns, under their roles; others are never read."""
     return df.select(*keep, *[F.col(f"`{column}`").alias(role) for role, column in mapping.items()])
@@ -192,12 +215,10 @@ def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def mixed_types(df: DataFrame, json_columns: list[str], index: str = "row_index") -> DataFrame:
     """(name, first_type, row_index): JSON columns whose values change type, and the first row that differs."""
-    out = None
-    for name in json_columns:
-        value = F.try_parse_json(F.col(name))
-        typed = df.select(index, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0).alias("kind")).where("kind not in ('', 'VOID')")
-        first = typed.agg(F.min_by("kind", index).alias("first_type"))
-        odd = typed.join(F.broadcast(first), F.col("kind") != F.col("first_type")).groupBy("first_type").agg(F.min(index).alias(index))
-        odd = odd.select(F.lit(name).alias("name"), "first_type", index)
-        out = odd if out is None else out.unionByName(odd)
-    return out
+    kinds = [F.regexp_extract(F.schema_of_variant(F.try_parse_json(F.col(name))), "^[A-Z]+", 0).alias(name) for name in json_columns]
+    each = df.select(index, *kinds).unpivot(index, json_columns, "name", "kind").where("kind not in ('', 'VOID')")
+    # The first row of every type of a column; the earliest of them has the first type, the next one is the first that differs.
+    firsts = each.groupBy("name", "kind").agg(F.min(index).alias(index))
+    order = Window.partitionBy("name").orderBy(index)
+    placed = firsts.withColumns({"first_type": F.first("kind").over(order), "place": F.row_number().over(order)})
+    return placed.where("place = 2").select("name", "first_type", index)

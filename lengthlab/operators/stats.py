@@ -188,8 +188,12 @@ def failed_sample(lengths: DataFrame, most: int = 100) -> DataFrame:
 
 
 def fingerprint(lengths: DataFrame, columns: list[str]) -> DataFrame:
-    """A content key that needs no order: row hashes xored and summed, with the count."""
-    h = F.xxhash64(*columns)
+    """A content key that needs no order: 60 bits of each row's digest xored and summed, with the count.
+
+    A null counts as a mark of its own, so rows that differ only in where a value is missing differ.
+    """
+    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
+    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
     return lengths.agg(F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.count("*").alias("rows")).select(
         F.sha2(F.concat_ws(":", F.col("x").cast("string"), F.col("s").cast("string"), F.col("rows").cast("string")), 256).alias("artifact_key"),
         "rows",

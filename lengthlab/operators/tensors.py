@@ -120,7 +120,7 @@ def linear_modules(tensors: DataFrame, by: str = "model", transposed: tuple[str,
     rows = tensors.where("role = 'linear_weight'").withColumn("kind", names.leaf("name"))
     biases = tensors.where(names.parameter("name") == "bias").select(by, "module").distinct().withColumn("has_bias", F.lit(True))
     swapped = F.col("kind").isin(*transposed) if transposed else F.lit(False)
-    kind = F.when(F.col("component") != "text", F.col("component")).when(F.col("kind").isin(*names.MLP) | F.contains("module", F.lit(".mlp.")), "mlp")
+    kind = F.when(F.col("component") != "text", F.col("component")).when(F.col("kind").isin(*names.MLP) | names.holds("name", names.MLP_PARTS), "mlp")
     return rows.join(biases, [by, "module"], "left").select(
         by, "module", "kind", F.when(swapped, F.col("dim1")).otherwise(F.col("dim0")).alias("out_features"),
         F.when(swapped, F.col("dim0")).otherwise(F.col("dim1")).alias("in_features"), F.coalesce("has_bias", F.lit(False)).alias("has_bias"), kind.alias("layer_type"),

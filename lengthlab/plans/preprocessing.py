@@ -165,16 +165,18 @@ REDACTION = (
 
 
 def _fn16(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text not like '%/%' and text not like '%hf_%'")
+    """Every conversation row's whole text with a planted secret behind it; the SQL knows what becomes of the secret."""
+    rows = table(spark, sf_dir, "conversations")
     spelled = F.lit("plain")
     for k, given, _ in REDACTION:
-        spelled = F.when(F.col("conv_id") % 9 == k, F.lit(given)).otherwise(spelled)
-    return rows.select("conv_id", "turn", redact.redact_text(F.concat(F.lit("said "), spelled)).alias("redacted"))
+        spelled = F.when((F.col("conv_id") + F.col("turn")) % 9 == k, F.lit(given)).otherwise(spelled)
+    whole = F.concat_ws(" ", F.coalesce("text", F.lit("")), spelled)
+    return rows.select("conv_id", "turn", F.md5(redact.redact_text(whole)).alias("redacted_md5"))
 
 
-_FN16 = "SELECT conv_id, turn, 'said ' || CASE conv_id % 9 " + " ".join(
+_FN16 = "SELECT conv_id, turn, md5(concat_ws(' ', coalesce(text, ''), CASE (conv_id + turn) % 9 " + " ".join(
     f"WHEN {k} THEN '{wanted}'" for k, _, wanted in REDACTION
-) + " ELSE 'plain' END AS redacted FROM {conversations} WHERE text NOT LIKE '%/%' AND text NOT LIKE '%hf_%'"
+) + " ELSE 'plain' END)) AS redacted_md5 FROM {conversations}"
 
 
 def _fn17(spark, sf_dir):
@@ -235,11 +237,21 @@ SELECT dataset, format, prompt, chosen, rejected FROM (
 
 
 def _prj4(spark, sf_dir):
-    kinds = M.column_kinds(table(spark, sf_dir, "documents"))
-    return M.validate_mapping(kinds, {"prompt": "text", "chosen": "n_chars", "text": "lang", "system": "nothing"}, "preference")
+    """One mapping held against the schemas of all datasets."""
+    kinds = schemas(spark, sf_dir).withColumn("kind", F.when(F.col("name") == "prompt", "number").otherwise(F.col("kind")))
+    requested = {"prompt": "prompt", "chosen": "chosen", "text": "Question", "system": "nothing"}
+    return M.validate_mapping(kinds, requested, "preference")
 
 
-_PRJ4 = "SELECT * FROM (VALUES ('chosen','n_chars','kind_mismatch'),('text','lang','role_not_in_format'),('system','nothing','missing_column'),('rejected',NULL,'missing_role')) t(role, name, issue)"
+#: Datasets with a column at all.
+_SCHEMAS = "SELECT 'd' || CAST(s_suppkey AS VARCHAR) AS dataset, s_suppkey AS k FROM {supplier} WHERE k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0 OR k % 7 = 0".replace("k %", "s_suppkey %")
+_PRJ4 = f"""
+SELECT dataset, role, name, issue FROM (SELECT dataset, unnest([
+    {{'role': 'prompt', 'name': 'prompt', 'issue': CASE WHEN k % 3 = 0 THEN 'kind_mismatch' ELSE 'missing_column' END}},
+    {{'role': 'chosen', 'name': 'chosen', 'issue': CASE WHEN k % 2 <> 0 THEN 'missing_column' END}},
+    {{'role': 'text', 'name': 'Question', 'issue': 'role_not_in_format'}},
+    {{'role': 'system', 'name': 'nothing', 'issue': 'missing_column'}},
+    {{'role': 'rejected', 'name': NULL, 'issue': 'missing_role'}}], recursive := true) FROM ({_SCHEMAS}) t) u WHERE issue IS NOT NULL"""
 
 
 def _prj5(spark, sf_dir):
@@ -294,27 +306,36 @@ def _prj13(spark, sf_dir):
 
 
 def _set2(spark, sf_dir):
-    """Columns that a mapping names and the table lacks."""
-    have = spark.createDataFrame([(c,) for c in table(spark, sf_dir, "documents").columns], "name string")
-    wanted = spark.createDataFrame([("text",), ("prompt",), ("source",), ("answer",)], "name string")
+    """The declared columns that each dataset lacks."""
+    have = schemas(spark, sf_dir).select("dataset", "name")
+    wanted = have.select("dataset").distinct().select("dataset", F.explode(F.array(*map(F.lit, ("text", "prompt", "chosen", "notes")))).alias("name"))
     return wanted.exceptAll(have)
 
 
+_SET2 = f"""
+SELECT dataset, name FROM ({_SCHEMAS}) t, (VALUES ('text'), ('prompt'), ('chosen'), ('notes')) w(name)
+EXCEPT ALL SELECT dataset, name FROM ({_SCHEMAS}) t, (VALUES ('text', 7), ('prompt', 3), ('chosen', 2)) h(name, m) WHERE k % m = 0"""
+
+
 def _udf1(spark, sf_dir):
-    """Every registered adapter's row count and status counts over its own rows."""
+    """Every registered adapter's row, ok and token counts over its own rows."""
     text_rows = view(spark, sf_dir, "v_text")
-    pairs = view(spark, sf_dir, "v_preference").withColumns({"split": F.lit("train"), "shard_id": F.lit("c")})
+    place = {"split": F.lit("train"), "shard_id": F.lit("c")}
+    pairs = view(spark, sf_dir, "v_preference").withColumns(place)
+    talks = chats(spark, sf_dir).withColumns(place | {"row_index": F.col("conv_id").cast("long")})
+    rows_of = {
+        "text": lambda f: f(text_rows), "messages": lambda f: f(talks), "preference": lambda f: f(pairs), "prompt": lambda f: f(pairs),
+        "prompt_completion": lambda f: f(pairs, "prompt", "rejected"),
+    }
     out = None
-    for (objective, layout), (adapter, version) in L.ADAPTERS.items():
-        if layout == "text":
-            rows = adapter(text_rows)
-        elif objective in ("dpo", "grpo"):
-            rows = adapter(pairs)
-        else:
-            continue
-        counted = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("processing_status") == "ok").alias("ok")).withColumn("adapter", F.lit(version))
+    for (_, layout), (adapter, version) in L.ADAPTERS.items():
+        longest = F.coalesce("sequence_tokens", "chosen_total_tokens", "prompt_tokens")
+        counted = rows_of[layout](adapter).agg(
+            F.count("*").alias("rows"), F.count_if(F.col("processing_status") == "ok").alias("ok"), F.sum(longest).alias("tokens")
+        )
+        counted = counted.withColumn("adapter", F.lit(version))
         out = counted if out is None else out.unionByName(counted)
-    return out.select("adapter", "rows", "ok")
+    return out.select("adapter", "rows", "ok", "tokens")
 
 
 def _udtf1(spark, sf_dir):
@@ -435,12 +456,16 @@ SELECT DISTINCT name, CASE WHEN name LIKE 'mtp.%' THEN 'mtp' WHEN name LIKE '%.v
         _prj13,
         sql("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'part.json' WHEN 1 THEN source ELSE 'rel/' || source END AS shard_id FROM {documents}"),
     ),
-    "set2_except": (_set2, sql("SELECT unnest(['prompt', 'answer']) AS name FROM (SELECT count(*) FROM {documents}) t")),
+    "set2_except": (_set2, sql(_SET2)),
     "udf1_preprocessing_adapter": (
         _udf1,
         sql("""
-SELECT 'sft-text-1' AS adapter, count(*) AS rows, count(text) AS ok FROM {v_text}
-UNION ALL SELECT 'dpo-1', count(*), count(*) FILTER (ok) FROM {pref} UNION ALL SELECT 'grpo-1', count(*), count(prompt) FROM {pref}"""),
+SELECT 'sft-text-1' AS adapter, count(*) AS rows, count(text) AS ok, sum(sequence_tokens)::BIGINT AS tokens FROM {sft}
+UNION ALL SELECT 'dpo-1', count(*), count(*) FILTER (ok), sum(chosen_total_tokens)::BIGINT FROM {pref}
+UNION ALL SELECT 'grpo-1', count(*), count(prompt), (sum(prompt_tokens) FILTER (prompt IS NOT NULL))::BIGINT FROM {pref}
+UNION ALL SELECT 'sft-messages-1', count(*), count(*), sum(""" + _n(_RENDER.format("messages")) + """)::BIGINT FROM {chat}
+UNION ALL SELECT 'sft-prompt-completion-1', count(*), count(*) FILTER (ok), (sum(""" + _n("prompt || CASE WHEN ends_with(rejected, '<|im_end|>') THEN rejected ELSE rejected || '<|im_end|>' END") + """) FILTER (ok))::BIGINT
+  FROM (SELECT *, prompt IS NOT NULL AND rejected IS NOT NULL AS ok FROM {v_preference}) q"""),
     ),
     "udtf1_branch_rows": (
         _udtf1,

@@ -20,10 +20,18 @@ def _json(df):
 
 
 def _written_lines(spark, sf_dir, name="lines", parts=4, compression=None):
-    """documents as JSON lines: one in 50 broken, one in 50 no object, one in 50 with a doubled key."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    """documents as JSON lines: of 50 one each is broken, no object, with a doubled key, with bytes that are no text and
+    with an infinite number; every string ends like a number that would be infinite."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit(" 9e1234")).alias("lang"))
     k = F.col("doc_id") % 50
-    line = F.when(k == 1, "{bad").when(k == 2, "[1]").when(k == 3, F.concat(F.lit('{"lang":"x",'), F.substring(_json(rows), 2, 1000))).otherwise(_json(rows))
+    line = (
+        F.when(k == 1, "{bad")
+        .when(k == 2, "[1]")
+        .when(k == 3, F.concat(F.lit('{"lang":"x",'), F.substring(_json(rows), 2, 1000)))
+        .when(k == 5, F.concat(F.lit('{"lang":"'), F.expr("cast(unhex('FFFE') as string)"), F.lit('"}')))
+        .when(k == 6, '{"doc_id":6e999}')
+        .otherwise(_json(rows))
+    )
     path = new_folder(spark, name)
     out = rows.select(F.when(k == 4, F.concat(line, F.lit("\n"))).otherwise(line).alias("value"))
     writer = out.repartition(parts).write
@@ -32,24 +40,30 @@ def _written_lines(spark, sf_dir, name="lines", parts=4, compression=None):
 
 
 _LINES = """
-SELECT CASE WHEN doc_id % 50 NOT IN (1, 2, 3) THEN doc_id END AS doc_id, CASE WHEN doc_id % 50 NOT IN (1, 2, 3) THEN lang END AS lang,
-  CASE doc_id % 50 WHEN 1 THEN 'json_parse' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'json_parse' END AS error_code FROM {documents}"""
+SELECT CASE WHEN doc_id % 50 NOT IN (1, 2, 3, 5, 6) THEN doc_id END AS doc_id, CASE WHEN doc_id % 50 NOT IN (1, 2, 3, 5, 6) THEN lang || ' 9e1234' END AS lang,
+  CASE doc_id % 50 WHEN 1 THEN 'json_parse' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'json_parse' WHEN 5 THEN 'invalid_utf8' WHEN 6 THEN 'json_parse' END AS error_code FROM {documents}"""
 
 
 def _src1(spark, sf_dir):
     return text.scan_json_lines(spark, _written_lines(spark, sf_dir), RECORD).select("doc_id", "lang", "error_code")
 
 
+#: Documents of one written array.
+ARRAY = 5000
+
+
 def _written_arrays(spark, sf_dir, wrap=None):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    item = F.when(F.col("doc_id") % 20 == 1, F.to_json(F.struct(F.lit("oops").alias("doc_id"), "lang"))).otherwise(F.to_json(F.struct("doc_id", "lang")))
+    """documents as JSON arrays of at most ARRAY items, one per file."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("lang", F.lit(" 9e1234")).alias("lang"))
+    item = F.when(F.col("doc_id") % 20 == 1, F.to_json(F.struct(F.lit("oops").alias("doc_id"), "lang"))).otherwise(_json(rows))
     if wrap:
-        item = F.to_json(F.struct("doc_id", "lang"))
-    whole = rows.groupBy("source").agg(F.array_join(F.collect_list(item), ",").alias("items"))
+        item = _json(rows)
+    chunk = F.floor(F.col("doc_id") / ARRAY).alias("chunk")
+    whole = rows.groupBy("source", chunk).agg(F.array_join(F.collect_list(item), ",").alias("items"))
     start = f'{{"{wrap}": [' if wrap else "["
     path = new_folder(spark, "arrays")
     out = whole.select(F.concat(F.lit(start), "items", F.lit("]}" if wrap else "]")).alias("value"), "source")
-    out.write.partitionBy("source").text(path)
+    out.write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
     return path
 
 
@@ -68,7 +82,7 @@ def _src4(spark, sf_dir):
     out = rows.select(
         F.when(k == 1, "x1").otherwise(F.col("doc_id").cast("string")).alias("doc_id"),
         F.when(k == 2, "NA").when(k == 3, 'a "b", c\nd').otherwise(F.col("lang")).alias("lang"),
-    )
+    ).select("lang", F.lit("kept out").alias("extra"), "doc_id")  # not the declared order
     out.write.csv(path, header=True, escape='"', quoteAll=True)
     return text.scan_csv(spark, path, RECORD).select("doc_id", "lang", "error_code")
 
@@ -88,30 +102,32 @@ def _src5(spark, sf_dir):
     return files.scan_parquet(spark, paths, columns=["doc_id", "n_chars"])
 
 
-def _src6(spark, sf_dir):
+def _written_arrow(spark, sf_dir):
+    """The folder and paths of documents as Arrow files, in stream and file form by turns, below the shared folder."""
     import pyarrow as pa
 
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    path = new_folder(spark, "arrow")
+    root = new_folder(spark, "arrow")
 
-    def pack(batches):
-        for batch in batches:
-            sink = pa.BufferOutputStream()
-            form = pa.ipc.new_stream if batch.num_rows % 2 else pa.ipc.new_file
-            with form(sink, batch.schema) as writer:
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(root) if ":" in root.split("/")[0] else (fs.LocalFileSystem(), root)
+        system.create_dir(base, recursive=True)
+        for i, batch in enumerate(batches):
+            name = f"{base}/{TaskContext.get().partitionId()}-{i}.arrow"
+            form = pa.ipc.new_stream if (TaskContext.get().partitionId() + i) % 2 else pa.ipc.new_file
+            with system.open_output_stream(name) as sink, form(sink, batch.schema) as writer:
                 writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes().hex()])], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
 
-    rows.repartition(3).mapInArrow(pack, "value string").write.text(path)
-    # Spark writes no binary files, so the stream is stored as hex text and unpacked by the same reader.
-    stored = spark.read.text(path).select(F.unhex("value").alias("content"))
+    paths = [r.path for r in rows.repartition(4).mapInArrow(write, "path string").collect()]  # a listing
+    return root, paths
 
-    def unpack(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                yield from arrow.arrow_batches(pa.BufferReader(content.as_buffer()))
 
-    return stored.mapInArrow(unpack, "doc_id long, lang string")
+def _src6(spark, sf_dir):
+    return arrow.scan_arrow(spark, _written_arrow(spark, sf_dir)[0], "doc_id long, lang string")
 
 
 def _src7(spark, sf_dir):
@@ -138,10 +154,13 @@ _INDEXED = "SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS ro
 
 
 def _src10(spark, sf_dir):
-    path, _ = _split_files(spark, sf_dir)
-    manifest = files.build_manifest(spark, path).where("path like '%.parquet'")
-    one, other = files.content_identity(manifest), files.content_identity(manifest.repartition(5))
-    return one.unionByName(other).groupBy("files").agg(F.count_distinct("identity").alias("identities"))
+    """The manifest of files whose bytes the SQL can spell: the ids of a source, one per line."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("value"), "source", "doc_id")
+    path = new_folder(spark, "manifest")
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(path)
+    manifest = files.build_manifest(spark, path).where("path like '%.txt'")
+    named = manifest.withColumn("path", F.regexp_extract("path", "source=([^/]*)", 1))
+    return named.crossJoin(files.content_identity(named.repartition(5)))  # one row
 
 
 def _src11(spark, sf_dir):
@@ -160,13 +179,17 @@ def _src12(spark, sf_dir):
 
 
 def _src13(spark, sf_dir):
+    """Files of every format by their number; the array files hold at most ARRAY documents of one source."""
     parquet, _ = _split_files(spark, sf_dir)
-    lines, arrays = _written_lines(spark, sf_dir), _written_arrays(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id")).alias("value"), "source")
+    lines, plain = new_folder(spark, "lines"), new_folder(spark, "plain")
+    rows.repartition("source").write.partitionBy("source").text(lines)
+    rows.select(F.concat(F.lit("-"), "value").alias("value"), "source").repartition("source").write.partitionBy("source").text(plain)
     out = None
-    for path in (parquet, lines, arrays):
-        rows = files.sniff_format(spark, path).where("path rlike 'part-[^/]*$'")
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("format").agg(F.count("*").alias("files")).select("format", (F.col("files") > 0).alias("seen"))
+    for path in (parquet, lines, plain, _written_arrays(spark, sf_dir)):
+        found = files.sniff_format(spark, path).where("path rlike 'part-[^/]*$'")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("format").agg(F.count("*").alias("files"))
 
 
 def _src14(spark, sf_dir):
@@ -201,51 +224,35 @@ def _snk2(spark, sf_dir):
 
 
 def _snk3(spark, sf_dir):
+    """Every conversation row with its whole text and a planted note, exported after redaction."""
     path = new_folder(spark, "export")
-    rows = table(spark, sf_dir, "documents").select("doc_id", redact.redact_text(F.concat(F.lit("see /home/u/"), "source", F.lit(".txt"))).alias("note"))
-    rows.select(F.to_json(F.struct("doc_id", "note")).alias("value")).write.text(path)
-    return spark.read.text(path)
+    note = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.lit("see"), F.concat(F.lit("/home/u/"), "role", F.lit(".txt")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", redact.redact_text(note).alias("note"))
+    rows.select(F.to_json(F.struct("conv_id", "turn", "note")).alias("value")).write.text(path)
+    back = spark.read.text(path).select(F.from_json("value", "conv_id long, turn long, note string").alias("x"))
+    return back.select("x.conv_id", "x.turn", F.md5("x.note").alias("note_md5"))
 
 
 def _udf2(spark, sf_dir):
-    """Lengths by a tokenizer file, loaded once per worker, summed per language; a byte is at most one token."""
+    """Lengths of every text by a tokenizer file, loaded once per worker."""
     from lengthlab.functions.tokenizer import file_token_length
 
     rows = view(spark, sf_dir, "v_text").where("text is not null")
-    lengths = rows.select("row_index", F.octet_length("text").alias("bytes"), file_token_length()(F.col("text")).alias("n"))
-    return lengths.agg(F.count("*").alias("rows"), F.count_if((F.col("n") > F.col("bytes")) | (F.col("n") < 1)).alias("impossible"))
+    return rows.select("row_index", file_token_length()(F.col("text")).alias("n"))
 
 
 def _ds1(spark, sf_dir):
     """The registered data source over Arrow files in the shared folder, where executors can open paths."""
-    import pyarrow as pa
-
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    root = new_folder(spark, "source")
-
-    def write(batches):
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        system, base = fs.FileSystem.from_uri(root) if ":" in root.split("/")[0] else (fs.LocalFileSystem(), root)
-        system.create_dir(base, recursive=True)
-        for i, batch in enumerate(batches):
-            name = f"{base}/{TaskContext.get().partitionId()}-{i}.arrow"
-            with system.open_output_stream(name) as sink, pa.ipc.new_stream(sink, batch.schema) as writer:
-                writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
-
-    paths = [r.path for r in rows.repartition(3).mapInArrow(write, "path string").collect()]  # a listing
-    return arrow.scan_arrow_files(spark, paths, "doc_id long, lang string")
+    return arrow.scan_arrow_files(spark, _written_arrow(spark, sf_dir)[1], "doc_id long, lang string")
 
 
 ENTRIES = {
     "src1_scan_json_lines": (_src1, sql(_LINES)),
     "src2_scan_json_array": (
         _src2,
-        sql("SELECT CASE WHEN doc_id % 20 <> 1 THEN doc_id END AS doc_id, CASE WHEN doc_id % 20 <> 1 THEN lang END AS lang, CASE WHEN doc_id % 20 = 1 THEN 'schema_mismatch' END AS error_code FROM {documents}"),
+        sql("SELECT CASE WHEN doc_id % 20 <> 1 THEN doc_id END AS doc_id, CASE WHEN doc_id % 20 <> 1 THEN lang || ' 9e1234' END AS lang, CASE WHEN doc_id % 20 = 1 THEN 'schema_mismatch' END AS error_code FROM {documents}"),
     ),
-    "src3_scan_json_field": (_src3, sql("SELECT doc_id, lang FROM {documents}")),
+    "src3_scan_json_field": (_src3, sql("SELECT doc_id, lang || ' 9e1234' AS lang FROM {documents}")),
     "src4_scan_csv": (
         _src4,
         sql("""
@@ -257,7 +264,14 @@ SELECT CASE WHEN doc_id % 10 <> 1 THEN doc_id END AS doc_id, CASE doc_id % 10 WH
     "src7_scan_compressed_text": (_src7, sql("SELECT count(*) AS lines, count(*) FILTER (doc_id % 50 = 1) AS broken FROM {documents}")),
     "src8_load_split": (_src8, sql("SELECT doc_id FROM {documents} WHERE source < 'src3'")),
     "src9_with_row_index": (_src9, sql(f"SELECT doc_id, row_index, 'train:' || CAST(row_index AS VARCHAR) AS row_id FROM ({_INDEXED}) t")),
-    "src10_build_manifest": (_src10, sql("SELECT count(DISTINCT source) AS files, 1::BIGINT AS identities FROM {documents}")),
+    "src10_build_manifest": (
+        _src10,
+        sql("""
+SELECT path, size, sha256, sha256(string_agg(path || chr(9) || CAST(size AS VARCHAR) || chr(9) || sha256, chr(10) ORDER BY path) OVER (
+    ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS identity, count(*) OVER () AS files
+FROM (SELECT source AS path, strlen(content)::BIGINT AS size, sha256(content) AS sha256
+  FROM (SELECT source, string_agg(CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY doc_id) AS content FROM {documents} GROUP BY source) c) m"""),
+    ),
     "src11_verify_manifest": (
         _src11,
         sql("""
@@ -270,7 +284,12 @@ FROM {v_manifest_old} a FULL JOIN {v_manifest_new} b ON a.path = b.path WHERE a.
 SELECT split, CASE WHEN split = 'test' THEN 5 ELSE n END::BIGINT AS expected, found, CASE WHEN split = 'test' THEN 5 ELSE n END = found AS complete
 FROM (SELECT CASE WHEN source < 'src3' THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(*) FILTER (doc_id % 100 <> 7) AS found FROM {documents} GROUP BY 1) t"""),
     ),
-    "src13_sniff_format": (_src13, sql("SELECT format, n > 0 AS seen FROM (SELECT count(*) AS n FROM {documents}) t, (VALUES ('parquet'), ('json_lines'), ('json_array')) f(format)")),
+    "src13_sniff_format": (
+        _src13,
+        sql(f"""
+SELECT format, n AS files FROM (SELECT count(DISTINCT source) AS n FROM {{documents}}) t, (VALUES ('parquet'), ('json_lines'), ('text')) f(format)
+UNION ALL SELECT 'json_array', count(DISTINCT source || '/' || CAST(doc_id // {ARRAY} AS VARCHAR)) FROM {{documents}}"""),
+    ),
     "src14_preview": (_src14, sql("SELECT least(100, count(*)) AS rows, false AS exhausted FROM (SELECT doc_id FROM {documents} WHERE source IN (SELECT DISTINCT source FROM {documents} WHERE source >= 'src3' ORDER BY source LIMIT 4)) t")),
     "src15_sample_scan": (_src15, sql(f"SELECT doc_id, row_index FROM ({_INDEXED}) t WHERE row_index < 30")),
     "src16_read_quota": (_src16, sql(f"SELECT least(40, count(*)) AS rows, count(*) > 40 AS over_quota FROM ({_INDEXED}) t")),
@@ -281,8 +300,8 @@ SELECT 'pre_a' AS preprocess_key, processing_status, count(*) AS n FROM {sft} GR
 UNION ALL SELECT 'pre_b', processing_status, count(*) FROM {sft} WHERE split = 'test' GROUP BY processing_status"""),
     ),
     "snk2_read_lengths": (_snk2, sql("SELECT row_id, sequence_tokens::BIGINT AS sequence_tokens FROM {sft} WHERE processing_status = 'ok'")),
-    "snk3_export_results": (_snk3, sql("SELECT '{\"doc_id\":' || CAST(doc_id AS VARCHAR) || ',\"note\":\"see <redacted-path>\"}' AS value FROM {documents}")),
-    "udf2_tokenizer_plugin": (_udf2, sql("SELECT count(*) AS rows, 0::BIGINT AS impossible FROM {v_text} WHERE text IS NOT NULL AND text <> ''")),
+    "snk3_export_results": (_snk3, sql("SELECT conv_id, turn, md5(concat_ws(' ', coalesce(text, ''), 'see <redacted-path>')) AS note_md5 FROM {conversations}")),
+    "udf2_tokenizer_plugin": (_udf2, None),  # no SQL tokenizes by a file; tests compare with the library
     "ds1_file_source": (_ds1, sql("SELECT doc_id, lang FROM {documents}")),
     "win5_file_offsets": (
         lambda s, d: files.file_offsets(

@@ -128,12 +128,15 @@ def _agg16(spark, sf_dir):
 
 
 def _agg17(spark, sf_dir):
-    """The key itself is Spark's; what is compared is that it does not depend on order or partitions."""
-    table = text_lengths(spark, sf_dir)
-    columns = ["row_id", "sequence_tokens", "loss_token_count", "processing_status"]
-    one = S.fingerprint(table, columns)
-    other = S.fingerprint(table.repartition(7).sortWithinPartitions("sequence_tokens"), columns)
-    return one.unionByName(other).groupBy("rows").agg(F.count_distinct("artifact_key").alias("keys"))
+    """The key of the length table, from rows in another order than the scan's."""
+    return S.fingerprint(text_lengths(spark, sf_dir).repartition(7).sortWithinPartitions("sequence_tokens"), list(ARTIFACT))
+
+
+ARTIFACT = ("row_id", "sequence_tokens", "loss_token_count", "processing_status")
+_DIGEST = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in ARTIFACT) + ")"
+_AGG17 = f"""
+SELECT sha256(concat_ws(':', CAST(bit_xor(h) AS VARCHAR), CAST(sum(h) AS VARCHAR), CAST(count(*) AS VARCHAR))) AS artifact_key, count(*) AS rows
+FROM (SELECT CAST('0x' || substr(md5({_DIGEST}), 1, 15) AS BIGINT) AS h FROM {{sft}}) t"""
 
 
 def _win2(spark, sf_dir):
@@ -238,7 +241,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY finding ORDER BY row_index) AS k
         _agg16,
         sql("SELECT count(*) FILTER (trim(system) = '') AS omitted_under_omit, CAST(NULL AS BIGINT) AS omitted_under_keep, count(*) AS rows FROM {v_preference}"),
     ),
-    "agg17_artifact_fingerprint": (_agg17, sql("SELECT CAST(1 AS BIGINT) AS keys, count(*) AS rows FROM {sft}")),
+    "agg17_artifact_fingerprint": (_agg17, sql(_AGG17)),
     "win1_top_rows": (
         lambda s, d: S.top_rows(text_branches(s, d)).select("branch", "place", "row_id", "length"),
         sql("SELECT branch, place::INT AS place, row_id, length::BIGINT AS length FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY length DESC, row_index) AS place FROM {br}) t WHERE place <= 10"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +21,41 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+#: Stores whose files Arrow can open by path on the executors, so that a few bytes are read instead of the file.
+RANGED = ("file", "hdfs", "s3", "gs")
+HEAD, TAIL = 64, 4
+
+
+def _ends(spark: SparkSession, path: str) -> DataFrame:
+    """(path, head, tail): the first and last bytes of every file."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    first = rows.select("path").first()
+    scheme = first.path.split(":", 1)[0] if first else "file"
+    if scheme not in RANGED:  # through Spark, which can only read files whole
+        return rows.select("path", F.substring("content", 1, HEAD).alias("head"), F.expr(f"right(hex(content), {2 * TAIL})").alias("tail"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            heads, tails = [], []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, place = fs.FileSystem.from_uri(name)
+                with system.open_input_file(place) as file:
+                    heads.append(file.read_at(min(size, HEAD), 0))
+                    tails.append(file.read_at(min(size, TAIL), max(0, size - TAIL)).hex().upper())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary()), pa.array(tails)], names=["path", "head", "tail"])
+
+    return rows.select("path", "length").mapInArrow(run, "path string, head binary, tail string")
+
+
 def sniff_format(spark: SparkSession, path: str) -> DataFrame:
     """(path, format): the content decides, not the name: parquet, arrow, json_array, json_lines or text."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    head, tail = F.substring("content", 1, 6), F.expr("right(hex(content), 8)")
-    first = F.substring(F.ltrim(F.decode(F.substring("content", 1, 64), "ISO-8859-1")), 1, 1)
-    magic = F.hex(head)
+    rows = _ends(spark, path)
+    first = F.substring(F.ltrim(F.decode("head", "ISO-8859-1")), 1, 1)
+    magic = F.hex("head")
     kind = (
-        F.when(magic.startswith("50415231") & (tail == "50415231"), "parquet")
+        F.when(magic.startswith("50415231") & (F.col("tail") == "50415231"), "parquet")
         .when(magic.startswith("4152524F5731") | magic.startswith("FFFFFFFF"), "arrow")
         .when(first == "[", "json_array")
         .when(first == "{", "json_lines")
@@ -85,7 +115,7 @@ def build_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_identity(manifest: DataFrame) -> DataFrame:
-    """One sha256 over the sorted entries; it does not depend on the order of files."""
+    """One sha256 over the sorted entries, one short line per file; it does not depend on the order of files."""
     entries = F.array_sort(F.collect_list(F.concat_ws("\t", "path", F.col("size").cast("string"), "sha256")))
     return manifest.agg(F.sha2(F.array_join(entries, "\n"), 256).alias("identity"), F.count("*").alias("files"))
 

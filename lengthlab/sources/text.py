@@ -1,6 +1,7 @@
 """Text formats in which a bad record is a failed row, not a failed job: JSON lines, JSON arrays and fields, CSV.
 
-Readers return the declared columns plus `line` (1-based) or `element` (0-based) within the file, `path` and
+An array or a field below an object has no record boundaries for Spark, so one file is one unit of work and must fit
+into a string of a task (2 GB at most); write many files. Readers return the declared columns plus `line` (1-based) or `element` (0-based) within the file, `path` and
 `error_code` (null for good rows; failed rows have null columns).
 """
 
@@ -29,17 +30,22 @@ def indexed_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return joined.select("path", (F.col("offset") + F.col("rid") - F.col("first") + 1).alias("line"), "value")
 
 
+def _too_large(text: Column) -> Column:
+    """Whether a number with a point or an exponent is beyond double range; what stands in strings does not count."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
+    numbers = F.regexp_extract_all(bare, F.lit(r"[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"), F.lit(0))
+    beyond = F.exists(numbers, lambda n: n.rlike("[.eE]") & (n.try_cast("double") == float("inf")))
+    return F.when(text.rlike(r"[0-9][eE]\+?[0-9]{2}|[0-9]{300}"), beyond).otherwise(False)
+
+
 def _record_problem(text: Column, parsed: Column) -> Column:
-    """Why a JSON record is bad: json_parse, not_an_object, duplicate_key; null if it is fine."""
-    keys = F.regexp_extract_all(F.regexp_replace(text, r'\\.', ''), F.lit(r'"([^"]*)"\s*:'), F.lit(1))
-    flat = ~text.rlike(r"^\s*\{.*[\{\[].*\}\s*$")
-    doubled = flat & (F.size(F.array_distinct(keys)) < F.size(keys))
+    """Why a JSON record is bad: invalid_utf8, json_parse (a repeated key and an infinite number too), not_an_object,
+    schema_mismatch; null if it is fine."""
     variant = F.try_parse_json(text)
-    overflow = text.rlike(r"[0-9][eE]\+?[0-9]{3,}")
     return (
-        F.when(variant.isNull() | overflow, "json_parse")
+        F.when(~F.is_valid_utf8(text), "invalid_utf8")
+        .when(variant.isNull() | _too_large(text), "json_parse")
         .when(~F.schema_of_variant(variant).startswith("OBJECT"), "not_an_object")
-        .when(doubled, "json_parse")
         .when(parsed.isNull(), "schema_mismatch")
     )
 
@@ -83,14 +89,27 @@ def scan_json_field(spark: SparkSession, paths: list[str] | str, field: str, sch
     return rows.select(F.col("_metadata.file_path").alias("path"), F.posexplode(field).alias("element", "row")).select("path", "element", "row.*")
 
 
-def scan_csv(spark: SparkSession, paths: list[str] | str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """CSV with a header, quoted separators and line ends; NA tokens are null; values that do not fit the type fail the row."""
-    strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    rows = spark.read.schema(strings).csv(paths, header=True, multiLine=True, escape='"', sep=sep)
-    clean = [F.when(~F.col(f"`{f.name}`").isin(*NA_TOKENS), F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields]
-    rows = rows.select(F.col("_metadata.file_path").alias("path"), *clean)
+def scan_csv(
+    spark: SparkSession, paths: list[str] | str, schema: T.StructType, sep: str = ",", na: tuple[str, ...] = NA_TOKENS
+) -> DataFrame:
+    """CSV with a header, quoted separators and line ends; the declared columns are found by their names in it.
+
+    A declared column that the header lacks is null, other columns are not kept. All files of a call have the header of
+    the first; another one is an error, so no column can take another's place. Cells in `na` are null; values that do
+    not fit the type fail the row. `element` is the 0-based place of the record in its file.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "sep": sep, "enforceSchema": False}
+    rows = spark.read.options(**options).csv(paths)
+    there = set(rows.columns)
+    cells = [F.col(f"`{f.name}`") if f.name in there else F.lit(None).cast("string") for f in schema.fields]
+    clean = [F.when(~c.isin(*na), c).alias(f.name) for f, c in zip(schema.fields, cells)]
+    place = F.monotonically_increasing_id().alias("_place")  # a file with quoted line ends is read by one task, in order
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), place, *clean)
+    first = rows.groupBy("path").agg(F.min("_place").alias("_first"))
+    rows = rows.join(first, "path").withColumn("element", F.col("_place") - F.col("_first"))
     cast = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields}
     lost = F.lit(False)
     for name, value in cast.items():
         lost = lost | (F.col(f"`{name}`").isNotNull() & value.isNull())
-    return rows.select("path", *[F.when(~lost, v).alias(n) for n, v in cast.items()], F.when(lost, "schema_mismatch").alias("error_code"))
+    good = [F.when(~lost, v).alias(n) for n, v in cast.items()]
+    return rows.select("path", "element", *good, F.when(lost, "schema_mismatch").alias("error_code"))

@@ -16,13 +16,13 @@ SELECT doc_id AS row_index, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' E
   CASE WHEN doc_id % 97 = 0 THEN NULL ELSE text END AS text FROM {documents}""",
     "v_messages": "SELECT conv_id, turn, role, text AS content FROM {conversations}",
     "v_preference": """
-SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS row_index, conv_id,
+SELECT CAST(conv_id AS BIGINT) * 100000 + turn AS row_index, conv_id,
   CASE WHEN sys IS NULL THEN '' ELSE sys END AS system, prompt, chosen, rejected
 FROM (SELECT conv_id, turn, role, text AS chosen,
     lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt,
     lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role,
     max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS sys,
-    lead(text) OVER (PARTITION BY role ORDER BY conv_id, turn) AS rejected
+    coalesce(lead(text) OVER (PARTITION BY conv_id, role ORDER BY turn), lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn)) AS rejected
   FROM {conversations}) c
 WHERE role = 'assistant' AND prev_role = 'user'""",
     "v_events": """
