@@ -7,10 +7,15 @@ from a heap over two sorted lists. A query visits cells until they hold a share
 sample showed to be enough for TARGET recall (and FIRST vectors at least); this budget grows with the table
 and caps no cell. All vectors are indexed.
 
-Entries are packed into blocks of one first code and at most about BLOCK vectors (large cells are split by a
-hash), and queries into chunks, so a task holds one block and one chunk, whatever the skew. A first probe of
-each query's best cells gives its k-th best score so far; the second probe, over the other visited cells,
-passes on only what reaches that score. Scores are summed in double precision from the original vectors.
+Cells in the order of their codes are packed into blocks of about as many vectors each; a large cell is split by
+a hash. The block is the key of the join, so the number of keys grows with the table, and a block is read by
+one task with chunks of the queries that visit it; a query's vector travels once for each block it visits, with
+one bit per cell. A first probe of each query's best cells gives its k-th best score so far; the second probe,
+over the other visited cells, passes on only what reaches that score, k entries per query and block at most.
+Scores are summed in double precision from the original vectors.
+
+What a query visits is a share of the table, so the scores computed grow with queries times vectors. On vectors
+without structure the share that TARGET needs lies above one half, whatever the index; on clustered ones it is small.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 nor do rows without an id. Of several vectors with one id the least counts. Ties go to the smaller id. With
@@ -36,17 +41,20 @@ TARGET = 0.94
 FIRST = 200
 #: The first probe takes this part of the budget, so what reaches its k-th best score stays in proportion to k.
 EARLY = 8
-BLOCK = 1024
-CHUNK = 256
+#: Vectors of a block: a part of the table between these bounds.
+BLOCK, LARGE_BLOCK, BLOCKS = 1024, 8192, 256
+#: Queries that are held against a block at a time, and of these against all its vectors at once.
+CHUNK, STEP = 256, 32
 ROUNDS = 12
-#: Vectors per cell aimed at, and the largest codebook.
+#: Vectors per cell aimed at, and the largest codebook, which the sample must be able to fill; the driver holds a number per cell.
 PER_CELL = 16
-MOST_CODES = 256
+MOST_CODES = 1024
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): the vectors that take part, in double precision, one per id."""
-    v = F.col(vector_col).cast("array<double>")
+    """(id, v): the vectors that take part, one per id; single precision stays as it is stored."""
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
         F.coalesce(F.forall(F.col("v"), lambda x: x.isNotNull()), F.lit(False))
@@ -99,32 +107,56 @@ def cells_in_order(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int,
 
 @dataclass
 class Codebooks:
-    """Both codebooks, how many vectors each cell holds, and the share of vectors to visit."""
+    """Both codebooks, the share of vectors to visit, how many vectors each cell holds, and the blocks of cells.
+
+    Cells are numbered row by row. Cell c lies in the blocks block[c] to block[c] + splits[c] - 1, and `low` is the first
+    cell of each block.
+    """
 
     first: np.ndarray
     second: np.ndarray
     share: float
     sizes: np.ndarray | None = None
+    block: np.ndarray | None = None
+    splits: np.ndarray | None = None
+    low: np.ndarray | None = None
 
     @property
     def half(self) -> int:
         return self.first.shape[1]
 
-    def codes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return nearest(vectors[:, : self.half], self.first), nearest(vectors[:, self.half :], self.second)
-
-    def order(self, query: np.ndarray) -> Iterator[tuple[int, int]]:
-        return cells_in_order(self.first @ query[: self.half], self.second @ query[self.half :])
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        return nearest(vectors[:, : self.half], self.first) * len(self.second) + nearest(vectors[:, self.half :], self.second)
+
+    def order(self, query: np.ndarray) -> Iterator[int]:
+        n = len(self.second)
+        return (i * n + j for i, j in cells_in_order(self.first @ query[: self.half], self.second @ query[self.half :]))
+
+    def lay_out(self, sizes: np.ndarray) -> None:
+        """Blocks of whole cells up to about the block size; a larger cell fills blocks of its own."""
+        most = int(np.clip(sizes.sum() // BLOCKS, BLOCK, LARGE_BLOCK))
+        self.sizes, self.splits = sizes, np.maximum(1, -(-sizes // most))
+        self.block, self.low = np.zeros(len(sizes), np.int64), []
+        held = most + 1  # so that the first cell opens a block
+        for cell, (size, splits) in enumerate(zip(sizes.tolist(), self.splits.tolist())):
+            if held + size > most:
+                self.block[cell] = len(self.low)
+                self.low += [cell] * splits
+                held = most + 1 if splits > 1 else size
+            else:
+                self.block[cell] = len(self.low) - 1
+                held += size
+        self.low = np.array(self.low, np.int64)
 
 
 def train(sample: np.ndarray, total: int, k: int, target: float = TARGET) -> Codebooks:
     """Codebooks from the sample, and the share of it that queries drawn from it must visit."""
-    codes = int(np.clip(np.sqrt(total / PER_CELL), 2, MOST_CODES))
+    codes = int(np.clip(np.sqrt(total / PER_CELL), 2, min(MOST_CODES, max(2, len(sample) // PER_CELL))))
     codes = min(codes, len(sample))
     half = sample.shape[1] // 2
     books = Codebooks(k_means(sample[:, :half], codes), k_means(sample[:, half:], codes), 1.0)
-    i, j = books.codes(sample)
-    sizes = np.bincount(i * codes + j, minlength=codes * codes)
+    cells = books.cells(sample)
+    sizes = np.bincount(cells, minlength=codes * codes).tolist()
     needed = []
     for q in range(min(SAMPLE_QUERIES, len(sample))):
         score = sample @ sample[q]
@@ -132,19 +164,28 @@ def train(sample: np.ndarray, total: int, k: int, target: float = TARGET) -> Cod
         best = np.argsort(-score)[: min(k, len(sample) - 1)]
         place = np.empty(codes * codes, np.int64)
         seen = 0
-        for a, b in books.order(sample[q]):
-            seen += sizes[a * codes + b]
-            place[a * codes + b] = seen
-        needed += (place[i[best] * codes + j[best]] / len(sample)).tolist()
+        for cell in books.order(sample[q]):
+            seen += sizes[cell]
+            place[cell] = seen
+        needed += (place[cells[best]] / len(sample)).tolist()
     books.share = float(min(1.0, 1.1 * np.quantile(needed, target))) if needed else 1.0
     return books
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy()
+    flat = column.flatten().to_numpy().astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _sampled(rows: DataFrame, total: int) -> np.ndarray:
+    """About SAMPLE vectors by a hash of their ids; few more than these leave the executors."""
+    among = 1 << 20
+    below = min(among, int(1.3 * SAMPLE / max(1, total) * among) + 1)
+    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(among)) < below) if total > 2 * SAMPLE else rows
+    table = drawn.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    return _vectors(table.column("v").combine_chunks()) if table.num_rows else np.zeros((1, 2))
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -155,93 +196,120 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found; is_query is a condition on the column id."""
     rows = usable(vectors, id_col, vector_col)
+    kind = rows.schema["v"].dataType.simpleString()
     total = rows.count()
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    sample = _vectors(drawn.column("v").combine_chunks()) if drawn.num_rows else np.zeros((1, 2))
-    books = train(sample, total, k, target)
+    books = train(_sampled(rows, total), total, k, target)
     codes = len(books.first)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                i, j = books.codes(_vectors(batch.column("v")))
-                arrays = [batch.column("id"), batch.column("v"), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "v", "i", "j"])
+                cells = pa.array(books.cells(_vectors(batch.column("v"))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), cells], names=["id", "v", "cell"])
 
-    placed = materialise(rows.mapInArrow(place, "id long, v array<double>, i int, j int"), "placed")
-    counts = placed.groupBy("i", "j").count().collect()  # codes squared rows at most
-    books.sizes = np.zeros((codes, codes), np.int64)
+    placed = materialise(rows.mapInArrow(place, f"id long, v {kind}, cell int"), "placed")
+    counts = placed.groupBy("cell").count().collect()  # codes squared rows at most
+    sizes = np.zeros(codes * codes, np.int64)
     for r in counts:
-        books.sizes[r.i, r.j] = r["count"]
-    splits = np.maximum(1, -(-books.sizes.sum(axis=1) // BLOCK)).tolist()
-    split_of = F.element_at(F.array(*map(F.lit, splits)), F.col("i") + 1)
-    blocks = placed.withColumn("split", F.pmod(F.xxhash64("id"), split_of)).groupBy("i", "split")
-    blocks = materialise(blocks.agg(F.collect_list(F.struct("id", "j", "v")).alias("entries")), "blocks")
+        sizes[r.cell] = r["count"]
+    books.lay_out(sizes)
+    shared = placed.sparkSession.sparkContext.broadcast(books)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the block of each vector."""
+        own = shared.value
+        for batch in batches:
+            cell, ids = batch.column("cell").to_numpy(), batch.column("id").to_numpy()
+            mixed = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            block = own.block[cell] + (mixed % own.splits[cell].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], names=["id", "v", "cell", "block"])
+
+    dealt = placed.mapInArrow(deal, f"id long, v {kind}, cell int, block long")
+    blocks = materialise(dealt.groupBy("block").agg(F.collect_list(F.struct("id", "cell", "v")).alias("entries")), "blocks")
 
     queries = placed.where(is_query).select("id", "v")
     chunks = max(1, -(-queries.count() // CHUNK))
     most = max(FIRST, int(np.ceil(books.share * total)))
     early_most = max(FIRST, most // EARLY)
-    shared = placed.sparkSession.sparkContext.broadcast(books)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each query and first code, the second codes to visit as bits, apart for the first probe and the rest."""
+        """For each query and block the cells to visit as bits, apart for the first probe and the rest."""
         own = shared.value
-        n = len(own.first)
+        each = own.sizes.tolist()
         for batch in batches:
             out: list[tuple] = []
             for row, query in enumerate(_vectors(batch.column("v"))):
-                seen, early, late = 0, {}, {}
-                for i, j in own.order(query):
+                seen, early, cells = 0, 0, []
+                for cell in own.order(query):
                     if seen >= most:
                         break
-                    size = int(own.sizes[i, j])
-                    if size:
-                        (early if seen < early_most else late).setdefault(i, []).append(j)
-                        seen += size
-                for probe, part in ((0, early), (1, late)):
-                    for i, js in part.items():
-                        bits = np.zeros(n, bool)
-                        bits[js] = True
-                        out.append((row, probe, i, np.packbits(bits).tobytes()))
+                    if each[cell]:
+                        early += seen < early_most
+                        cells.append(cell)
+                        seen += each[cell]
+                for probe, part in ((0, cells[:early]), (1, cells[early:])):
+                    part = np.sort(np.array(part, np.int64))
+                    starts = np.flatnonzero(np.diff(own.block[part], prepend=-1))
+                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+                        cell = part[a]
+                        block, low = int(own.block[cell]), int(own.low[own.block[cell]])
+                        bits = np.zeros(int(part[b - 1]) - low + 1, bool)
+                        bits[part[a:b] - low] = True
+                        packed = np.packbits(bits).tobytes()
+                        out += [(row, probe, block + s, packed) for s in range(int(own.splits[cell]))]
             if out:
-                at, probe, i, bits = zip(*out)
+                at, probe, block, bits = zip(*out)
                 at = pa.array(at)
                 arrays = [batch.column("id").take(at), batch.column("v").take(at), pa.array(probe, pa.int32())]
-                arrays += [pa.array(i, pa.int32()), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "q", "probe", "i", "bits"])
+                arrays += [pa.array(block, pa.int64()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "q", "probe", "block", "bits"])
 
-    visits = queries.mapInArrow(visit, "query_id long, q array<double>, probe int, i int, bits binary")
+    # Queries are few for their work, so they are dealt out over all tasks.
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    visits = queries.repartition(tasks).mapInArrow(visit, f"query_id long, q {kind}, probe int, block long, bits binary")
     visits = materialise(visits, "visits")
+    names = ["query_id", "vec_id", "score"]
+
+    def best_of(own: np.ndarray, q: np.ndarray, floor: np.ndarray, visited: np.ndarray, ids: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        """The k best entries of each query, ties by id; an entry must reach the query's floor."""
+        score = np.where(visited, q @ e.T, -np.inf)
+        if score.shape[1] > k:
+            floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
+        row, col = np.nonzero(visited & (score >= (floor - slack)[:, None]))
+        exact = (q[row] * e[col]).sum(axis=1)  # the same order of sums for equal vectors anywhere
+        order = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, exact = row[nth < k], col[nth < k], exact[nth < k]
+        return pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[col]), pa.array(exact)], names=names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = shared.value.low
         for whole in batches:
             for at in range(whole.num_rows):
                 batch = whole.slice(at, 1)
+                low = lows[batch.column("block")[0].as_py()]
                 entries, asked = batch.column("entries").flatten(), batch.column("asked").flatten()
-                ids, j, e = entries.field("id").to_numpy(), entries.field("j").to_numpy(), _vectors(entries.field("v"))
+                ids, e = entries.field("id").to_numpy(), _vectors(entries.field("v"))
+                cell = entries.field("cell").to_numpy() - low
                 own, q = asked.field("query_id").to_numpy(), _vectors(asked.field("q"))
-                floor = asked.field("floor").to_numpy()
-                bits = np.frombuffer(b"".join(asked.field("bits").to_pylist()), np.uint8).reshape(len(own), -1)
-                visited = np.unpackbits(bits, axis=1)[:, j].astype(bool) & (own[:, None] != ids[None, :])
-                score = np.where(visited, q @ e.T, -np.inf)
-                if score.shape[1] > k:
-                    kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-                    floor = np.maximum(floor, kth)
-                slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-                row, col = np.nonzero(visited & (score >= (floor - slack)[:, None]))
-                exact = (q[row] * e[col]).sum(axis=1)  # the same order of sums for equal vectors anywhere
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[col]), pa.array(exact)], names=names)
-
-    names = ["query_id", "vec_id", "score"]
+                floor, bits = asked.field("floor").to_numpy(), asked.field("bits").to_pylist()
+                width = int(cell.max()) // 8 + 1
+                for a in range(0, len(own), STEP):
+                    part = slice(a, a + STEP)
+                    flat = np.frombuffer(b"".join([b[:width].ljust(width, b"\0") for b in bits[part]]), np.uint8)
+                    visited = np.unpackbits(flat.reshape(-1, width), axis=1)[:, cell].astype(bool)
+                    yield best_of(own[part], q[part], floor[part], visited & (own[part, None] != ids[None, :]), ids, e)
 
     def probed(asked: DataFrame) -> DataFrame:
-        """The best of each asked row's cells; rows: query_id, q, i, bits, floor."""
+        """The best of each asked row's cells; rows: query_id, q, block, bits, floor."""
         chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
-        packed = asked.groupBy("i", chunk.alias("chunk")).agg(
+        packed = asked.groupBy("block", chunk.alias("chunk")).agg(
             F.collect_list(F.struct("query_id", "q", "bits", "floor")).alias("asked")
         )
-        return blocks.join(packed, "i").select("entries", "asked").mapInArrow(probe, "query_id long, vec_id long, score double")
+        joined = blocks.join(packed, "block").select("block", "entries", "asked")
+        return joined.mapInArrow(probe, "query_id long, vec_id long, score double")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 

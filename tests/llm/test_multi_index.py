@@ -64,3 +64,31 @@ def test_one_vector_many_times(spark):
     out, wanted = found(multi_index.search(df, F.col("id") % 500 == 0)), brute(rows, every=500)
     hits = sum(len({i for i, _ in out[q]} & {i for i, _ in near}) for q, near in wanted.items())
     assert hits / sum(map(len, wanted.values())) >= 0.9
+
+
+def test_clustered_vectors_need_a_small_share(spark):
+    """Where vectors have structure, the index visits little of the table and finds the nearest all the same."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((80, 32))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    points = np.repeat(centres, 100, axis=0) + 0.05 * rng.standard_normal((8000, 32))
+    assert multi_index.train(points[::2], len(points), 20).share < 0.15
+    rows = [(i, v) for i, v in enumerate(points.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, wanted = found(multi_index.search(df, F.col("id") % 20 == 0)), brute(rows)
+    hits = sum(len({i for i, _ in out[q]} & {i for i, _ in near}) for q, near in wanted.items())
+    assert hits / sum(map(len, wanted.values())) >= 0.9
+
+
+def test_blocks_hold_every_cell_once():
+    rng = np.random.default_rng(6)
+    books = multi_index.Codebooks(np.zeros((40, 2)), np.zeros((40, 2)), 1.0)
+    sizes = rng.integers(0, 60, 1600) * (rng.random(1600) < 0.5)
+    sizes[[0, 7, 8, 1599]] = [0, 5000, 1, 3000]
+    books.lay_out(sizes)
+    held = np.zeros(len(books.low), np.int64)
+    for cell in np.flatnonzero(sizes):
+        first, splits = books.block[cell], books.splits[cell]
+        assert (books.low[first : first + splits] <= cell).all() and (splits == 1 or (books.low[first : first + splits] == cell).all())
+        held[first : first + splits] += -(-sizes[cell] // splits)
+    assert held.max() <= max(multi_index.BLOCK, sizes.sum() // multi_index.BLOCKS) and held.sum() >= sizes.sum()
