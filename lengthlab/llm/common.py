@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,10 @@ def scratch_root(spark: SparkSession) -> str:
     return shared or _local_folder(context.applicationId)
 
 
+#: Folders of the tables that this process has materialised and not yet deleted.
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared scratch folder and reads them back.
 
@@ -59,17 +64,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # for discard()
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _made:
+        _made.remove(folder)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables that nothing reads any more, so that scratch does not pile up over many rounds."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table._scratch)
+
+
+def sweep(docs: DataFrame) -> None:
+    """Deletes all scratch tables but `docs`, and frees the shuffles of plans that nobody holds any more.
+
+    For the start of a pipeline stage: by then the results of earlier stages have been written.
+    """
+    for folder in [x for x in _made if x != getattr(docs, "_scratch", None)]:
+        _delete(docs.sparkSession, folder)
+    free_shuffles(docs.sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM collects the plans that made them, which a driver with memory to spare seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: A key is heavy where it holds one in so many rows or more, so there are at most as many heavy keys.

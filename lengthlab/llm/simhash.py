@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lengthlab.llm.common import discard, look_up, materialise, read, text_or_empty
+from lengthlab.llm.common import discard, free_shuffles, look_up, materialise, read, text_or_empty
 from lengthlab.llm.components import connected_components
 
 SEED = 42
@@ -159,8 +159,8 @@ def _apart(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def fingerprint_components(fps: DataFrame) -> DataFrame:
-    """(fp, component) for each distinct fingerprint in `fps`; component is a fingerprint of its group."""
+def first_groups(fps: DataFrame) -> DataFrame:
+    """(fp, component) for each distinct fingerprint, linked to its neighbour and the first one under each key."""
     distinct = materialise(fps.select("fp").distinct(), "distinct")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes over a hundred
     keyed = _keyed(distinct.repartition(parts).withColumn("component", F.col("fp")))
@@ -173,6 +173,13 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
         distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "first"
     )
     discard(distinct)
+    return first
+
+
+def fingerprint_components(fps: DataFrame) -> DataFrame:
+    """(fp, component) for each distinct fingerprint in `fps`; component is a fingerprint of its group."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = first_groups(fps)
 
     # One exchange by key serves both the test for open keys and the comparison under them.
     under = Window.partitionBy("key")
@@ -302,12 +309,20 @@ def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"row {kind}, digest binary, fp long, size int, prefix array<long>, bits array<long>")
 
 
+def _differ(x: str, y: str) -> str:
+    """SQL for the bits in which two parities differ, after the wider one is folded to the width of the other."""
+    half = f"least(size({x}), size({y}))"
+    narrow = "if(size({0}) = {1}, {0}, zip_with(slice({0}, 1, {1}), slice({0}, {1} + 1, {1}), (p, q) -> p ^ q))"
+    return f"aggregate(zip_with({narrow.format(x, half)}, {narrow.format(y, half)}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return F.expr(f"5 * least({a}.size, {b}.size) >= 4 * greatest({a}.size, {b}.size)")
+
+
 def _may_match(a: str, b: str) -> Column:
     """Sizes and places of a common shingle leave room for the similarity; true for the first common one of near copies."""
-    return F.expr(
-        f"5 * least({a}.size, {b}.size) >= 4 * greatest({a}.size, {b}.size) and "
-        f"9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size)"
-    )
+    return _sizes_fit(a, b) & F.expr(f"9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size)")
 
 
 def _not_apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -315,14 +330,11 @@ def _not_apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Sets that share 0.8 of their union differ in a ninth of the sum of their sizes at most.
     """
-    half = "least(size(x), size(y))"
-    narrow = "if(size({0}) = " + half + ", {0}, zip_with(slice({0}, 1, " + half + "), slice({0}, " + half + " + 1, " + half + "), (p, q) -> p ^ q))"
-    differ = f"aggregate(zip_with({narrow.format('x')}, {narrow.format('y')}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side, bits, size in (("a", "x", "n"), ("b", "y", "m")):
-        pairs = pairs.join(sets.select(F.col("rid").alias(side), F.col("bits").alias(bits), F.col("size").alias(size)), side)
-    close = pairs.where("5 * least(n, m) >= 4 * greatest(n, m)")
-    return materialise(close.where(f"9 * {differ} <= n + m").select("a", "b"), "pairs")
+    for side, x in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("rid").alias(side), F.struct("size", "bits").alias(x)), side)
+    close = pairs.where(_sizes_fit("x", "y")).withColumn("apart", F.expr(_differ("x.bits", "y.bits")))
+    return materialise(close.where("9 * apart <= x.size + y.size").select("a", "b", "apart"), "pairs")
 
 
 def _texts_of(rows: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
@@ -375,12 +387,12 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     """Materialised (rid, component) for the sets that are not their component's own name: the closure of all links.
 
     sets: materialised (rid, fp, size, prefix, bits), one of each set of shingles; rows hold their texts.
-    First the SimHash operator links fingerprints within 4 bits, and every member of such a group is verified against
-    one of them. The rest comes from the prefixes: while a key holds two components, their name-givers are verified,
+    First the SimHash operator's keys link fingerprints within 4 bits, and every member of such a group is verified
+    against one of them. The rest comes from the prefixes: while a key holds two components, their name-givers are verified,
     for ROUNDS rounds; then under each key that still holds several components all members outside its largest one
     are compared with the members of the others. So a large group costs one pair per member and no pair is lost.
     """
-    prints = materialise(fingerprint_components(sets.select("fp")), "prints")
+    prints = first_groups(sets.select("fp"))
     named = materialise(look_up(sets.select("rid", "fp"), prints, "fp").select("rid", "component"), "named")
     hubs = materialise(named.groupBy("component").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     stars = look_up(named, hubs, "component").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b"))
@@ -389,6 +401,7 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     links = _verified(pairs, texts)  # a is the smaller id, here the hub
     labels = materialise(links.select(F.col("b").alias("rid"), F.col("a").alias("component")), "labels")
     discard(prints, named, hubs, pairs, texts, links)
+    free_shuffles(rows.sparkSession)
 
     def labelled(members: DataFrame) -> DataFrame:
         return members.join(labels, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
@@ -402,13 +415,18 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     if first.isEmpty():
         return labels
     keyed = sets.select("rid", "size", F.posexplode("prefix").alias("pos", "key"))
-    members = materialise(keyed.join(first.select("key"), "key", "left_semi"), "members")
+    few = first.count() <= MAX_BROADCAST_IDS
+    open_keys = first.select("key")
+    members = materialise(keyed.join(F.broadcast(open_keys) if few else open_keys, "key", "left_semi"), "members")
+    free_shuffles(rows.sparkSession)
     texts = _texts_of(rows, members, text_col)
     found = first
     for _ in range(ROUNDS):
         pairs = _not_apart(found.select("a", "b"), sets)
+        # One pair for each b, the closest: it links most that can be linked, and few texts move.
+        pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
         links = _verified(pairs, texts)
-        discard(pairs, found)
+        discard(found)
         if links.isEmpty():
             break
         labels = _merged(labels, links)
@@ -418,14 +436,16 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     else:
         discard(found)
     open_keys = several(labelled(members)).select("key")
-    rest = labelled(members.join(open_keys, "key", "left_semi"))
-    rest = materialise(rest.select("key", F.struct("rid", "size", "pos").alias("x"), "component"), "rest")
+    rest = labelled(members.join(open_keys, "key", "left_semi")).join(sets.select("rid", "bits"), "rid")
+    rest = materialise(rest.select("key", F.struct("rid", "size", "pos", "bits").alias("x"), "component"), "rest")
     sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     minor = rest.join(largest, "key").where("component <> largest").select("key", "x", F.col("component").alias("cx"))
     other = rest.select("key", F.col("x").alias("y"), F.col("component").alias("cy"))
+    # All that rules a pair out is part of the join, so that a large group of texts just below the similarity emits none.
     near = minor.join(other, "key").where("cx <> cy").where(_may_match("x", "y"))
-    pairs = _not_apart(near.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")), sets)
+    near = near.where(f"9 * {_differ('x.bits', 'y.bits')} <= x.size + y.size").select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
+    pairs = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = _verified(pairs, texts)
     discard(texts, members, rest, pairs)
     return labels if links.isEmpty() else _merged(labels, links)

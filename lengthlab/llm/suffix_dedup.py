@@ -14,8 +14,9 @@ independent, so they are dealt out by the anchor's hash:
    its members. Members are then told apart by what stands to their left: a repeat is as long as the
    interval's prefix plus the left extension that members share, and where the extension stops, members
    differ on the left, so the group is maximal. Every member but the earliest of its group is covered.
-3. Stretches with more than MOST_SUFFIXES suffixes leave the scan; their windows are hashed one by one and
-   compared by a shuffle, which gives the same bytes without holding the stretch in one task.
+3. Stretches with more than MOST_SUFFIXES suffixes are never dealt to one task; their windows are hashed one by
+   one and compared by a shuffle, which gives the same bytes. Only the least place of each window is gathered,
+   by partial minima, so a window that stands very often is no heavy key.
 
 Matches never cross documents. Documents are ordered by doc_id (null first; rows with the same doc_id by
 their text, and of equal rows one counts as the first). Null text counts as empty. An empty table gives no
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lengthlab.llm.common import materialise, read, slices
+from lengthlab.llm.common import look_up, materialise, read, slices
 
 LENGTH = 100
 ANCHOR = 32
@@ -305,8 +306,8 @@ def scan(hashes: np.ndarray, rank: np.ndarray, around: list[bytes], before: np.n
     return [(row, e, d) for row, (e, d) in enumerate(zip(before_it, after_it)) if d >= 0]
 
 
-def _scanned(rows: DataFrame, most: int) -> DataFrame:
-    """(did, ord, start, stop, around): covered bytes; with `around`, a suffix of a stretch that is too large."""
+def _scanned(rows: DataFrame) -> DataFrame:
+    """(did, ord, start, stop): covered bytes; rows: suffixes of stretches that one task can hold."""
 
     def tell(table: pa.Table) -> Iterator[pa.RecordBatch]:
         columns = [table.column(c).to_numpy() for c in ("h", "did", "ord", "pos")]
@@ -317,64 +318,26 @@ def _scanned(rows: DataFrame, most: int) -> DataFrame:
         found = scan(h, rank, table.column("around").to_pylist(), np.minimum(pos, LEFT).astype(np.int64))
         if found:
             row, left, right = (np.array(x, np.int64) for x in zip(*found))
-            yield out(did[row], ord_[row], pos[row] - left, pos[row] + right, pa.nulls(len(row), pa.binary()))
-
-    def out(did, ord_, start, stop, around) -> pa.RecordBatch:
-        arrays = [pa.array(did), pa.array(ord_), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), around]
-        return pa.RecordBatch.from_arrays(arrays, names=["did", "ord", "start", "stop", "around"])
-
-    def pass_on(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for part in table.combine_chunks().to_batches(max_chunksize=5000):
-            did, ord_, pos = (part.column(c).to_numpy() for c in ("did", "ord", "pos"))
-            yield out(did, ord_, np.maximum(pos - LEFT, 0), pos, part.column("around"))
+            arrays = [did[row], ord_[row], (pos[row] - left).astype(np.int32), (pos[row] + right).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["did", "ord", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        large = None  # the hash of a stretch that is being passed on
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            if held is not None and held.num_rows:
-                table = pa.concat_tables([held, table])
-            held = table
-            while True:
+            held = pa.concat_tables([held, table]) if held is not None else table
+            if held.num_rows >= ROUND:
                 h = held.column("h").to_numpy()
-                if large is not None:
-                    n = int(np.searchsorted(h != large, True)) if len(h) and (h != large).any() else len(h)
-                    yield from pass_on(held.slice(0, n))
-                    held = held.slice(n)
-                    if not held.num_rows:
-                        break
-                    large = None
-                    continue
-                last = len(h) - int(np.argmax(h[::-1] != h[-1])) if len(h) and (h != h[-1]).any() else 0
-                if len(h) - last > most:  # the last, perhaps unfinished stretch
-                    yield from tell_all(held.slice(0, last))
-                    held = held.slice(last)
-                    large = h[-1]
-                    continue
-                if last >= ROUND:
-                    yield from tell_all(held.slice(0, last))
+                last = len(h) - int(np.argmax(h[::-1] != h[-1])) if (h != h[-1]).any() else 0  # the last stretch may go on
+                if last:
+                    yield from tell(held.slice(0, last))
                     held = held.slice(last)
-                break
         if held is not None and held.num_rows:
-            yield from tell_all(held) if large is None else pass_on(held)
-
-    def tell_all(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Stretches that ended within one batch can be too large, too."""
-        h = table.column("h").to_numpy()
-        if not len(h):
-            return
-        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
-        sizes = np.diff(starts)
-        keep = np.repeat(sizes <= most, sizes)
-        if not keep.all():
-            yield from pass_on(table.filter(pa.array(~keep)))
-        if keep.any():
-            yield from tell(table.filter(pa.array(keep)))
+            yield from tell(held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "did", "ord", "pos")
-    return dealt.mapInArrow(run, "did long, ord int, start int, stop int, around binary")
+    return dealt.select("h", "did", "ord", "pos", "around").mapInArrow(run, "did long, ord int, start int, stop int")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -384,7 +347,8 @@ def _windows(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                did, ord_, first = (batch.column(c).to_numpy() for c in ("did", "ord", "start"))
+                did, ord_, pos = (batch.column(c).to_numpy() for c in ("did", "ord", "pos"))
+                first = np.maximum(pos - LEFT, 0)
                 keys, of, at = [], [], []
                 for i, around in enumerate(batch.column("around").to_pylist()):
                     for offset in range(len(around) - LENGTH + 1):
@@ -394,23 +358,29 @@ def _windows(rows: DataFrame) -> DataFrame:
                 arrays = [pa.array(keys, pa.binary()), pa.array(did[of]), pa.array(ord_[of]), pa.array(at, pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["window", "did", "ord", "start"])
 
-    each = rows.mapInArrow(run, "window binary, did long, ord int, start int").distinct()
-    order = Window.partitionBy("window").orderBy("did", "ord", "start")
-    again = each.withColumn("before", F.lag("did").over(order)).where("before is not null")
+    each = rows.select("did", "ord", "pos", "around").mapInArrow(run, "window binary, did long, ord int, start int")
+    each = materialise(each.distinct(), "windows")
+    first = each.groupBy("window").agg(F.min(F.struct("did", "ord", "start")).alias("x")).select("window", "x.*")
+    again = each.join(first, ["window", "did", "ord", "start"], "left_anti")  # one row per place: no key is heavy
     return again.select("did", "ord", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def covered(docs: DataFrame, most: int = MOST_SUFFIXES) -> DataFrame:
     """(did, ord, spans): the bytes to remove of each keyed document that has any, spans unsorted."""
     marked = materialise(_marked(_anchor_rows(docs)), "marked")
-    found = materialise(_scanned(_surroundings(docs, marked), most), "scanned")
     spans = marked.where("h is null").select(
         "did", "ord", F.greatest(F.col("pos") - LEFT, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("stop")
     )
-    spans = spans.unionByName(found.where("around is null").drop("around"))
-    large = found.where("around is not null")
-    if not large.isEmpty():
-        spans = spans.unionByName(_windows(large))
+    sizes = marked.where("h is not null").groupBy("h").agg(F.count("*").alias("n"))
+    large = materialise(sizes.where(F.col("n") > most).select("h", F.lit(True).alias("large")), "large")
+    around = _surroundings(docs, marked)
+    if large.isEmpty():
+        spans = spans.unionByName(materialise(_scanned(around), "scanned"))
+    else:
+        around = materialise(around, "around")
+        around = materialise(look_up(around, large, "h", "left"), "dealt")
+        spans = spans.unionByName(materialise(_scanned(around.where("large is null")), "scanned"))
+        spans = spans.unionByName(_windows(around.where("large")))
     return spans.groupBy("did", "ord").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
