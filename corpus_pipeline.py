@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, near-dedup, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. The driver of a
-run writes each stage's result as Parquet and reads it back; `run` does the same in the shared scratch folder.
+run writes each stage's result as Parquet and reads it back; `run` does the same in the shared scratch folder. So a
+stage begins by deleting the scratch tables of those before it, and its own result must be written before another
+stage starts.
+
+In every stage null text counts as empty, rows without an id are rows like others, repeated rows are copies, an empty
+table gives no rows, very long texts are taken whole and columns beyond the five below are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lengthlab.llm import packing, pii, quality, simhash, suffix_dedup
-from lengthlab.llm.common import materialise, small_batches
+from lengthlab.llm.common import materialise, small_batches, sweep
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,29 +26,34 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules or diverge from their language go."""
+    """Documents that fail the quality rules or diverge from their language go, so null and empty texts do too."""
+    sweep(docs)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the least doc_id, null last, then the first row."""
+    sweep(docs)
     small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that also stand earlier are cut out."""
+    """Passages of 100 bytes or more that also stand earlier (null doc_id first) are cut out; null text stays null."""
+    sweep(docs)
     small_batches(spark)
     return _measured(suffix_dedup.without_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and revealing terms are replaced by their kind."""
+    """Personal data and revealing terms are replaced by their kind; null text stays null."""
+    sweep(docs)
     return _measured(pii.sanitised(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences."""
+    """What is left is packed into sequences; an empty text is one piece with the closing id alone."""
+    sweep(docs)
     small_batches(spark)
     return packing.packed(docs)
 
