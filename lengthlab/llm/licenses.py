@@ -1,22 +1,29 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
-Templates are cut into words; their runs of GRAM words, winnowed, form an inverted index from hash to
-(template, place). A document's words are mapped to the templates' vocabulary; runs without an unknown word
-are hashed and winnowed the same way, so any WINDOW + GRAM - 1 words in common share a selected run. Hits of
-one template on nearby diagonals make a candidate region, in which a local alignment within a band around
-those diagonals (match 2, mismatch or gap -1) finds the best common stretch, with its matched words and span.
-Rows are reported where the matched share of the template reaches MIN_COVERAGE.
-
-The index holds the templates only (a parameter, a few hundred at most), so each task has it whole;
-documents never move, and work per document grows with its own length. Null text counts as empty; repeated
-rows are each scanned; an empty table or no match gives no rows; other columns are not read.
+A license is scanned for by its short notices and by every paragraph of its whole text (license_texts/*.txt). Both
+are cut into words; their runs of GRAM words, winnowed, form an inverted index from hash to (paragraph, place). A
+document's words are mapped to the templates' vocabulary; runs without an unknown word are hashed and winnowed the
+same way, so any WINDOW + GRAM - 1 words in common share a selected run. A notice of fewer than SHORT words may have
+no such run left; it is indexed by single words instead, the rarest of its own in all templates, one more of them than
+it may lack, so one is always there. Hits of one paragraph on nearby diagonals make a candidate region; where it has as
+many hits as a paragraph must keep of which a fifth of the words are changed, left out or put in, a local alignment within a
+band around the diagonals (match 2, mismatch or gap -1) finds the best common stretch, with its matched words and span.
+Rows are reported where the matched share of the paragraph reaches MIN_COVERAGE; `license_coverage` is the share of the
+whole license that a document holds.
+
+The index holds the templates only (a parameter, some hundreds of paragraphs), so each task has it whole;
+documents never move, and work per document grows with its own length. Of regions with equal scores the one that
+ends first is reported; a paragraph that several licenses have is reported for each. Null text counts as empty, very
+long texts are scanned whole; repeated rows are each scanned; an empty table or no match gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +38,36 @@ WINDOW = 2
 BAND = 8
 MIN_COVERAGE = 0.8
 
-# Wording of public license notices.
+#: Templates with fewer words are indexed by words.
+SHORT = 20
+#: Words that a paragraph of a whole text has at least; shorter ones are joined to the next.
+PARAGRAPH = 20
+
+# Wording of public license notices; whole texts are in license_texts.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
-    "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-    "compliance with the License. You may obtain a copy of the License at",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-    "License as published by the Free Software Foundation",
-    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
-    "Public License as published by the Free Software Foundation",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-    "following conditions are met",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+    "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+    "compliance with the License. You may obtain a copy of the License at",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+    "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+    "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+    "version.",
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+    "version.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+    "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "bsl-1.0-notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+    "http://www.boost.org/LICENSE_1_0.txt)",
 }
 
 WORD = re.compile(r"\w+")
@@ -63,21 +78,64 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+def default_templates() -> dict[str, list[str]]:
+    """Notices and whole texts, each as its paragraphs."""
+    found: dict[str, list[str]] = {name: [text] for name, text in TEMPLATES.items()}
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        paragraphs, held = [], ""
+        for part in re.split(r"\n\s*\n", path.read_text(encoding="utf-8")):
+            held = f"{held} {part}"
+            if len(WORD.findall(held)) >= PARAGRAPH:
+                paragraphs.append(held)
+                held = ""
+        if held.strip():
+            paragraphs[-1:] = [f"{paragraphs[-1]} {held}"] if paragraphs else [held]
+        found[path.stem] = paragraphs
+    return found
+
+
 class Index:
-    """Winnowed fingerprints of the templates."""
+    """Winnowed fingerprints of the templates' paragraphs; equal paragraphs are held once."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = list(templates)
-        listed = [WORD.findall(t.lower()) for t in templates.values()]
-        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in listed for w in words))}
-        self.words = [np.array([self.vocabulary[w] for w in words], np.int64) for words in listed]
+    def __init__(self, templates: dict[str, str | list[str]]):
+        self.owners: list[list[tuple[str, int]]] = []
+        self.total: dict[str, int] = {}
+        unit_of: dict[tuple[str, ...], int] = {}
+        for name, text in templates.items():
+            listed = [WORD.findall(t.lower()) for t in ([text] if isinstance(text, str) else text)]
+            self.total[name] = sum(map(len, listed))
+            for part, words in enumerate(listed):
+                unit = unit_of.setdefault(tuple(words), len(unit_of))
+                self.owners[unit:] = self.owners[unit:] or [[]]
+                self.owners[unit].append((name, part))
+        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in unit_of for w in words))}
+        self.words = [np.array([self.vocabulary[w] for w in words], np.int64) for words in unit_of]
+        often = Counter(i for ids in self.words for i in set(ids.tolist()))
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        single: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, ids in enumerate(self.words):
-            for at, key in zip(*(x.tolist() for x in self.selected(ids))):
-                places[key].append((t, at))
-        self.places = dict(places)
+            if len(ids) < SHORT:
+                rare = sorted(set(ids.tolist()), key=lambda i: (often[i], i))
+                lacking = len(ids) - int(np.ceil(MIN_COVERAGE * len(ids)))  # occurrences that may be missing
+                counted, held = 0, set()
+                for i in rare:
+                    held.add(i)
+                    counted += int((ids == i).sum())
+                    if counted > lacking:
+                        break
+                for at, i in enumerate(ids.tolist()):
+                    if i in held:
+                        single[i].append((t, at))
+            else:
+                for at, key in zip(*(x.tolist() for x in self.selected(ids))):
+                    places[key].append((t, at))
+        self.places, self.single = dict(places), dict(single)
         self.keys = np.array(sorted(self.places), np.uint64)
-        self.bands = [max(1, min(BAND, len(ids) // 5)) for ids in self.words]
+        self.singles = np.array(sorted(self.single), np.int64)
+        self.bands = [max(1, min(BAND, len(ids) - 1)) for ids in self.words]
+        # Of the runs of GRAM + WINDOW - 1 words each change spoils as many; a selected run stands for WINDOW of the rest.
+        span = GRAM + WINDOW - 1
+        self.least = [1 if len(ids) < SHORT else max(1, int(((1 - 0.2 * span) * len(ids) - span + 1) / WINDOW)) for ids in self.words]
 
     def selected(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the winnowed runs of GRAM known words (-1: unknown)."""
@@ -103,21 +161,24 @@ class Index:
         """(template, least and greatest diagonal) of groups of hits; a diagonal is document place - template place."""
         at, keys = self.selected(ids)
         hit = np.isin(keys, self.keys)
-        diagonals: dict[int, set[int]] = defaultdict(set)
+        diagonals: dict[int, Counter[int]] = defaultdict(Counter)
         for place, key in zip(at[hit].tolist(), keys[hit].tolist()):
             for t, own in self.places[key]:
-                diagonals[t].add(place - own)
+                diagonals[t][place - own] += 1
+        for place in np.flatnonzero(np.isin(ids, self.singles)).tolist():
+            for t, own in self.single[int(ids[place])]:
+                diagonals[t][place - own] += 1
         for t, found in diagonals.items():
             low = high = None
+            hits = 0
             for d in sorted(found):
-                if low is None:
-                    low = high = d
-                elif d - high <= self.bands[t]:
-                    high = d
-                else:
-                    yield t, low, high
-                    low = high = d
-            yield t, low, high
+                if low is not None and d - high > self.bands[t]:
+                    if hits >= self.least[t]:
+                        yield t, low, high
+                    low, hits = None, 0
+                low, high, hits = d if low is None else low, d, hits + found[d]
+            if hits >= self.least[t]:
+                yield t, low, high
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(template, matched words, first and last matched document word), best per region."""
@@ -160,9 +221,11 @@ def align(template: list[int], ids: np.ndarray, low: int, high: int) -> tuple[in
     return (best[1], best[2], best[3]) if best[1] else None
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, coverage, matched_words, template_words, start, stop): offsets in code points."""
-    chosen_templates = dict(templates or TEMPLATES)
+def scan(
+    docs: DataFrame, templates: dict[str, str | list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per paragraph found: license, number of the paragraph, coverage of both, matched words and offsets in code points."""
+    chosen_templates = dict(templates) if templates else default_templates()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(chosen_templates)
@@ -178,17 +241,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                     spans = [m.span() for m in WORD.finditer(text)]
                     if len(spans) != len(ids):  # lower-casing changed the words' number: cut the text as lowered
                         spans = [m.span() for m in WORD.finditer(text.lower())]
+                    most: dict[int, int] = {}
+                    for t, matched, _, _ in found:
+                        most[t] = max(matched, most.get(t, 0))
+                    held: Counter[str] = Counter()
+                    for t, matched in most.items():
+                        for name, _ in index.owners[t]:
+                            held[name] += matched
                     for t, matched, first, last in found:
                         total = len(index.words[t])
-                        out.append((doc_id, index.names[t], matched / total, matched, total, spans[first][0], spans[last][1]))
-                columns = list(zip(*out)) if out else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                        for name, part in index.owners[t]:
+                            share = held[name] / index.total[name]
+                            out.append((doc_id, name, part, matched / total, share, matched, total, spans[first][0], spans[last][1]))
+                columns = list(zip(*out)) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
 
-    names = ["doc_id", "license", "coverage", "matched_words", "template_words", "start", "stop"]
-    kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = {
+        "doc_id": pa.int64(), "license": pa.string(), "part": pa.int32(), "coverage": pa.float64(), "license_coverage": pa.float64(),
+        "matched_words": pa.int32(), "template_words": pa.int32(), "start": pa.int64(), "stop": pa.int64(),
+    }
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return columns.mapInArrow(
-        run, "doc_id long, license string, coverage double, matched_words int, template_words int, start long, stop long"
+        run,
+        "doc_id long, license string, part int, coverage double, license_coverage double, matched_words int, "
+        "template_words int, start long, stop long",
     )
 
 

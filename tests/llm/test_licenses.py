@@ -22,30 +22,47 @@ def text_with(rng, line, edits):
 
 
 def test_detections_match_full_alignment(spark):
+    """No notice or paragraph that full alignment finds is missed, and none is reported that it does not find."""
     rng = random.Random(7)
-    texts = [text_with(rng, rng.choice(list(licenses.TEMPLATES.values())), rng.randint(0, 4)) for _ in range(60)]
+    every = licenses.default_templates()
+    chosen = {name: every[name] for name in (*licenses.TEMPLATES, "mit", "zlib", "bsd-3-clause", "unlicense")}
+    parts = [p for parts in chosen.values() for p in parts]
+    lines = [rng.choice(list(licenses.TEMPLATES.values())) for _ in range(90)] + [rng.choice(parts) for _ in range(50)]
+    texts = [text_with(rng, line, rng.randint(0, 4)) for line in lines]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {(r.doc_id, r.license): r for r in licenses.scan(df).collect()}
-    index = licenses.Index(licenses.TEMPLATES)
+    found = {(r.doc_id, r.license, r.part): r for r in licenses.scan(df, chosen).collect()}
+    index = licenses.Index(chosen)
     for i, text in enumerate(texts):
         ids = np.array([index.vocabulary.get(w, -1) for w in licenses.WORD.findall(text.lower())])
-        for t, name in enumerate(index.names):
+        for t, owners in enumerate(index.owners):
             wanted = full_best(index.words[t].tolist(), ids)
-            if wanted >= licenses.MIN_COVERAGE * len(index.words[t]):
-                # Very short notices with edits may share no run of GRAM words.
-                assert (i, name) in found or len(index.words[t]) < 14, (text, name)
-                if (i, name) in found:
-                    assert found[i, name].matched_words <= wanted
-            else:
-                assert (i, name) not in found
+            for name, part in owners:
+                if wanted >= licenses.MIN_COVERAGE * len(index.words[t]):
+                    assert (i, name, part) in found, (text, name, part)
+                    assert found[i, name, part].matched_words <= wanted
+                else:
+                    assert (i, name, part) not in found
+
+
+def test_whole_texts_are_covered(spark):
+    """A document that holds a whole license has nearly all its paragraphs; one with another license does not."""
+    every = licenses.default_templates()
+    names = ["mit", "bsd-2-clause", "isc", "zlib", "bsl-1.0", "gpl-2.0", "apache-2.0"]
+    rows = [(i, "before it all\n" + "\n\n".join(every[name]) + "\nafter") for i, name in enumerate(names)]
+    share = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        share[r.doc_id, r.license] = r.license_coverage
+    for i, name in enumerate(names):
+        assert share[i, name] > 0.99
+    assert share.get((0, "gpl-2.0"), 0) < 0.1 and (5, "mit") not in share and share.get((1, "bsd-3-clause"), 0) < 0.95
 
 
 def test_spans_and_several_places(spark):
     line = licenses.TEMPLATES["mit-line"]
     text = f"Some text. {line} More text é. {line}"
-    out = sorted(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
+    out = sorted(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect(), key=lambda r: r.start)
     assert [(r.license, text[r.start : r.stop]) for r in out] == [("mit-line", line[:-1])] * 2
-    assert all(r.coverage == 1.0 for r in out) and out[0].stop <= out[1].start
+    assert all(r.coverage == r.license_coverage == 1.0 for r in out) and out[0].stop <= out[1].start
 
 
 def test_odd_rows(spark):
