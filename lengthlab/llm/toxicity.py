@@ -13,7 +13,7 @@ share of toxic rows among the training labels (a parameter otherwise). Every who
 the executors with the small model.
 
 Labels come only from rows outside the held-out fold; labels, lang, source and ids are never features.
-Null or empty texts score the model's bias. Without any positive label every score is 0. Repeated rows
+Null or empty texts score the model's bias; very long texts are read whole. Without any positive label every score is 0. Repeated rows
 score alike; several labels of one id count as toxic if any is. An empty table gives no rows.
 """
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from lengthlab.llm.common import materialise, read, slices, text_or_empty
 
 #: Sample bounds and model settings; all are parameters of `train`.
-MAX_POSITIVES = 2_000
-MAX_UNLABELLED = 8_000
+MAX_POSITIVES = 4_000
+MAX_UNLABELLED = 12_000
 MAX_FEATURES = 2_000
 #: Likelihood ratio (2 ln) that a feature needs, and positives that hold it at least.
 SIGNIFICANT = 18.0
@@ -83,6 +83,53 @@ class Model:
         return self.bias + sum([known[w] for w in features_of(text) if w in known])
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+class Risk:
+    """The non-negative PU risk of a linear model over binary features; the last parameter is the bias."""
+
+    def __init__(self, positives: list[list[int]], unlabelled: list[list[int]], n_features: int, prior: float):
+        self.positives, self.unlabelled = self._flat(positives), self._flat(unlabelled)
+        self.n_p, self.n_u = len(positives), max(1, len(unlabelled))
+        self.k, self.prior = n_features, prior
+
+    @staticmethod
+    def _flat(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(texts)), list(map(len, texts))), np.array([i for t in texts for i in t], np.int64)
+
+    def _logits(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (p_row, p_col), (u_row, u_col) = self.positives, self.unlabelled
+        return np.bincount(p_row, theta[p_col], self.n_p) + theta[-1], np.bincount(u_row, theta[u_col], self.n_u) + theta[-1]
+
+    def parts(self, theta: np.ndarray) -> tuple[float, float]:
+        """prior * R(positives, +1), and R(unlabelled, -1) - prior * R(positives, -1), which may be negative."""
+        zp, zu = self._logits(theta)
+        as_negative = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
+        return self.prior * np.logaddexp(0, -zp).mean(), as_negative
+
+    def value(self, theta: np.ndarray) -> float:
+        positive, negative = self.parts(theta)
+        return positive + max(0.0, negative)
+
+    def gradients(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gradients of both parts."""
+        zp, zu = self._logits(theta)
+
+        def back(of: tuple[np.ndarray, np.ndarray], slope: np.ndarray) -> np.ndarray:
+            return np.append(np.bincount(of[1], slope[of[0]], self.k), slope.sum())
+
+        positive = back(self.positives, -self.prior * _sigmoid(-zp) / self.n_p)
+        negative = back(self.unlabelled, _sigmoid(zu) / self.n_u) - back(self.positives, self.prior * _sigmoid(zp) / self.n_p)
+        return positive, negative
+
+    def direction(self, theta: np.ndarray) -> np.ndarray:
+        """The gradient of the risk; where the second part is negative its own gradient is reversed instead of dropped."""
+        positive, negative = self.gradients(theta)
+        return positive + negative if self.parts(theta)[1] >= 0 else positive - negative
+
+
 def train(
     words: list[str],
     positives: list[list[int]],
@@ -95,31 +142,13 @@ def train(
     """Full-batch Adam on the non-negative PU risk. A text is the list of its features' places in `words`."""
     if not positives or not 0 < prior < 1:
         return Model()
-
-    def flat(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = list(map(len, texts))
-        return np.repeat(np.arange(len(texts)), sizes), np.array([i for t in texts for i in t], np.int64)
-
-    p_row, p_col = flat(positives)
-    u_row, u_col = flat(unlabelled)
-    n_p, n_u, k = len(positives), max(1, len(unlabelled)), len(words)
+    k = len(words)
+    risk = Risk(positives, unlabelled, k, prior)
     theta = np.zeros(k + 1)
     theta[k] = np.log(prior / (1 - prior))
     mean, square = np.zeros(k + 1), np.zeros(k + 1)
-
-    def logits(rows, cols, n):
-        return np.bincount(rows, theta[cols], n) + theta[k]
-
-    def back(rows, cols, slope):
-        return np.append(np.bincount(cols, slope[rows], k), slope.sum())
-
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
-        zp, zu = logits(p_row, p_col, n_p), logits(u_row, u_col, n_u)
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        positive = back(p_row, p_col, -prior * sigmoid(-zp) / n_p)
-        negative = back(u_row, u_col, sigmoid(zu) / n_u) - back(p_row, p_col, prior * sigmoid(zp) / n_p)
-        gradient = positive + negative if as_negative >= 0 else positive - negative
+        gradient = risk.direction(theta)
         gradient[:k] += decay * theta[:k]
         mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
         theta -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
