@@ -10,7 +10,8 @@ from lengthlab.operators import ledger as G
 from lengthlab.operators import lengths as L
 from lengthlab.operators import planning as P
 from lengthlab.operators import stats as S
-from lengthlab.plans.statistics import DERIVED, preference_lengths, text_lengths
+from lengthlab.plans.statistics import DERIVED, preference_lengths, stored_lengths, text_lengths
+from lengthlab.scratch import stored
 from lengthlab.views import duck, table, view
 
 BUDGETS = [1024, 2048, 4096, 8192]
@@ -139,7 +140,7 @@ FROM (SELECT dataset, unnest([
 
 
 def _val2(spark, sf_dir):
-    lengths = text_lengths(spark, sf_dir)
+    lengths = stored_lengths(spark, sf_dir)
     value = F.col("sequence_tokens")
     out = [P.context_validation(lengths, value, limit, extra) for limit, extra in ((1024, 0), (10**6, 512), (None, 0))]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -152,13 +153,13 @@ def _guarded(spark, sf_dir):
 
 
 def _bat1(spark, sf_dir):
-    lengths = text_lengths(spark, sf_dir)
+    lengths = stored_lengths(spark, sf_dir)
     rows = [P.worst_batch(lengths, F.col("sequence_tokens"), b, m) for b, m in ((8, 64), (1, None))]
     return rows[0].unionByName(rows[1])
 
 
 def _bat3(spark, sf_dir):
-    lengths = text_lengths(spark, sf_dir)
+    lengths = stored_lengths(spark, sf_dir)
     batch = P.worst_batch(lengths, F.col("sequence_tokens"), 8, 64)
     return P.chunked_logits(lengths, batch, 8).select("b", "width", "logits")
 
@@ -249,7 +250,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY sequence_tokens DESC, row_index) AS
 WHERE k <= n GROUP BY n, m"""),
     ),
     "bat2_dpo_worst_batch": (
-        lambda s, d: P.worst_batch(preference_lengths(s, d), S.pair_max(), 4, 32, 2),
+        lambda s, d: P.worst_batch(stored(preference_lengths(s, d).select("row_id", "row_index", "chosen_total_tokens", "rejected_total_tokens"), "pairs"), S.pair_max(), 4, 32, 2),
         sql("""
 SELECT (SELECT count(*) FROM {pref} WHERE ok) AS known_rows, count(*) AS b, 2 * count(*) AS sequences, ((max(w) + 31) // 32 * 32)::BIGINT AS width,
   (2 * count(*) * ((max(w) + 31) // 32 * 32))::BIGINT AS slots, string_agg(row_id, ',' ORDER BY w DESC, row_index) AS row_ids

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lengthlab.functions.text import TOKENS
 from lengthlab.operators import lengths as L
 from lengthlab.operators import stats as S
+from lengthlab.scratch import stored
 from lengthlab.views import duck, view
 
 LIMIT = 1024
@@ -16,6 +17,12 @@ def text_lengths(spark, sf_dir):
     return L.sft_text(view(spark, sf_dir, "v_text"), limit=LIMIT)
 
 
+def stored_lengths(spark, sf_dir):
+    """What the planners read of the length table, from one scan of the texts."""
+    chosen = text_lengths(spark, sf_dir).select("row_id", "row_index", "sequence_tokens", "loss_token_count", "processing_status", "context_status")
+    return stored(chosen, "lengths")
+
+
 def preference_lengths(spark, sf_dir):
     rows = view(spark, sf_dir, "v_preference").withColumns({"split": F.lit("train"), "shard_id": F.lit("conversations")})
     return L.dpo(rows, limit=LIMIT)
@@ -26,7 +33,8 @@ def text_branches(spark, sf_dir):
 
 
 def counts(spark, sf_dir):
-    return S.length_counts(text_branches(spark, sf_dir))
+    """Counts per branch and length, from one scan of the texts; small, whatever the number of rows."""
+    return stored(S.length_counts(text_branches(spark, sf_dir)), "counts")
 
 
 def _n(text: str) -> str:

@@ -52,7 +52,7 @@ def _ends(spark: SparkSession, path: str) -> DataFrame:
 def sniff_format(spark: SparkSession, path: str) -> DataFrame:
     """(path, format): the content decides, not the name: parquet, arrow, json_array, json_lines or text."""
     rows = _ends(spark, path)
-    first = F.substring(F.ltrim(F.decode("head", "ISO-8859-1")), 1, 1)
+    first = F.substring(F.ltrim(F.decode("head", "ISO-8859-1"), F.lit(" \t\r\n")), 1, 1)
     magic = F.hex("head")
     kind = (
         F.when(magic.startswith("50415231") & (F.col("tail") == "50415231"), "parquet")
