@@ -7,9 +7,9 @@ a reference exceeds a threshold is rejected; a histogram built on too few charac
 judged. Everything stays inside built-in functions: one pass over the texts, then sums over a narrow table.
 
 Repeated windows are found by sorting 64-bit hashes of a document's own windows (about n log n for n words).
-Null text counts as empty (no words, so base_failed); a null language is a language of its own; a language
-without a word list is judged by characters only; repeated rows are judged alike; an empty table gives no
-rows; other columns are ignored, whatever their names.
+Null text counts as empty (no words, so base_failed); a null language counts as the language ''; a language
+without a word list is judged by characters only; repeated rows are judged alike; very long texts are judged
+whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,9 +36,19 @@ COMMON_WORDS = {
     "es": ("de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por"),
 }
 
-#: Character classes in the order in which they are taken out of the text; what is left is the last class.
+#: Character classes in the order in which the SQL takes them out of the text; what is left is the last class.
 CLASSES = ("[a-z]+", "[A-Z]+", f"[{SPACE}]+", "[0-9]+", "[.,;:!?'\"()-]+", "[\\x21-\\x7E]+", "\\p{L}+")
 SYMBOLS = "[#*$%&|<>]+"
+#: The same classes as patterns of one character, each apart from the others; the first is what all others leave.
+ONE_OF = {
+    1: "[A-Z]",
+    2: f"[{SPACE}]",
+    3: "[0-9]",
+    4: "[.,;:!?'\"()-]",
+    5: "[\\x21-\\x7E&&[^a-zA-Z0-9.,;:!?'\"()-]]",
+    6: "[\\p{L}&&[^a-zA-Z]]",
+    7: f"[^{SPACE}\\x21-\\x7E\\p{{L}}]",
+}
 
 
 def _quoted(pattern: str) -> str:
@@ -53,20 +63,17 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    left = "text"
-    for k, pattern in enumerate(CLASSES):
-        if k == 5:
-            df = df.withColumn("n_symbols", F.expr(f"length({left}) - length(regexp_replace({left}, {_quoted(SYMBOLS)}, ''))"))
-        df = df.withColumn(f"left{k}", F.expr(f"regexp_replace({left}, {_quoted(pattern)}, '')"))
-        df = df.withColumn(f"class{k}", F.expr(f"length({left}) - length(left{k})"))
-        left = f"left{k}"
-    counts = ", ".join([f"class{k}" for k in range(len(CLASSES))] + [f"length({left})"])
+    for k, pattern in ONE_OF.items():  # counted in place, without a copy of the text for each class
+        df = df.withColumn(f"class{k}", F.expr(f"regexp_count(text, {_quoted(pattern)})"))
+    df = df.withColumn("n_symbols", F.expr(f"if(class5 = 0, 0, regexp_count(text, {_quoted(SYMBOLS.rstrip('+'))}))"))
+    others = [f"class{k}" for k in ONE_OF]
+    df = df.withColumn("class0", F.expr(f"length(text) - ({' + '.join(others)})"))
     df = df.select(
         "row",
         "lang",
         "text",
         "n_symbols",
-        F.expr(f"array({counts})").alias("classes"),
+        F.expr(f"array(class0, {', '.join(others)})").alias("classes"),
         F.expr("length(text) - class2").alias("word_chars"),
         F.btrim("text", F.lit(SPACE_CHARS)).alias("trimmed"),
         F.concat(F.lit("  "), F.expr(f"regexp_replace(lower(text), {space}, '  ')"), F.lit("  ")).alias("spaced"),

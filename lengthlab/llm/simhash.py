@@ -220,8 +220,8 @@ COMMON = 3
 MOST_COMMON = 100_000
 #: Row numbers that may be broadcast to pick texts to verify or to drop; beyond it the texts are shuffled.
 MAX_BROADCAST_IDS = 500_000
-#: Rounds that link one pair of components per key before all that still share a key are compared.
-ROUNDS = 3
+#: One in so many shingles, at least one, that two near copies must share in their prefixes.
+COMMON_PART = 20
 
 
 def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -279,9 +279,9 @@ def _common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nda
 def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
     """Columns row (all input columns), digest and fp of the set of shingles, its size, prefix and parities.
 
-    The prefix holds the shingles that stand first in an order, one of which near copies must share; rare ones come
-    first. Sets of n and m shingles, n >= m, that share 0.8 of their union share 0.8 n or more, so at most
-    n - ceil(0.8 n) shingles of either stand before the first common one.
+    The prefix holds the shingles that stand first in an order in which rare ones come first. Sets of n and m shingles
+    that share 0.8 of their union share 0.8 max(n, m) or more, so prefixes of n - ceil(0.8 n) + k and
+    m - ceil(0.8 m) + k shingles have k in common; k is max(1, size div COMMON_PART) for either, so the lesser of both counts.
     """
     common, weight = _common_shingles(docs, text_col)
     at_text = docs.columns.index(text_col)
@@ -299,7 +299,8 @@ def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     own = own[np.argsort(np.where(common[at] == own, weight[at], 0), kind="stable")]
-                prefixes.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1].view(np.int64) if len(own) else own.view(np.int64))
+                n = len(own)
+                prefixes.append(own[: n - (4 * n + 4) // 5 + max(1, n // COMMON_PART)].view(np.int64))
             arrays = [row, pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32())]
             arrays += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "digest", "fp", "size", "prefix", "bits"])
@@ -340,9 +341,8 @@ def _not_apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _texts_of(rows: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
     """Materialised (rid, text) of the rows named in ids (rid)."""
     ids = materialise(ids.select("rid").distinct(), "ids")
-    few = ids.count() <= MAX_BROADCAST_IDS
     texts = rows.select("rid", text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
-    found = materialise(texts.join(F.broadcast(ids) if few else ids, "rid", "left_semi"), "texts")
+    found = materialise(texts.join(_hinted(ids), "rid", "left_semi"), "texts")
     discard(ids)
     return found
 
@@ -363,6 +363,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 near.append(9 * shared >= 4 * (len(sets[i]) + len(sets[j])))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    texts = texts.join(needed, "rid", "left_semi")
     both = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("two")), "b")
     both = both.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("one")), "a")
     return materialise(both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "links")
@@ -383,60 +385,65 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.unionByName(new).where("rid <> component"), "labels")
 
 
+def _hinted(table: DataFrame) -> DataFrame:
+    """A materialised table of row numbers or keys, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_IDS else table
+
+
 def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     """Materialised (rid, component) for the sets that are not their component's own name: the closure of all links.
 
-    sets: materialised (rid, fp, size, prefix, bits), one of each set of shingles; rows hold their texts.
+    sets: (rid, fp, size, prefix, bits), one of each set of shingles; rows hold their texts.
     First the SimHash operator's keys link fingerprints within 4 bits, and every member of such a group is verified
-    against one of them. The rest comes from the prefixes: while a key holds two components, their name-givers are verified,
-    for ROUNDS rounds; then under each key that still holds several components all members outside its largest one
-    are compared with the members of the others. So a large group costs one pair per member and no pair is lost.
+    against one of them. The rest comes from the prefixes: a set goes on only if it shares as many keys with other
+    components as a near copy must. Of what is left the closest two components under a key are verified once, then
+    under each key that still holds several components all members outside its largest one are compared with the
+    members of the others. So a large group costs about one pair per member and no link is lost.
     """
     prints = first_groups(sets.select("fp"))
-    named = materialise(look_up(sets.select("rid", "fp"), prints, "fp").select("rid", "component"), "named")
+    own = materialise(sets.select("rid", "fp"), "own")
+    named = materialise(look_up(own, prints, "fp").select("rid", "component"), "named")
     hubs = materialise(named.groupBy("component").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
     stars = look_up(named, hubs, "component").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b"))
     pairs = _not_apart(stars, sets)
     texts = _texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("rid")), text_col)
     links = _verified(pairs, texts)  # a is the smaller id, here the hub
     labels = materialise(links.select(F.col("b").alias("rid"), F.col("a").alias("component")), "labels")
-    discard(prints, named, hubs, pairs, texts, links)
+    discard(prints, own, named, hubs, pairs, texts, links)
     free_shuffles(rows.sparkSession)
 
     def labelled(members: DataFrame) -> DataFrame:
-        return members.join(labels, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+        return members.join(_hinted(labels), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
 
     def several(members: DataFrame) -> DataFrame:
         """(key, a, b): keys with members of two components or more, and two of these."""
-        found = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+        found = labelled(members).groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
         return materialise(found.where("a <> b"), "several")
 
-    first = several(labelled(sets.select("rid", "prefix")).select("component", F.explode("prefix").alias("key")))
-    if first.isEmpty():
-        return labels
-    keyed = sets.select("rid", "size", F.posexplode("prefix").alias("pos", "key"))
-    few = first.count() <= MAX_BROADCAST_IDS
-    open_keys = first.select("key")
-    members = materialise(keyed.join(F.broadcast(open_keys) if few else open_keys, "key", "left_semi"), "members")
+    under = Window.partitionBy("key")
+    keyed = labelled(sets.select("rid", "size", "prefix")).select("rid", "size", "component", F.posexplode("prefix").alias("pos", "key"))
+    keyed = keyed.select("*", F.min("component").over(under).alias("least"), F.max("component").over(under).alias("most"))
+    shared = materialise(keyed.where("least <> most").select("key", "rid", "size", "pos"), "shared")
+    # A partner has 0.8 of the size or more, so the lesser number of keys that both must share is known from one size.
+    enough = shared.groupBy("rid", "size").agg(F.count("*").alias("n"))
+    enough = enough.where(f"n >= greatest(1, ((4 * size + 4) div 5) div {COMMON_PART})").select("rid")
+    members = materialise(shared.join(enough, "rid", "left_semi"), "members")
+    discard(shared)
     free_shuffles(rows.sparkSession)
-    texts = _texts_of(rows, members, text_col)
-    found = first
-    for _ in range(ROUNDS):
-        pairs = _not_apart(found.select("a", "b"), sets)
-        # One pair for each b, the closest: it links most that can be linked, and few texts move.
-        pairs = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-        links = _verified(pairs, texts)
-        discard(found)
-        if links.isEmpty():
-            break
+    found = several(members)
+    if found.isEmpty():
+        return labels
+    texts = _texts_of(rows, members.join(found.select("key"), "key", "left_semi"), text_col)
+    # One pair for each b, the closest: it links most that can be linked, and few texts move.
+    pairs = _not_apart(found.select("a", "b"), sets)
+    links = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), texts)
+    discard(pairs, found)
+    if not links.isEmpty():
         labels = _merged(labels, links)
-        found = several(labelled(members))
-        if found.isEmpty():
-            return labels
-    else:
-        discard(found)
-    open_keys = several(labelled(members)).select("key")
-    rest = labelled(members.join(open_keys, "key", "left_semi")).join(sets.select("rid", "bits"), "rid")
+    found = several(members)
+    if found.isEmpty():
+        return labels
+    rest = labelled(members.join(found.select("key"), "key", "left_semi")).join(sets.select("rid", "bits"), "rid")
     rest = materialise(rest.select("key", F.struct("rid", "size", "pos", "bits").alias("x"), "component"), "rest")
     sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
@@ -447,16 +454,21 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     near = near.where(f"9 * {_differ('x.bits', 'y.bits')} <= x.size + y.size").select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
     pairs = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = _verified(pairs, texts)
-    discard(texts, members, rest, pairs)
+    discard(texts, members, found, rest, pairs)
     return labels if links.isEmpty() else _merged(labels, links)
 
 
 def _similar(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Materialised rows (row, digest, rid, ...), sets (digest, rid of its first row, ...) and the labels of the sets."""
+    """Materialised rows (row, digest, rid, ...), sets (digest, rid of its first row) and the labels of the sets."""
     rows = materialise(_sketched(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketched")
-    one = F.min(F.struct("rid", "fp", "size", "prefix", "bits")).alias("x")
-    sets = materialise(rows.groupBy("digest").agg(one).select("digest", "x.*"), "sets")
-    return rows, sets, _alike(rows, sets, text_col)
+    sets = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rid")), "sets")
+    sketches = rows.select("rid", "fp", "size", "prefix", "bits")
+    copies = materialise(rows.select("rid").join(sets.select("rid"), "rid", "left_anti"), "copies")
+    if copies.count() <= MAX_BROADCAST_IDS:  # then no sketch moves
+        one_of = sketches.join(F.broadcast(copies), "rid", "left_anti")
+    else:
+        one_of = materialise(sketches.join(sets.select("rid"), "rid", "left_semi"), "one_of")
+    return rows, sets, _alike(rows, one_of, text_col)
 
 
 def similar_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -485,8 +497,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = rows.select("digest", "rid", F.col(f"row.`{id_col}`").alias("id")).groupBy("digest").agg(F.min(key).alias("key"))
     kept = best.join(groups, "digest").groupBy("group_id").agg(F.min("key").alias("key")).select(F.col("key.rid").alias("rid"))
     gone = materialise(rows.select("rid").join(kept, "rid", "left_anti"), "gone")
-    few = gone.count() <= MAX_BROADCAST_IDS  # then the texts need no shuffle
-    return rows.join(F.broadcast(gone) if few else gone, "rid", "left_anti").select("row.*")
+    return rows.join(_hinted(gone), "rid", "left_anti").select("row.*")  # if few go, no text moves
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
