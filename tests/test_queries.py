@@ -7,8 +7,12 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from lengthlab.plans import registry
+from lengthlab.functions import redact
+from lengthlab.operators import mapping, stats
+from lengthlab.plans import preprocessing, registry
+from lengthlab.sources import arrow, files, text
 
 SF = "/root/testdata/sf0.001"
 ORACLES = registry.oracles()
@@ -44,15 +48,45 @@ def test_tokenizer_file_counts_match_the_library(spark, duck):
     assert {r.row_index: r.n for r in registry.queries()["udf2_tokenizer_plugin"](spark, SF).collect()} == wanted
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_matches_its_sql(spark, duck, name):
+def agrees(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
     found = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
     result = duck.sql(ORACLES[name])
     assert sorted(result.columns) == columns
     order = [result.columns.index(c) for c in columns]
-    assert found == Counter(tuple(plain(r[i]) for i in order) for r in result.fetchall())
+    return found == Counter(tuple(plain(r[i]) for i in order) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_its_sql(spark, duck, name):
+    assert agrees(spark, duck, name)
+
+
+def _after(change):
+    """An operator whose result is changed."""
+    return lambda right: lambda *given, **more: change(right(*given, **more))
+
+
+#: Query, module, operator and how it is broken; the SQL must notice each.
+BROKEN = (
+    ("src1_scan_json_lines", text, "_too_large", lambda right: lambda t: F.lit(False)),  # infinite numbers pass
+    ("src4_scan_csv", text, "scan_csv", _after(lambda df: df.withColumn("lang", F.upper("lang")))),
+    ("src6_scan_arrow_ipc", arrow, "scan_arrow", _after(lambda df: df.where("doc_id <> 5"))),  # a row is lost
+    ("src10_build_manifest", files, "build_manifest", _after(lambda df: df.withColumn("sha256", F.reverse("sha256")))),
+    ("src13_sniff_format", files, "sniff_format", _after(lambda df: df.withColumn("format", F.lit("text")))),
+    ("snk3_export_results", redact, "redact_text", lambda right: lambda t: F.concat(t)),  # nothing is masked
+    ("fn16_redact_text", redact, "redact_text", lambda right: lambda t: F.concat(t)),
+    ("agg17_artifact_fingerprint", stats, "fingerprint", lambda right: lambda df, columns: right(df.where("row_index <> 3"), columns)),
+    ("prj4_validate_mapping", mapping, "validate_mapping", _after(lambda df: df.where("issue <> 'kind_mismatch'"))),
+    ("set2_except", preprocessing, "schemas", _after(lambda df: df.where("name <> 'prompt'"))),
+)
+
+
+@pytest.mark.parametrize("name, module, operator, broken", BROKEN, ids=[b[0] for b in BROKEN])
+def test_sql_notices_a_broken_operator(spark, duck, monkeypatch, name, module, operator, broken):
+    monkeypatch.setattr(module, operator, broken(getattr(module, operator)))
+    assert not agrees(spark, duck, name)
 
 
 def test_entry_gives_rows(spark):
