@@ -11,15 +11,38 @@ table gives no rows, very long texts are taken whole and columns beyond the five
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lengthlab.llm import packing, pii, quality, simhash, suffix_dedup
-from lengthlab.llm.common import materialise, small_batches, sweep
+from lengthlab.llm.common import made, materialise, small_batches, sweep
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Scratch folders that stages other than the last have left; what they returned has been written when a later stage starts.
+_left: list[str] = []
+
+
+def _tidy(stage: Callable[..., DataFrame], first: bool = False, last: bool = False) -> Callable[..., DataFrame]:
+    """The stage, which begins by deleting what earlier ones have left."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            sweep(docs, _left)
+            _left.clear()
+        before = set(made())
+        out = stage(spark, docs, sf_dir)
+        if not last:
+            _left.extend(x for x in made() if x not in before)
+        return out
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars follows the text where a stage has changed it."""
     return docs.selectExpr(*[f"cast(length(text) as bigint) as {c}" if c == "n_chars" else f"`{c}`" for c in docs.columns])
@@ -27,43 +50,38 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules or diverge from their language go, so null and empty texts do too."""
-    sweep(docs)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the least doc_id, null last, then the first row."""
-    sweep(docs)
     small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that also stand earlier (null doc_id first) are cut out; null text stays null."""
-    sweep(docs)
     small_batches(spark)
     return _measured(suffix_dedup.without_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and revealing terms are replaced by their kind; null text stays null."""
-    sweep(docs)
     return _measured(pii.sanitised(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into sequences; an empty text is one piece with the closing id alone."""
-    sweep(docs)
     small_batches(spark)
     return packing.packed(docs)
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near-dedup", near_dedup),
-    ("repeated passages", repeated_passages),
-    ("personal data", personal_data),
-    ("packing", pack),
+    ("quality rules", _tidy(quality_rules, first=True)),
+    ("near-dedup", _tidy(near_dedup)),
+    ("repeated passages", _tidy(repeated_passages)),
+    ("personal data", _tidy(personal_data)),
+    ("packing", _tidy(pack, last=True)),
 ]
 
 #: The stages hash, sort suffixes and encode; SQL cannot express them.
