@@ -84,13 +84,16 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._scratch)
 
 
-def sweep(docs: DataFrame) -> None:
-    """Deletes all scratch tables but `docs`, and frees the shuffles of plans that nobody holds any more.
+def made() -> list[str]:
+    """The scratch folders that there are now."""
+    return list(_made)
 
-    For the start of a pipeline stage: by then the results of earlier stages have been written.
-    """
-    for folder in [x for x in _made if x != getattr(docs, "_scratch", None)]:
-        _delete(docs.sparkSession, folder)
+
+def sweep(docs: DataFrame, folders: list[str]) -> None:
+    """Deletes these scratch folders, but not that of `docs`, and frees the shuffles of plans that nobody holds any more."""
+    for folder in folders:
+        if folder in _made and folder != getattr(docs, "_scratch", None):
+            _delete(docs.sparkSession, folder)
     free_shuffles(docs.sparkSession)
 
 

@@ -9,8 +9,10 @@ its place in one long stream, which is cut at multiples of the sequence length.
 shorter, so padding is less than one sequence in all. Documents are cut where a sequence ends; the pieces of
 a document lie in consecutive sequences. No task sees more than its own rows; ids move once, by row number.
 
-Null text counts as empty (the end id alone). Repeated rows are packed as often as they occur. An empty table
-gives no rows. Other columns are not read.
+Ids come from the vocabulary's file of ranks, which encodes as its file of merges does (tested). Null text counts as
+empty (the end id alone). Documents with equal curve keys follow each other by row. A very long text is encoded whole
+and lies in as many sequences as it needs. Repeated rows are packed as often as they occur. An empty table gives no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations

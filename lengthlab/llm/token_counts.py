@@ -2,7 +2,8 @@
 
 The documents are encoded once, on the executors; only (length, count) pairs are shuffled, summed before
 the shuffle. Suffix sums run in two levels (within a block of lengths, then over the few blocks), so no
-task sorts the whole histogram. Null texts count as empty (length 0); repeated rows count each time; an
+task sorts the whole histogram. Lengths are by the vocabulary's file of ranks, which encodes as its file of merges
+does (tested); very long texts are encoded whole. Null texts count as empty (length 0); repeated rows count each time; an
 empty table gives no rows; other columns are not read.
 """
 

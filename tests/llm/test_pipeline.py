@@ -71,3 +71,35 @@ def test_run_applies_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, rid int, spans string, component string, key int, q int"
+
+
+def odd_rows():
+    base = " ".join(f"the word{i} of item{i} and" for i in range(40))
+    other = " ".join(f"is thing{i} in part{i} that" for i in range(40))
+    rows = [(1, base), (1, base), (None, base), (2, None), (3, ""), (None, None), (4, other), (5, other.upper()), (6, "short"), (6, "short")]
+    rows += [(7, base + " mail ann@corp.example.org or +49 30 1234567"), (8, "\0 \t é😀 " * 60), (9, "long text " * 30_000), (10, other + " \n" + base)]
+    return [(i, t, None if k % 3 else "en", None if k % 2 else "s", None, "x", k, "y", "z", k, 1) for k, (i, t) in enumerate(rows)]
+
+
+def test_every_stage_bears_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, repeated rows, empty and very long texts, clashing names; and no rows at all."""
+    for name, stage in corpus_pipeline.STAGES:
+        given = spark.createDataFrame(odd_rows(), ODD)
+        out = stage(spark, given, SF)
+        if name == "packing":
+            assert out.selectExpr("sum(length)").first()[0] == out.where("start = 0").selectExpr("sum(doc_tokens)").first()[0]
+        else:
+            assert out.columns == given.columns
+            rows = out.collect()
+            texts = [r.text for r in rows]
+            if name == "quality rules":
+                assert all(t and len(t.split()) >= 50 for t in texts) and {1, 10} <= {r.doc_id for r in rows}
+            elif name == "near-dedup":
+                assert sorted((str(r.doc_id) for r in rows)) == ["1", "10", "2", "4", "6", "8", "9"]  # 7 is a near copy of 1
+            else:
+                assert len(rows) == len(given.collect()) and texts.count(None) == 2
+        assert stage(spark, given.limit(0), SF).count() == 0
+

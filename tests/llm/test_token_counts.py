@@ -1,3 +1,5 @@
+import random
+
 from tokenizers import Tokenizer
 
 from lengthlab.llm import token_counts, vocab
@@ -38,3 +40,14 @@ def test_odd_rows(spark):
     assert rows[0] == 2 and rows[2] == 2 and sum(rows.values()) == 5
     empty = token_counts.length_histogram(token_counts.encoded_lengths(df.limit(0)))
     assert empty.count() == 0 and token_counts.quantile(empty, 50).first().n_tokens is None
+
+
+def test_ranks_encode_as_the_merges_do():
+    rng = random.Random(11)
+    encode = vocab.byte_encoder(vocab.path("byte_bpe_50k.tiktoken")).encode_ordinary
+    library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    pieces = ["a", "The", " the", "'s", "'LL", " ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "1", "12345", "é", "e\u0301", "日本", "😀", "\0", "!?", "...", "<|endoftext|>", "\u200b", "ß", "ǅ"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for text in texts:
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids, text
