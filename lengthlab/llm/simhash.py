@@ -221,7 +221,9 @@ MOST_COMMON = 100_000
 #: Row numbers that may be broadcast to pick texts to verify or to drop; beyond it the texts are shuffled.
 MAX_BROADCAST_IDS = 500_000
 #: One in so many shingles, at least one, that two near copies must share in their prefixes.
-COMMON_PART = 20
+COMMON_PART = 10
+#: Bins of parity per shingle, at least: more bins tell closer sets apart.
+BINS = 4
 
 
 def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -249,12 +251,12 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """Bits, as longs: whether an odd number of the hashes falls into each of about as many bins as there are hashes.
+    """Bits, as longs: whether an odd number of the hashes falls into each bin; there are BINS for each hash or more.
 
     The bins of half the width are the exclusive or of both halves. Two sets differ in as many hashes, at least, as
     their parities differ in bits.
     """
-    bins = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    bins = max(64, BINS << max(0, len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -396,9 +398,9 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     sets: (rid, fp, size, prefix, bits), one of each set of shingles; rows hold their texts.
     First the SimHash operator's keys link fingerprints within 4 bits, and every member of such a group is verified
     against one of them. The rest comes from the prefixes: a set goes on only if it shares as many keys with other
-    components as a near copy must. Of what is left the closest two components under a key are verified once, then
-    under each key that still holds several components all members outside its largest one are compared with the
-    members of the others. So a large group costs about one pair per member and no link is lost.
+    components as a near copy must. Of what is left neighbours under a key are verified, the closest of each set, in three
+    orders; then under each key that still holds several components all members outside its largest one are compared
+    with the members of the others. So a large group costs a few pairs per member and no link is lost.
     """
     prints = first_groups(sets.select("fp"))
     own = materialise(sets.select("rid", "fp"), "own")
@@ -424,26 +426,35 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     keyed = labelled(sets.select("rid", "size", "prefix")).select("rid", "size", "component", F.posexplode("prefix").alias("pos", "key"))
     keyed = keyed.select("*", F.min("component").over(under).alias("least"), F.max("component").over(under).alias("most"))
     shared = materialise(keyed.where("least <> most").select("key", "rid", "size", "pos"), "shared")
-    # A partner has 0.8 of the size or more, so the lesser number of keys that both must share is known from one size.
-    enough = shared.groupBy("rid", "size").agg(F.count("*").alias("n"))
-    enough = enough.where(f"n >= greatest(1, ((4 * size + 4) div 5) div {COMMON_PART})").select("rid")
-    members = materialise(shared.join(enough, "rid", "left_semi"), "members")
+
+    def enough(members: DataFrame) -> DataFrame:
+        """Those that share enough keys; a partner has 0.8 of the size or more, so one size tells how many both must share."""
+        counts = members.groupBy("rid", "size").agg(F.count("*").alias("n"))
+        chosen = counts.where(f"n >= greatest(1, ((4 * size + 4) div 5) div {COMMON_PART})").select("rid")
+        return members.join(chosen, "rid", "left_semi")
+
+    members = materialise(enough(shared), "members")
     discard(shared)
     free_shuffles(rows.sparkSession)
-    found = several(members)
-    if found.isEmpty():
+    if members.isEmpty():
         return labels
-    texts = _texts_of(rows, members.join(found.select("key"), "key", "left_semi"), text_col)
-    # One pair for each b, the closest: it links most that can be linked, and few texts move.
-    pairs = _not_apart(found.select("a", "b"), sets)
-    links = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), texts)
-    discard(pairs, found)
-    if not links.isEmpty():
-        labels = _merged(labels, links)
+    texts = _texts_of(rows, members, text_col)
+    # Neighbours in three orders, of which the last differs from key to key: most of a group is linked before all are compared.
+    for order, some in ((["size", "rid"], "true"), ([F.xxhash64("rid")], "true"), ([F.xxhash64("key", "rid")], "pos < 3")):
+        by = Window.partitionBy("key").orderBy(*order)
+        near = labelled(members.where(some)).withColumn("x", F.struct("rid", "size", "pos"))
+        near = near.select("x", "component", F.lag(F.struct("x", "component")).over(by).alias("y"))
+        near = near.where("component <> y.component").where(_may_match("x", "y.x"))
+        pairs = _not_apart(near.select(F.col("x.rid").alias("a"), F.col("y.x.rid").alias("b")), sets)
+        links = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), texts)
+        discard(pairs)
+        if not links.isEmpty():
+            labels = _merged(labels, links)
     found = several(members)
     if found.isEmpty():
         return labels
-    rest = labelled(members.join(found.select("key"), "key", "left_semi")).join(sets.select("rid", "bits"), "rid")
+    rest = enough(members.join(found.select("key"), "key", "left_semi"))
+    rest = labelled(rest).join(sets.select("rid", "bits"), "rid")
     rest = materialise(rest.select("key", F.struct("rid", "size", "pos", "bits").alias("x"), "component"), "rest")
     sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
