@@ -131,7 +131,8 @@ class Index:
                     places[key].append((t, at))
         self.places, self.single = dict(places), dict(single)
         self.keys = np.array(sorted(self.places), np.uint64)
-        self.singles = np.array(sorted(self.single), np.int64)
+        self.alone = np.zeros(len(self.vocabulary) + 1, bool)  # the last place is that of unknown words
+        self.alone[list(self.single)] = True
         self.bands = [max(1, min(BAND, len(ids) - 1)) for ids in self.words]
         # Of the runs of GRAM + WINDOW - 1 words each change spoils as many; a selected run stands for WINDOW of the rest.
         span = GRAM + WINDOW - 1
@@ -160,12 +161,12 @@ class Index:
     def regions(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, least and greatest diagonal) of groups of hits; a diagonal is document place - template place."""
         at, keys = self.selected(ids)
-        hit = np.isin(keys, self.keys)
+        hit = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys if len(self.keys) else keys < 0
         diagonals: dict[int, Counter[int]] = defaultdict(Counter)
         for place, key in zip(at[hit].tolist(), keys[hit].tolist()):
             for t, own in self.places[key]:
                 diagonals[t][place - own] += 1
-        for place in np.flatnonzero(np.isin(ids, self.singles)).tolist():
+        for place in np.flatnonzero(self.alone[ids]).tolist():
             for t, own in self.single[int(ids[place])]:
                 diagonals[t][place - own] += 1
         for t, found in diagonals.items():
@@ -184,6 +185,11 @@ class Index:
         """(template, matched words, first and last matched document word), best per region."""
         found = []
         for t, low, high in self.regions(ids):
+            window = ids[max(0, low - self.bands[t]) : len(self.words[t]) + high + self.bands[t] + 1]
+            there = np.zeros(len(self.vocabulary) + 1, bool)
+            there[window] = True  # unknown words (-1) mark the last place, which is no word
+            if there[self.words[t]].sum() < MIN_COVERAGE * len(self.words[t]):
+                continue  # no alignment can match enough of the words
             best = align(self.words[t].tolist(), ids, low - self.bands[t], high + self.bands[t])
             if best and best[0] >= MIN_COVERAGE * len(self.words[t]):
                 found.append((t, *best))
