@@ -222,8 +222,8 @@ MOST_COMMON = 100_000
 MAX_BROADCAST_IDS = 500_000
 #: One in so many shingles, at least one, that two near copies must share in their prefixes.
 COMMON_PART = 10
-#: Bins of parity per shingle, at least: more bins tell closer sets apart.
-BINS = 4
+#: Longs of parities that go into the join of a key's members; pairs are held against all of them.
+FOLDED = 4
 
 
 def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -251,12 +251,12 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """Bits, as longs: whether an odd number of the hashes falls into each bin; there are BINS for each hash or more.
+    """Bits, as longs: whether an odd number of the hashes falls into each of about as many bins as there are hashes.
 
     The bins of half the width are the exclusive or of both halves. Two sets differ in as many hashes, at least, as
     their parities differ in bits.
     """
-    bins = max(64, BINS << max(0, len(hashes) - 1).bit_length())
+    bins = max(64, 1 << max(0, len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -450,11 +450,15 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
         discard(pairs)
         if not links.isEmpty():
             labels = _merged(labels, links)
+        free_shuffles(rows.sparkSession)
     found = several(members)
     if found.isEmpty():
         return labels
     rest = enough(members.join(found.select("key"), "key", "left_semi"))
-    rest = labelled(rest).join(sets.select("rid", "bits"), "rid")
+    rest = rest.where("pos <= size - (4 * size + 4) div 5")  # where one key in common is sure
+    own = f"filter(bits, (v, i) -> i % {FOLDED} = j)"
+    folded = f"transform(sequence(0, least({FOLDED}, size(bits)) - 1), j -> aggregate({own}, 0L, (a, v) -> a ^ v))"
+    rest = labelled(rest).join(sets.select("rid", F.expr(folded).alias("bits")), "rid")
     rest = materialise(rest.select("key", F.struct("rid", "size", "pos", "bits").alias("x"), "component"), "rest")
     sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
@@ -463,7 +467,7 @@ def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
     # All that rules a pair out is part of the join, so that a large group of texts just below the similarity emits none.
     near = minor.join(other, "key").where("cx <> cy").where(_may_match("x", "y"))
     near = near.where(f"9 * {_differ('x.bits', 'y.bits')} <= x.size + y.size").select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
-    pairs = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = _not_apart(near, sets)
     links = _verified(pairs, texts)
     discard(texts, members, found, rest, pairs)
     return labels if links.isEmpty() else _merged(labels, links)
