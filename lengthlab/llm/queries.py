@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from lengthlab.llm import bpe, licenses, multi_index, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from lengthlab.llm import (
+    bpe,
+    jaccard_join,
+    licenses,
+    multi_index,
+    packing,
+    periodic_runs,
+    phrases,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_licenses": licenses.op10_licenses,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
