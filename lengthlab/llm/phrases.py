@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ SHARDS = 16
 FILTER_BITS = 1 << 27
 PROBES = 3
 #: Words whose phrases are counted together in a task, and words of a stored row, unless one piece is longer.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 ROW = 1 << 16
 
 #: All marks between pieces become one.
@@ -84,14 +85,15 @@ def _seed(text: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8"), 7))
 
 
-def phrase_keys(ids: np.ndarray, lang: str, longest: int = LONGEST) -> list[np.ndarray]:
-    """keys[k - 1][i]: the hash of the k words from place i on in this language; 0 where a mark stands among them."""
-    keys = [np.where(ids == 0, np.uint64(0), _mixed(ids ^ _seed(lang)) | np.uint64(1))]
+def phrase_keys(ids: np.ndarray, lang: str, longest: int = LONGEST) -> Iterator[np.ndarray]:
+    """For k = 1, 2, ...: keys[i] is the hash of the k words from place i on in this language; 0 where a mark stands among them."""
+    keys = np.where(ids == 0, np.uint64(0), _mixed(ids ^ _seed(lang)) | np.uint64(1))
+    yield keys
     for k in range(2, longest + 1):
-        last, n = keys[-1], max(0, len(ids) - k + 1)
-        whole = (last[:n] != 0) & (ids[k - 1 : k - 1 + n] != 0)
-        keys.append(np.where(whole, _mixed(last[:n] * STEP + ids[k - 1 : k - 1 + n]) | np.uint64(1), np.uint64(0)))
-    return keys
+        n = max(0, len(ids) - k + 1)
+        whole = (keys[:n] != 0) & (ids[k - 1 : k - 1 + n] != 0)
+        keys = np.where(whole, _mixed(keys[:n] * STEP + ids[k - 1 : k - 1 + n]) | np.uint64(1), np.uint64(0))
+        yield keys
 
 
 def _in_shard(keys: np.ndarray, shard: int | np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> Data
             own, m = ids[start : start + 50_000], n[start : start + 50_000]
             texts = pa.array([words[i] for i in own.tolist()], pa.binary()).cast(pa.string())
             arrays = [pa.array(np.full(len(own), shard, np.int32)), pa.array([lang] * len(own)), pa.nulls(len(own), schema.field(2).type)]
-            arrays += [pa.array(own.view(np.int64)), pa.array(phrase_keys(own, lang, 1)[0].view(np.int64)), texts, pa.array(m)]
+            arrays += [pa.array(own.view(np.int64)), pa.array(next(phrase_keys(own, lang)).view(np.int64)), texts, pa.array(m)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +220,8 @@ def _mined(stored: DataFrame, shorter, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shorter.value
         for (shard, lang, least), ids in _gathered(batches):
-            *_, below, keys = phrase_keys(ids, lang, k)
-            frequent = _holds(table, _in_shard(below, shard)) if len(below) else np.zeros(0, bool)
+            below, keys = islice(phrase_keys(ids, lang, k), k - 2, k)
+            frequent = _holds(table, _in_shard(below, shard))
             found, n = np.unique(keys[(keys != 0) & frequent[:-1] & frequent[1:]], return_counts=True)
             for start in range(0, len(found), 100_000):
                 own, m = found[start : start + 100_000], n[start : start + 100_000]
@@ -243,8 +245,8 @@ def _counted(stored: DataFrame, wanted, with_words: bool, longest: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
         for (lang,), ids in _gathered(batches):
-            for k, keys in enumerate(phrase_keys(ids, lang, longest)[1:], 2):
-                at = np.flatnonzero(_holds(table, keys) & (keys != 0)) if len(keys) else np.zeros(0, np.int64)
+            for k, keys in enumerate(islice(phrase_keys(ids, lang, longest), 1, None), 2):
+                at = np.flatnonzero(_holds(table, keys) & (keys != 0))
                 found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
                 for start in range(0, len(found), 100_000):
                     own, m = found[start : start + 100_000], n[start : start + 100_000]
@@ -275,7 +277,7 @@ def _cuts(phrases: DataFrame) -> DataFrame:
                         continue
                     matrix = words.values.to_numpy().view(np.uint64)[words.offsets.to_numpy()[at][:, None] + np.arange(k)]
                     lines = np.concatenate([matrix, np.zeros((len(at), 1), np.uint64)], axis=1).ravel()  # a mark behind each
-                    keys = phrase_keys(lines, lang, k)
+                    keys = list(phrase_keys(lines, lang, k))
                     row = np.arange(len(at)) * (k + 1)
                     for cut in range(1, k):
                         left, right = keys[cut - 1][row], keys[k - cut - 1][row + cut]

@@ -366,6 +366,22 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialise(old.unionByName(new).where("rid <> component"), "labels")
 
 
+def _linked(docs: DataFrame, text_col: str, sets: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """Materialised (a, b): those of the pairs (a, b: rid) that link."""
+    pairs = _not_apart(pairs, sets, like)
+    whole = whole_sets(docs, text_col, sets, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), like)
+    links = _verified(pairs, whole, like)
+    discard(pairs, whole)
+    return links
+
+
+def link_neighbours(docs: DataFrame, text_col: str, sets: DataFrame, members: DataFrame, like: Likeness) -> DataFrame | None:
+    """Labels (rid, component) from the links of members (key, rid, size, pos) with the next in size under their key."""
+    met = _neighbours(members, [F.col("size"), F.col("rid")], like).where("before is not null")
+    links = _linked(docs, text_col, sets, met.select(F.col("before").alias("a"), F.col("rid").alias("b")), like)
+    return None if links.isEmpty() else merged(None, links)
+
+
 def components_of_sets(
     docs: DataFrame, text_col: str, sets: DataFrame, like: Likeness, labels: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame | None:
@@ -394,13 +410,11 @@ def components_of_sets(
 
     def linked(pairs: DataFrame) -> bool:
         nonlocal labels
-        pairs = _not_apart(pairs, sets, like)
-        whole = whole_sets(docs, text_col, sets, pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), like)
-        links = _verified(pairs, whole, like)
+        links = _linked(docs, text_col, sets, pairs, like)
         some = not links.isEmpty()
         if some:
             labels = merged(labels, links)
-        discard(pairs, whole, links)
+        discard(links)
         free_shuffles(spark)
         return some
 

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from lengthlab.llm.common import discard, free_shuffles, look_up, materialise, read, text_or_empty
 from lengthlab.llm.components import connected_components
+from lengthlab.llm.set_join import Likeness, components_of_sets, distinct_sets, hinted, link_neighbours, sketched, text_digest
 
 SEED = 42
 MOST_BITS = 4
@@ -212,33 +213,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, id_col: str = "doc_id", tex
     )
 
 
-#: Two texts are near copies where 5 * |A and B| >= 4 * |A or B| for their sets of five-word shingles.
-SHINGLE = 5
-#: One text in so many is read for the shingles that are common; they come last in the prefix order.
-SAMPLE = 32
-COMMON = 3
-MOST_COMMON = 100_000
-#: Row numbers that may be broadcast to pick texts to verify or to drop; beyond it the texts are shuffled.
-MAX_BROADCAST_IDS = 500_000
-#: One in so many shingles, at least one, that two near copies must share in their prefixes.
-COMMON_PART = 10
-#: Longs of parities that go into the join of a key's members; pairs are held against all of them.
-FOLDED = 4
-
-
-def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
-    """The hashes (uint64, in order) of the set of shingles of `words` words; fewer words make one, none gives none."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)] if parts else [], np.uint64)
-    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(parts)}
-    each = np.fromiter((known[w] for w in parts), np.uint64, len(parts))
-    mixed = np.zeros(len(parts) - words + 1, np.uint64)
-    for j in range(words):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + each[j : j + len(mixed)]
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(mixed ^ mixed >> np.uint64(29))
+#: Near copies share 4 of 5 of all their five-word shingles.
+NEAR = Likeness(words=5, p=4, q=5)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -250,269 +226,67 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Bits, as longs: whether an odd number of the hashes falls into each of about as many bins as there are hashes.
-
-    The bins of half the width are the exclusive or of both halves. Two sets differ in as many hashes, at least, as
-    their parities differ in bits.
-    """
-    bins = max(64, 1 << max(0, len(hashes) - 1).bit_length())
-    odd = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles and how common they are, from a sample; they set an order only, which any choice keeps right."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], names=["key"])
-
-    texts = docs.select(text_or_empty(text_col).alias("text"))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(run, "key long")
-    counts = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    found = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()
-    keys = np.array([r.key for r in found], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r.n for r in found], np.int64)[order]
-
-
-def _sketched(docs: DataFrame, text_col: str) -> DataFrame:
-    """Columns row (all input columns), digest and fp of the set of shingles, its size, prefix and parities.
-
-    The prefix holds the shingles that stand first in an order in which rare ones come first. Sets of n and m shingles
-    that share 0.8 of their union share 0.8 max(n, m) or more, so prefixes of n - ceil(0.8 n) + k and
-    m - ceil(0.8 m) + k shingles have k in common; k is max(1, size div COMMON_PART) for either, so the lesser of both counts.
-    """
-    common, weight = _common_shingles(docs, text_col)
-    at_text = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column(0)
-            digests, fps, sizes, prefixes, bits = [], [], [], [], []
-            for text in row.field(at_text).to_pylist():
-                own = shingles(text or "")
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                fps.append(majority(own))
-                sizes.append(len(own))
-                bits.append(parities(own))
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    own = own[np.argsort(np.where(common[at] == own, weight[at], 0), kind="stable")]
-                n = len(own)
-                prefixes.append(own[: n - (4 * n + 4) // 5 + max(1, n // COMMON_PART)].view(np.int64))
-            arrays = [row, pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32())]
-            arrays += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "digest", "fp", "size", "prefix", "bits"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, digest binary, fp long, size int, prefix array<long>, bits array<long>")
-
-
-def _differ(x: str, y: str) -> str:
-    """SQL for the bits in which two parities differ, after the wider one is folded to the width of the other."""
-    half = f"least(size({x}), size({y}))"
-    narrow = "if(size({0}) = {1}, {0}, zip_with(slice({0}, 1, {1}), slice({0}, {1} + 1, {1}), (p, q) -> p ^ q))"
-    return f"aggregate(zip_with({narrow.format(x, half)}, {narrow.format(y, half)}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
-
+def _similar(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Materialised rows (id, text_id, digest) and groups (digest, group_id), for five-word similarity of 0.8 or more.
 
-def _sizes_fit(a: str, b: str) -> Column:
-    return F.expr(f"5 * least({a}.size, {b}.size) >= 4 * greatest({a}.size, {b}.size)")
-
-
-def _may_match(a: str, b: str) -> Column:
-    """Sizes and places of a common shingle leave room for the similarity; true for the first common one of near copies."""
-    return _sizes_fit(a, b) & F.expr(f"9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size)")
-
-
-def _not_apart(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b: rid) whose parities leave room for the similarity: no near copies are lost.
-
-    Sets that share 0.8 of their union differ in a ninth of the sum of their sizes at most.
-    """
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side, x in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(sets.select(F.col("rid").alias(side), F.struct("size", "bits").alias(x)), side)
-    close = pairs.where(_sizes_fit("x", "y")).withColumn("apart", F.expr(_differ("x.bits", "y.bits")))
-    return materialise(close.where("9 * apart <= x.size + y.size").select("a", "b", "apart"), "pairs")
-
-
-def _texts_of(rows: DataFrame, ids: DataFrame, text_col: str) -> DataFrame:
-    """Materialised (rid, text) of the rows named in ids (rid)."""
-    ids = materialise(ids.select("rid").distinct(), "ids")
-    texts = rows.select("rid", text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
-    found = materialise(texts.join(_hinted(ids), "rid", "left_semi"), "texts")
-    discard(ids)
-    return found
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b: rid) whose sets of shingles have a Jaccard similarity of 0.8 or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, one, two = (batch.column(k).to_pylist() for k in range(4))
-            sets: dict[int, np.ndarray] = {}
-            near = []
-            for i, j, x, y in zip(a, b, one, two):
-                for k, text in ((i, x), (j, y)):
-                    if k not in sets:
-                        sets[k] = shingles(text)
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                near.append(9 * shared >= 4 * (len(sets[i]) + len(sets[j])))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    texts = texts.join(needed, "rid", "left_semi")
-    both = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("two")), "b")
-    both = both.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("one")), "a")
-    return materialise(both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"), "links")
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(rid, component) for all vertices that have left their own component, after the links (a, b: rid).
-
-    labels (rid, component) holds those that had left it before; a vertex outside it is its own component.
+    First this operator's keys link SimHashes of the sets within 4 bits; members of such a group that stand next to each
+    other by size are verified on the whole sets. The set join completes the links from its own keys and loses none.
     """
-    for side in ("a", "b"):
-        named = labels.select(F.col("rid").alias(side), F.col("component").alias(f"c{side}"))
-        links = links.join(named, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    merged = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    merged = materialise(merged.select(F.col("vertex").alias("component"), F.col("component").alias("merged")), "merged")
-    old = look_up(labels, merged, "component", "left").select("rid", F.coalesce("merged", "component").alias("component"))
-    new = merged.select(F.col("component").alias("rid"), F.col("merged").alias("component")).join(labels, "rid", "left_anti")
-    return materialise(old.unionByName(new).where("rid <> component"), "labels")
-
-
-def _hinted(table: DataFrame) -> DataFrame:
-    """A materialised table of row numbers or keys, to be broadcast if it is small."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST_IDS else table
-
-
-def _alike(rows: DataFrame, sets: DataFrame, text_col: str) -> DataFrame:
-    """Materialised (rid, component) for the sets that are not their component's own name: the closure of all links.
-
-    sets: (rid, fp, size, prefix, bits), one of each set of shingles; rows hold their texts.
-    First the SimHash operator's keys link fingerprints within 4 bits, and every member of such a group is verified
-    against one of them. The rest comes from the prefixes: a set goes on only if it shares as many keys with other
-    components as a near copy must. Of what is left neighbours under a key are verified, the closest of each set, in three
-    orders; then under each key that still holds several components all members outside its largest one are compared
-    with the members of the others. So a large group costs a few pairs per member and no link is lost.
+    rows = materialise(sketched(docs, id_col, text_col, NEAR, extra=majority), "sketched")
+    sets = distinct_sets(rows)
+    rows = rows.select("id", "text_id", "digest")
+    own = materialise(sets.select("rid", "size", F.col("extra").alias("fp")), "own")
+    prints = first_groups(own.select("fp"))
+    named = materialise(look_up(own, prints, "fp").select(F.col("component").alias("key"), "rid", "size", F.lit(0).alias("pos")), "named")
+    labels = link_neighbours(docs, text_col, sets, named, NEAR)
+    discard(own, prints, named)
+    free_shuffles(docs.sparkSession)
+    labels = components_of_sets(docs, text_col, sets, NEAR, labels)
+    groups = sets.select("digest", "rid")
+    if labels is not None:
+        groups = groups.join(labels, "rid", "left").withColumn("rid", F.coalesce("component", "rid"))
+    groups = materialise(groups.select("digest", F.col("rid").alias("group_id")), "groups")
+    discard(sets)
+    return rows, groups
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_id, group_id) of every row: the groups of five-word similarity of 0.8 or more.
+
+    Texts link where their sets of five-word shingles have a Jaccard similarity of at least 0.8; groups are the closure
+    of these links, verified on the whole sets, so there is no error either way but for equal 64-bit hashes. Texts
+    without words are alike.
     """
-    prints = first_groups(sets.select("fp"))
-    own = materialise(sets.select("rid", "fp"), "own")
-    named = materialise(look_up(own, prints, "fp").select("rid", "component"), "named")
-    hubs = materialise(named.groupBy("component").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    stars = look_up(named, hubs, "component").where("rid <> hub").select(F.col("rid").alias("a"), F.col("hub").alias("b"))
-    pairs = _not_apart(stars, sets)
-    texts = _texts_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("rid")), text_col)
-    links = _verified(pairs, texts)  # a is the smaller id, here the hub
-    labels = materialise(links.select(F.col("b").alias("rid"), F.col("a").alias("component")), "labels")
-    discard(prints, own, named, hubs, pairs, texts, links)
-    free_shuffles(rows.sparkSession)
-
-    def labelled(members: DataFrame) -> DataFrame:
-        return members.join(_hinted(labels), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-
-    def several(members: DataFrame) -> DataFrame:
-        """(key, a, b): keys with members of two components or more, and two of these."""
-        found = labelled(members).groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-        return materialise(found.where("a <> b"), "several")
-
-    under = Window.partitionBy("key")
-    keyed = labelled(sets.select("rid", "size", "prefix")).select("rid", "size", "component", F.posexplode("prefix").alias("pos", "key"))
-    keyed = keyed.select("*", F.min("component").over(under).alias("least"), F.max("component").over(under).alias("most"))
-    shared = materialise(keyed.where("least <> most").select("key", "rid", "size", "pos"), "shared")
-
-    def enough(members: DataFrame) -> DataFrame:
-        """Those that share enough keys; a partner has 0.8 of the size or more, so one size tells how many both must share."""
-        counts = members.groupBy("rid", "size").agg(F.count("*").alias("n"))
-        chosen = counts.where(f"n >= greatest(1, ((4 * size + 4) div 5) div {COMMON_PART})").select("rid")
-        return members.join(chosen, "rid", "left_semi")
-
-    members = materialise(enough(shared), "members")
-    discard(shared)
-    free_shuffles(rows.sparkSession)
-    if members.isEmpty():
-        return labels
-    texts = _texts_of(rows, members, text_col)
-    # Neighbours in three orders, of which the last differs from key to key: most of a group is linked before all are compared.
-    for order, some in ((["size", "rid"], "true"), ([F.xxhash64("rid")], "true"), ([F.xxhash64("key", "rid")], "pos < 3")):
-        by = Window.partitionBy("key").orderBy(*order)
-        near = labelled(members.where(some)).withColumn("x", F.struct("rid", "size", "pos"))
-        near = near.select("x", "component", F.lag(F.struct("x", "component")).over(by).alias("y"))
-        near = near.where("component <> y.component").where(_may_match("x", "y.x"))
-        pairs = _not_apart(near.select(F.col("x.rid").alias("a"), F.col("y.x.rid").alias("b")), sets)
-        links = _verified(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), texts)
-        discard(pairs)
-        if not links.isEmpty():
-            labels = _merged(labels, links)
-        free_shuffles(rows.sparkSession)
-    found = several(members)
-    if found.isEmpty():
-        return labels
-    rest = enough(members.join(found.select("key"), "key", "left_semi"))
-    rest = rest.where("pos <= size - (4 * size + 4) div 5")  # where one key in common is sure
-    own = f"filter(bits, (v, i) -> i % {FOLDED} = j)"
-    folded = f"transform(sequence(0, least({FOLDED}, size(bits)) - 1), j -> aggregate({own}, 0L, (a, v) -> a ^ v))"
-    rest = labelled(rest).join(sets.select("rid", F.expr(folded).alias("bits")), "rid")
-    rest = materialise(rest.select("key", F.struct("rid", "size", "pos", "bits").alias("x"), "component"), "rest")
-    sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    minor = rest.join(largest, "key").where("component <> largest").select("key", "x", F.col("component").alias("cx"))
-    other = rest.select("key", F.col("x").alias("y"), F.col("component").alias("cy"))
-    # All that rules a pair out is part of the join, so that a large group of texts just below the similarity emits none.
-    near = minor.join(other, "key").where("cx <> cy").where(_may_match("x", "y"))
-    near = near.where(f"9 * {_differ('x.bits', 'y.bits')} <= x.size + y.size").select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
-    pairs = _not_apart(near, sets)
-    links = _verified(pairs, texts)
-    discard(texts, members, found, rest, pairs)
-    return labels if links.isEmpty() else _merged(labels, links)
-
-
-def _similar(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Materialised rows (row, digest, rid, ...), sets (digest, rid of its first row) and the labels of the sets."""
-    rows = materialise(_sketched(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketched")
-    sets = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rid")), "sets")
-    sketches = rows.select("rid", "fp", "size", "prefix", "bits")
-    copies = materialise(rows.select("rid").join(sets.select("rid"), "rid", "left_anti"), "copies")
-    if copies.count() <= MAX_BROADCAST_IDS:  # then no sketch moves
-        one_of = sketches.join(F.broadcast(copies), "rid", "left_anti")
-    else:
-        one_of = materialise(sketches.join(sets.select("rid"), "rid", "left_semi"), "one_of")
-    return rows, sets, _alike(rows, one_of, text_col)
-
-
-def similar_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Columns row (all input columns), rid (a row number) and group_id, for five-word similarity of 0.8 or more.
-
-    Texts link where their sets of five-word shingles (words as for the fingerprint) have a Jaccard similarity of at
-    least 0.8; groups are the closure of these links. Equal sets are one text. Candidates come from SimHashes and from
-    a prefix filter, which loses no link, and every link is verified on the whole sets, so neither way there is an
-    error but for equal 64-bit hashes.
-    """
-    rows, sets, labels = _similar(docs, text_col)
-    groups = sets.select("digest", "rid").join(labels, "rid", "left")
-    groups = materialise(groups.select("digest", F.coalesce("component", "rid").alias("group_id")), "groups")
-    return look_up(rows.select("row", "rid", "digest"), groups, "digest").select("row", "rid", "group_id")
+    rows, groups = _similar(docs, id_col, text_col)
+    return look_up(rows, groups, "digest").select("id", "text_id", "group_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each similar group stays: the one with the smallest id (null last), then the first row.
+    """One document of each similar group stays: the one with the smallest id (null last), then the least text digest.
 
-    Null text counts as empty, and texts without words are alike. Repeated rows are copies. An empty table gives no rows.
+    Null text counts as empty, and texts without words are alike. Repeated rows are copies, of which one stays. Texts are
+    taken whole, however long. An empty table gives no rows. The documents are read again to pick what stays, so no text is
+    stored; where few go, none is moved.
     """
-    rows, sets, labels = _similar(docs, text_col)
-    groups = sets.select("digest", "rid").join(labels, "rid", "left").select("digest", F.coalesce("component", "rid").alias("group_id"))
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    rows, groups = _similar(docs, id_col, text_col)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "text_id")
     # The best row of each set, then of each group: both are sums over partial minima, whatever the size of a group.
-    best = rows.select("digest", "rid", F.col(f"row.`{id_col}`").alias("id")).groupBy("digest").agg(F.min(key).alias("key"))
-    kept = best.join(groups, "digest").groupBy("group_id").agg(F.min("key").alias("key")).select(F.col("key.rid").alias("rid"))
-    gone = materialise(rows.select("rid").join(kept, "rid", "left_anti"), "gone")
-    return rows.join(_hinted(gone), "rid", "left_anti").select("row.*")  # if few go, no text moves
+    best = rows.groupBy("digest").agg(F.min(key).alias("key")).join(groups, "digest")
+    kept = materialise(best.groupBy("group_id").agg(F.min("key").alias("key")).select("key.id", "key.text_id"), "kept")
+    same = lambda x, y: F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.text_id") == F.col(f"{y}.text_id"))
+    counts = rows.groupBy("id", "text_id").agg(F.count("*").alias("n")).alias("r")
+    gone = materialise(counts.join(kept.alias("k"), same("r", "k"), "left_anti").select("id", "text_id"), "gone")
+    again = materialise(counts.where("n > 1").join(kept.alias("k"), same("r", "k"), "left_semi").select("id", "text_id"), "again")
+    whole = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        text_digest(text_col).alias("text_id"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    left = whole.alias("w").join(hinted(gone).alias("g"), same("w", "g"), "left_anti")
+    if not again.isEmpty():
+        twice = left.alias("w").join(hinted(again).alias("a"), same("w", "a"), "left_semi").dropDuplicates(["id", "text_id"])
+        left = left.alias("w").join(hinted(again).alias("a"), same("w", "a"), "left_anti").unionByName(twice)
+    return left.select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from lengthlab.llm import simhash
+from lengthlab.llm import set_join, simhash
 
 
 def plain_fingerprint(text):
@@ -145,7 +145,7 @@ def test_similar_groups_match_brute_force_five_word_similarity(spark, monkeypatc
     wanted = five_word_groups(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert 60 < len(set(wanted)) < len(texts) - 60
-    monkeypatch.setattr(simhash, "SAMPLE", 2)
-    found = {r.row.doc_id: r.group_id for r in simhash.similar_groups(df).collect()}
+    monkeypatch.setattr(set_join, "SAMPLE", 2)
+    found = {r.id: r.group_id for r in simhash.similar_groups(df).collect()}
     groups = lambda of: sorted([i for i in range(len(texts)) if of[i] == g] for g in {of[i] for i in range(len(texts))})
     assert groups(found) == groups(wanted)
