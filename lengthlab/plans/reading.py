@@ -48,6 +48,10 @@ def _src1(spark, sf_dir):
     return text.scan_json_lines(spark, _written_lines(spark, sf_dir), RECORD).select("doc_id", "lang", "error_code")
 
 
+_ELEMENTS = """
+SELECT CASE WHEN doc_id % 20 <> 1 THEN doc_id END AS doc_id, CASE WHEN doc_id % 20 <> 1 THEN lang || ' 9e1234' END AS lang,
+  CASE WHEN doc_id % 20 = 1 THEN 'schema_mismatch' END AS error_code FROM {documents}"""
+
 #: Documents of one written array.
 ARRAY = 5000
 
@@ -56,11 +60,9 @@ def _written_arrays(spark, sf_dir, wrap=None):
     """documents as JSON arrays of at most ARRAY items, one per file."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("lang", F.lit(" 9e1234")).alias("lang"))
     item = F.when(F.col("doc_id") % 20 == 1, F.to_json(F.struct(F.lit("oops").alias("doc_id"), "lang"))).otherwise(_json(rows))
-    if wrap:
-        item = _json(rows)
     chunk = F.floor(F.col("doc_id") / ARRAY).alias("chunk")
     whole = rows.groupBy("source", chunk).agg(F.array_join(F.collect_list(item), ",").alias("items"))
-    start = f'{{"{wrap}": [' if wrap else "["
+    start = f'{{"note": [{{"{wrap}": [1, "],"]}}], "{wrap}": [' if wrap else "["
     path = new_folder(spark, "arrays")
     out = whole.select(F.concat(F.lit(start), "items", F.lit("]}" if wrap else "]")).alias("value"), "source")
     out.write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
@@ -72,7 +74,7 @@ def _src2(spark, sf_dir):
 
 
 def _src3(spark, sf_dir):
-    return text.scan_json_field(spark, _written_arrays(spark, sf_dir, "rows"), "rows", RECORD).select("doc_id", "lang")
+    return text.scan_json_field(spark, _written_arrays(spark, sf_dir, "rows"), "rows", RECORD).select("doc_id", "lang", "error_code")
 
 
 def _src4(spark, sf_dir):
@@ -248,11 +250,8 @@ def _ds1(spark, sf_dir):
 
 ENTRIES = {
     "src1_scan_json_lines": (_src1, sql(_LINES)),
-    "src2_scan_json_array": (
-        _src2,
-        sql("SELECT CASE WHEN doc_id % 20 <> 1 THEN doc_id END AS doc_id, CASE WHEN doc_id % 20 <> 1 THEN lang || ' 9e1234' END AS lang, CASE WHEN doc_id % 20 = 1 THEN 'schema_mismatch' END AS error_code FROM {documents}"),
-    ),
-    "src3_scan_json_field": (_src3, sql("SELECT doc_id, lang || ' 9e1234' AS lang FROM {documents}")),
+    "src2_scan_json_array": (_src2, sql(_ELEMENTS)),
+    "src3_scan_json_field": (_src3, sql(_ELEMENTS)),
     "src4_scan_csv": (
         _src4,
         sql("""

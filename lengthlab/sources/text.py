@@ -1,7 +1,6 @@
 """Text formats in which a bad record is a failed row, not a failed job: JSON lines, JSON arrays and fields, CSV.
 
-An array or a field below an object has no record boundaries for Spark, so one file is one unit of work and must fit
-into a string of a task (2 GB at most); write many files. Readers return the declared columns plus `line` (1-based) or `element` (0-based) within the file, `path` and
+Readers return the declared columns plus `line` (1-based) or `element` (0-based) within the file, `path` and
 `error_code` (null for good rows; failed rows have null columns).
 """
 
@@ -11,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lengthlab.scratch import stored
+from lengthlab.sources.json_split import split_elements
+
 # Cells that stand for a missing value in CSV files.
 NA_TOKENS = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "n/a", "#N/A", "<NA>", "None")
 
@@ -66,27 +68,47 @@ def scan_json_lines(spark: SparkSession, paths: list[str] | str, schema: T.Struc
     return _parsed(lines, "value", schema, "line")
 
 
-def _whole(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, text) of whole files; for formats without record boundaries, one file is one unit of work."""
-    rows = spark.read.text(paths, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def _elements(elements: DataFrame) -> DataFrame:
+    """(path, element, value) as text lines are: scalars are wrapped as {"text": item}; an unfinished element is no JSON."""
+    item = F.btrim(F.col("text").cast("string"), F.lit(" \t\r\n"))
+    scalar = ~item.rlike(r"^[\[{]") & (item != "null") & F.try_parse_json(item).isNotNull()
+    wrapped = F.concat(F.lit('{"text":'), F.when(item.startswith('"'), item).otherwise(F.concat(F.lit('"'), item, F.lit('"'))), F.lit("}"))
+    value = F.when(~F.col("whole"), "").when(scalar, wrapped).otherwise(item)
+    return elements.select("path", "element", value.alias("value"))
+
+
+def _failed(files: DataFrame, schema: T.StructType, code: str) -> DataFrame:
+    """One failed row for each file that has no elements to give."""
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return files.select("path", F.lit(None).cast("long").alias("element"), *empty, F.lit(code).alias("error_code"))
 
 
 def scan_json_array(spark: SparkSession, paths: list[str] | str, schema: T.StructType) -> DataFrame:
-    """One JSON array per file: objects, or scalars wrapped as {"text": item}; a bad element is a failed row."""
-    rows = _whole(spark, paths).where(F.ltrim("text").startswith("["))
-    each = rows.select("path", F.posexplode(F.from_json("text", "array<string>")).alias("element", "item"))
-    is_object = F.ltrim("item").startswith("{")
-    item = F.when(is_object, F.col("item")).when(F.col("item").isNotNull(), F.to_json(F.struct(F.col("item").alias("text"))))
-    item = F.when(F.ltrim("item").startswith("["), F.col("item")).otherwise(item)
-    return _parsed(each.select("path", "element", F.coalesce(item, F.lit("null")).alias("value")), "value", schema, "element")
+    """One JSON array per file: objects, or scalars wrapped as {"text": item}.
+
+    A bad element, and the element in which a cut file ends, is a failed row; so is a file that holds no array
+    (`not_an_array`, without an element). A file is read by many tasks, see json_split.
+    """
+    elements, _, files = split_elements(spark, paths, 1, stored)
+    other = files.where(~F.col("opening").eqNullSafe("["))
+    if not other.isEmpty():
+        elements = elements.join(F.broadcast(other.select("path")), "path", "left_anti")  # files, not rows
+    return _parsed(_elements(elements), "value", schema, "element").unionByName(_failed(other, schema, "not_an_array"))
 
 
 def scan_json_field(spark: SparkSession, paths: list[str] | str, field: str, schema: T.StructType) -> DataFrame:
-    """The rows below one key of one JSON object per file."""
-    outer = T.StructType([T.StructField(field, T.ArrayType(schema))])
-    rows = spark.read.schema(outer).option("multiLine", True).json(paths)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.posexplode(field).alias("element", "row")).select("path", "element", "row.*")
+    """The rows below one key of one JSON object per file.
+
+    A row of another kind, and the row in which a cut file ends, is a failed row; so is a file without the field
+    or with no array there (`json_field_unreadable`, without an element). A file is read by many tasks, see json_split.
+    """
+    elements, headers, files = split_elements(spark, paths, 2, stored)
+    key = F.regexp_extract(F.col("text").cast("string"), r'^[\x{FEFF}\s]*\{?\s*("(?:[^"\\]|\\.)*")\s*:\s*\[$', 1)
+    name = F.from_json(F.concat(F.lit('{"k":'), key, F.lit("}")), "k string")["k"]
+    chosen = stored(headers.where(name == field).groupBy("path").agg(F.min("section").alias("section")), "sections")
+    found = elements.join(F.broadcast(chosen), ["path", "section"])  # a row per file
+    missing = files.join(chosen, "path", "left_anti")
+    return _parsed(_elements(found), "value", schema, "element").unionByName(_failed(missing, schema, "json_field_unreadable"))
 
 
 def scan_csv(
