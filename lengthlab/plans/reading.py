@@ -132,10 +132,57 @@ def _src6(spark, sf_dir):
     return arrow.scan_arrow(spark, _written_arrow(spark, sf_dir)[0], "doc_id long, lang string")
 
 
+def _coded(kind: str, data: bytes) -> bytes:
+    """The bytes as a member of this compressed form."""
+    import bz2
+    import gzip
+    import lzma
+
+    import pyarrow as pa
+    import zstandard
+
+    if kind == "lz4":
+        sink = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(sink, "lz4") as stream:
+            stream.write(data)
+        return sink.getvalue().to_pybytes()
+    forms = {"gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}
+    return forms[kind](data) if kind in forms else data
+
+
+def _written_members(spark, sf_dir):
+    """The folder and paths of the lines of src1 in files of all compressed forms by turns, each of several members that
+    end within lines."""
+    import pyarrow as pa
+
+    lines = spark.read.text(_written_lines(spark, sf_dir, "members")).select(F.col("value").cast("binary").alias("value"))
+    root = new_folder(spark, "members")
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(root) if ":" in root.split("/")[0] else (fs.LocalFileSystem(), root)
+        system.create_dir(base, recursive=True)
+        part = TaskContext.get().partitionId()
+        kind = ("gzip", "bz2", "xz", "zstd", "lz4", "plain")[part % 6]
+        name = f"{base}/{part}.{kind}"
+        with system.open_output_stream(name, compression=None) as sink:  # else the name would choose one more
+            for batch in batches:
+                data = b"".join(line + b"\n" for line in batch.column(0).to_pylist())
+                for start in range(0, len(data), 5001):
+                    sink.write(_coded(kind, data[start : start + 5001]))
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
+
+    return root, [r.path for r in lines.repartition(6).mapInArrow(write, "path string").collect()]  # a listing
+
+
 def _src7(spark, sf_dir):
-    path = _written_lines(spark, sf_dir, "gz", 3, "gzip")
-    lines = arrow.scan_compressed_text(spark, path)
-    return lines.where("trim(value) <> ''").agg(F.count("*").alias("lines"), F.count_if(F.col("value") == "{bad").alias("broken"))
+    """Each line with how often it is read: once by ranges of 2,000 bytes, once through Spark's own file access."""
+    root, paths = _written_members(spark, sf_dir)
+    lines = arrow.scan_text_files(spark, paths, split=2000).unionByName(arrow.scan_compressed_text(spark, root))
+    lines = lines.where("value is null or trim(value) <> ''")
+    return lines.groupBy("value", "error_code").agg(F.count("*").alias("n"), F.countDistinct("path", "line").alias("places"))
 
 
 def _src8(spark, sf_dir):
@@ -260,7 +307,15 @@ SELECT CASE WHEN doc_id % 10 <> 1 THEN doc_id END AS doc_id, CASE doc_id % 10 WH
     ),
     "src5_scan_parquet": (_src5, sql("SELECT doc_id, n_chars FROM {documents} WHERE source >= 'src3'")),
     "src6_scan_arrow_ipc": (_src6, sql("SELECT doc_id, lang FROM {documents}")),
-    "src7_scan_compressed_text": (_src7, sql("SELECT count(*) AS lines, count(*) FILTER (doc_id % 50 = 1) AS broken FROM {documents}")),
+    "src7_scan_compressed_text": (
+        _src7,
+        sql("""
+SELECT value, error_code, 2 * count(*) AS n, 2 * count(*) AS places FROM (
+  SELECT CASE doc_id % 50 WHEN 1 THEN '{bad' WHEN 2 THEN '[1]' WHEN 3 THEN '{"lang":"x",' || substr(line, 2) WHEN 5 THEN NULL WHEN 6 THEN '{"doc_id":6e999}' ELSE line END AS value,
+    CASE WHEN doc_id % 50 = 5 THEN 'invalid_utf8' END AS error_code
+  FROM (SELECT doc_id, '{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || ' 9e1234"}' AS line FROM {documents}) l) v
+GROUP BY value, error_code"""),
+    ),
     "src8_load_split": (_src8, sql("SELECT doc_id FROM {documents} WHERE source < 'src3'")),
     "src9_with_row_index": (_src9, sql(f"SELECT doc_id, row_index, 'train:' || CAST(row_index AS VARCHAR) AS row_id FROM ({_INDEXED}) t")),
     "src10_build_manifest": (
