@@ -45,6 +45,20 @@ def render_chat(messages: Column | str, generation_prompt: bool = False) -> Colu
     return F.when(F.size(messages) > 0, text)
 
 
+def assistant_spans(messages: Column | str) -> Column:
+    """(start, stop) of the assistant turns with their end marks in the rendered text, in characters."""
+    fixed = len(START) + 1, len(END) + 1  # the start mark and the line end behind the role; the end mark and its line end
+
+    def add(found: Column, m: Column) -> Column:
+        start = found["at"] + fixed[0] + F.length(m["role"])
+        stop = start + F.coalesce(F.length(m["content"]), F.lit(0)) + fixed[1]
+        span = F.array(F.struct(start.alias("start"), stop.alias("stop")))
+        return F.struct(stop.alias("at"), F.when(m["role"] == "assistant", F.concat(found["spans"], span)).otherwise(found["spans"]).alias("spans"))
+
+    none = F.array().cast("array<struct<start: int, stop: int>>")
+    return F.aggregate(_c(messages), F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda found: found["spans"])
+
+
 def extract_prompt(chosen: Column | str, rejected: Column | str) -> Column:
     """(prompt, chosen, rejected) of two message lists: their common beginning and what is left of each.
 

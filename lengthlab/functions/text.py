@@ -30,6 +30,20 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
 
 
+def token_ids(text: Column | str, by: str | Callable[[Column], Column] = "tokens") -> Column:
+    """What the text is to the tokenizer, as strings: ids of a tokenizer file, else each token's bytes in hexadecimal.
+
+    A counting function tells its ids by an attribute `ids`; without it they are unknown, so null.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    if callable(by):
+        return by.ids(text).cast("array<string>") if hasattr(by, "ids") else F.lit(None).cast("array<string>")
+    if by == "bytes":
+        return F.regexp_extract_all(F.hex(text), F.lit(".."), F.lit(0))
+    each = tokens(text) if by == "tokens" else F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.transform(each, lambda t: F.hex(t))
+
+
 def _chars(column: Column, kind: T.DataType) -> Column:
     """Characters in all strings nested in a value."""
     if isinstance(kind, T.StringType):

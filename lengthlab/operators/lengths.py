@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lengthlab.functions import chat
-from lengthlab.functions.text import safe_shard_id, token_length, tokens
+from lengthlab.functions.keys import token_digest
+from lengthlab.functions.text import safe_shard_id, token_ids, token_length
 
 LENGTHS = (
     "prompt_tokens", "completion_tokens", "sequence_tokens", "loss_token_count", "chosen_total_tokens", "rejected_total_tokens",
@@ -99,7 +100,7 @@ def sft_text(rows: DataFrame, text: str = "text", limit: int | None = None, by:
     n = token_length(text, by)
     lengths = {"sequence_tokens": n, "loss_token_count": chat.loss_positions(None, n)}
     content = F.sha2(F.concat_ws("\x1f", F.lit("text"), F.col(text)), 256)
-    ids = F.sha2(F.concat(F.lit("input_ids:"), F.array_join(F.transform(tokens(text), F.length), ","), F.lit("\n")), 256)
+    ids = token_digest({"input_ids": token_ids(text, by)})
     return records(rows, "sft", lengths, row_checks({"text": F.col(text)}), content, ids, limit, by)
 
 
@@ -109,18 +110,23 @@ def sft_messages(
     """A conversation rendered whole; an empty one fails.
 
     Every position but the first has loss; with assistant_only the positions of assistant turns with their end marks,
-    which follow a header and so never hold the first position. The texts of these turns are counted together.
+    which follow a header and so never hold the first position. A tokenizer whose tokens may cross the edge of a turn
+    tells how many lie wholly inside; those that end at white space count the turns by themselves.
     """
     text = chat.render_chat(messages)
     n = token_length(text, by)
     loss = chat.loss_positions(None, n)
-    if assistant_only:
+    if assistant_only and callable(by):
+        if not hasattr(by, "inside"):
+            raise ValueError("assistant-only loss needs a tokenizer that tells which tokens lie inside a span")
+        loss = by.inside(text, chat.assistant_spans(messages))
+    elif assistant_only:
         own = F.filter(messages, lambda m: m["role"] == "assistant")
         spoken = F.array_join(F.transform(own, lambda m: F.concat(F.coalesce(m["content"], F.lit("")), F.lit(EOS + "\n"))), "")
         loss = token_length(spoken, by)
     lengths = {"sequence_tokens": n, "loss_token_count": loss}
     code = F.when(F.col(messages).isNull(), "missing_messages").when(F.size(messages) == 0, "empty_conversation")
-    return records(rows, "sft", lengths, code, F.sha2(text, 256), F.sha2(text, 256), limit, by)
+    return records(rows, "sft", lengths, code, F.sha2(text, 256), token_digest({"input_ids": token_ids(text, by)}), limit, by)
 
 
 def sft_prompt_completion(
@@ -136,7 +142,7 @@ def sft_prompt_completion(
         "loss_token_count": F.greatest(total - F.greatest(p, F.lit(1)), F.lit(0)),
     }
     code = row_checks({"prompt": F.col(prompt), "completion": F.col(completion)})
-    return records(rows, "sft", lengths, code, F.sha2(whole, 256), F.sha2(whole, 256), limit, by)
+    return records(rows, "sft", lengths, code, F.sha2(whole, 256), token_digest({"input_ids": token_ids(whole, by)}), limit, by)
 
 
 def _conversation(*turns: tuple[str, Column]) -> Column:
@@ -159,7 +165,10 @@ def dpo(rows: DataFrame, limit: int | None = None, by: Counter = "tokens") -> Da
         lengths[f"{name}_total_tokens"] = p + suffix
     code = row_checks({name: F.col(name) for name in ("prompt", "chosen", "rejected")})
     content = F.sha2(F.concat_ws("\x1f", "system", "prompt", "chosen", "rejected"), 256)
-    ids = F.sha2(F.concat_ws("\x1f", branch["chosen"], branch["rejected"]), 256)
+    own = token_ids(prompt, by)
+    # What the model gets: the prompt's ids, and behind them what the branch adds.
+    both = {f"{name}_input_ids": F.concat(own, F.slice(token_ids(t, by), F.size(own) + 1, F.greatest(F.size(token_ids(t, by)), F.lit(1)))) for name, t in branch.items()}
+    ids = token_digest(both)
     return records(rows, "dpo", lengths, code, content, ids, limit, by)
 
 
@@ -169,7 +178,7 @@ def grpo(rows: DataFrame, limit: int | None = None, by: Counter = "tokens") -> D
     prompt = chat.render_chat(chat.omit_blank_system(_conversation(*turns)), True)
     code = row_checks({"prompt": F.col("prompt")})
     lengths = {"prompt_tokens": token_length(prompt, by)}
-    return records(rows, "grpo", lengths, code, F.sha2(prompt, 256), F.sha2(prompt, 256), limit, by)
+    return records(rows, "grpo", lengths, code, F.sha2(prompt, 256), token_digest({"prompt_ids": token_ids(prompt, by)}), limit, by)
 
 
 #: Registered ways to process rows, by objective and layout; the name and version enter the preprocess key.

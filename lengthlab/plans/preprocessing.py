@@ -84,6 +84,7 @@ def _fn6(spark, sf_dir):
     out = L.sft_prompt_completion(plain, "prompt", "chosen")
     talk = chats(spark, sf_dir).withColumns({"row_index": F.col("conv_id"), "split": F.lit("chat"), "shard_id": F.lit("c")})
     out = out.unionByName(L.sft_messages(talk))
+    out = out.unionByName(L.sft_messages(talk.withColumn("split", F.lit("spoken")), assistant_only=True))
     return out.select("row_id", "prompt_tokens", "completion_tokens", "sequence_tokens", "loss_token_count", "processing_status")
 
 
@@ -130,9 +131,11 @@ def _fn12(spark, sf_dir):
 
 
 def _fn13(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_text").where("text is not null")
-    ids = F.transform(text.tokens("text"), lambda t: F.length(t))
-    return rows.select("row_index", keys.token_digest({"input_ids": ids}).alias("digest"))
+    """The digests of the records: of every text, of rendered conversations and of both branches of a preference."""
+    rows = view(spark, sf_dir, "v_text")
+    out = L.sft_text(rows).where("processing_status = 'ok'").select("row_id", "token_digest")
+    talk = chats(spark, sf_dir).withColumns({"row_index": F.col("conv_id"), "split": F.lit("chat"), "shard_id": F.lit("c")})
+    return out.unionByName(L.sft_messages(talk).select("row_id", "token_digest"))
 
 
 def _fn14(spark, sf_dir):
@@ -344,6 +347,8 @@ def _udtf1(spark, sf_dir):
     return S.branch_rows(preference_lengths(spark, sf_dir), "dpo").groupBy("branch").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
+_DIGEST = f"sha256('input_ids:' || array_to_string(list_transform(regexp_extract_all({{}}, '{text.TOKENS}'), lambda t: hex(t)), ',') || chr(10))"
+
 ENTRIES = {
     "fn1_normalize_messages": (_fn1, sql("SELECT conv_id, n::INT AS n, " + _JOINED.format("messages") + " AS digest FROM {chat} WHERE len(list_filter(messages, lambda m: m.content = '' OR m.content IS NULL)) = 0")),
     "fn2_text_parts": (_fn2, sql("SELECT conv_id, count(*) FILTER (role <> 'system')::INT AS n, md5(coalesce(string_agg(content, '|' ORDER BY turn) FILTER (role <> 'system'), '')) AS digest FROM {v_messages} GROUP BY conv_id")),
@@ -357,7 +362,10 @@ SELECT 'train:' || CAST(row_index AS VARCHAR) AS row_id, p AS prompt_tokens, gre
   greatest(t - greatest(p, 1), 0) AS loss_token_count, 'ok' AS processing_status
 FROM (SELECT row_index, {_n('prompt')} AS p, {_n("prompt || CASE WHEN ends_with(chosen, '<|im_end|>') THEN chosen ELSE chosen || '<|im_end|>' END")} AS t FROM {{v_preference}}) a
 UNION ALL
-SELECT 'chat:' || CAST(conv_id AS VARCHAR), NULL, NULL, t, greatest(t - 1, 0), 'ok' FROM (SELECT conv_id, {_n(_RENDER.format('messages'))} AS t FROM {{chat}}) b"""),
+SELECT 'chat:' || CAST(conv_id AS VARCHAR), NULL, NULL, t, greatest(t - 1, 0), 'ok' FROM (SELECT conv_id, {_n(_RENDER.format('messages'))} AS t FROM {{chat}}) b
+UNION ALL
+SELECT 'spoken:' || CAST(conv_id AS VARCHAR), NULL, NULL, {_n(_RENDER.format('messages'))},
+  coalesce(list_sum(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: {_n("coalesce(m.content, '') || '<|im_end|>'")})), 0), 'ok' FROM {{chat}}"""),
     ),
     "fn7_dpo_lengths": (
         _fn7,
@@ -388,7 +396,8 @@ FROM (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN '</s>' ELSE '' E
     "fn13_token_digest": (
         _fn13,
         sql(
-            f"SELECT row_index, sha256('input_ids:' || array_to_string(list_transform(regexp_extract_all(text, '{text.TOKENS}'), lambda t: length(t)), ',') || chr(10)) AS digest FROM {{v_text}} WHERE text IS NOT NULL"
+            f"SELECT split || ':' || CAST(row_index AS VARCHAR) AS row_id, {_DIGEST.format('text')} AS token_digest FROM {{v_text}} WHERE text IS NOT NULL "
+            f"UNION ALL SELECT 'chat:' || CAST(conv_id AS VARCHAR), {_DIGEST.format(_RENDER.format('messages'))} FROM {{chat}}"
         ),
     ),
     "fn14_content_preserved": (
