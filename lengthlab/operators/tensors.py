@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lengthlab.functions.patterns import first_match
 from lengthlab.functions import names
 from lengthlab.functions.units import with_bytes
 
@@ -135,24 +136,12 @@ def four_bit_bytes(n: Column, double: bool = True) -> tuple[Column, Column]:
     return up(n, 2), extra
 
 
-def first_match(rows: DataFrame, patterns: DataFrame, name: str = "module") -> DataFrame:
-    """Adds matched: the value of the first pattern (in order) that equals the name or a dotted ending of it.
+def weight_bytes(tensors: DataFrame, skip: list[str], load_bits: int = 16, by: str = "model") -> DataFrame:
+    """Bytes in memory: linear text weights in 4-bit blocks, all else dense.
 
-    patterns: (pattern_order, pattern, value), a short configured list. Endings are exploded, so this is an
-    equi join however long the list of names.
+    The skip list holds regular expressions for the beginning of a module, and bare endings; these stay dense.
     """
-    parts = F.split(name, "\\.")
-    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    hits = rows.select(name).distinct().select(name, F.explode(endings).alias("pattern")).join(F.broadcast(patterns), "pattern")
-    best = hits.groupBy(name).agg(F.min_by("value", "pattern_order").alias("matched"))
-    return rows.join(best, name, "left")
-
-
-def weight_bytes(tensors: DataFrame, skip: list[str], load_bits: int = 16, by: str = "model") -> DataFrame:
-    """Bytes in memory: linear text weights in 4-bit blocks unless their module is on the skip list, all else dense."""
-    spark = tensors.sparkSession
-    listed = spark.createDataFrame([(i, p, 1) for i, p in enumerate(skip)], "pattern_order int, pattern string, value int")
-    rows = first_match(tensors, listed)
+    rows = tensors.withColumn("matched", first_match("module", skip, "skip"))
     quantized = (F.col("role") == "linear_weight") & (F.col("component") == "text") & F.col("matched").isNull()
     payload, extra = four_bit_bytes(F.col("numel"))
     dense = F.floor((F.col("numel") * load_bits + 7) / 8).cast("long")
@@ -165,10 +154,13 @@ def weight_bytes(tensors: DataFrame, skip: list[str], load_bits: int = 16, by: s
 
 
 def adapter_params(modules: DataFrame, default_rank: int, patterns: list[tuple[str, int]], by: str = "model") -> DataFrame:
-    """Adapter matrices A (rank x in) and B (out x rank) grouped by shape, with the first matching rank pattern."""
-    spark = modules.sparkSession
-    listed = spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(patterns)], "pattern_order int, pattern string, value int")
-    ranked = first_match(modules, listed).withColumn("rank", F.coalesce("matched", F.lit(default_rank)).cast("long"))
+    """Adapter matrices A (rank x in) and B (out x rank) grouped by shape; the first rank pattern that fits decides.
+
+    A pattern is a regular expression for the module, or for a dotted ending of it.
+    """
+    ranks = F.array(*[F.lit(rank) for _, rank in patterns]) if patterns else F.array().cast("array<int>")
+    place = first_match("module", [p for p, _ in patterns], "rank")
+    ranked = modules.withColumn("rank", F.coalesce(F.get(ranks, place), F.lit(default_rank)).cast("long"))
     both = F.array(
         F.struct(F.lit("A").alias("matrix"), F.col("rank").alias("d0"), F.col("in_features").alias("d1")),
         F.struct(F.lit("B").alias("matrix"), F.col("out_features").alias("d0"), F.col("rank").alias("d1")),

@@ -122,19 +122,19 @@ def _ten8(spark, sf_dir):
 
 
 def _ten9(spark, sf_dir):
-    return X.weight_bytes(_roles(spark, sf_dir), ["down_proj"])
+    return X.weight_bytes(_roles(spark, sf_dir), ["lm_head", r"model\.layers\.[02468]\.self_attn", "down_proj"])
 
 
-_TEN9 = """
+_TEN9 = r"""
 SELECT model, coalesce(sum(p) FILTER (q), 0)::BIGINT AS payload, coalesce(sum(x) FILTER (q), 0)::BIGINT AS metadata, coalesce(sum(d) FILTER (NOT q), 0)::BIGINT AS dense,
   max(CASE WHEN q THEN p + x ELSE d END)::BIGINT AS largest
-FROM (SELECT model, role = 'linear_weight' AND component = 'text' AND name NOT LIKE '%down_proj%' AS q, (numel + 1) // 2 AS p, 2 * numel AS d,
+FROM (SELECT model, role = 'linear_weight' AND component = 'text' AND name NOT LIKE '%down_proj%' AND NOT (regexp_matches(name, '^model\.layers\.[02468]\.self_attn')) AS q, (numel + 1) // 2 AS p, 2 * numel AS d,
     (numel + 63) // 64 + 4 * (((numel + 63) // 64 + 255) // 256) + 4 + 64 + 1024 AS x FROM {roled}) t GROUP BY model"""
 
 
 def _ten10(spark, sf_dir):
     modules = X.linear_modules(_roles(spark, sf_dir)).where("layer_type is null or layer_type = 'mlp'")
-    return X.adapter_params(modules, 16, [("mlp.down_proj", 4), ("down_proj", 99), ("q_proj", 8)])
+    return X.adapter_params(modules, 16, [(r"layers\.[0-3]\..*down_proj", 2), (r"mlp\.(down|up)_proj", 4), ("down_proj", 99), ("[a-z]_proj", 8)])
 
 
 _TEN10 = """
@@ -237,7 +237,7 @@ FROM (SELECT *, split_part(module, '.', -1) AS kind FROM {roled} WHERE role = 'l
     "ten9_weight_bytes": (_ten9, sql(_TEN9)),
     "ten10_adapter_params": (
         _ten10,
-        duck(_TEN10.replace(" FROM m", " FROM {ranked}"), CATALOG | {"ranked": "SELECT *, CASE WHEN name LIKE '%mlp.down_proj%' THEN 4 WHEN name LIKE '%q_proj%' THEN 8 ELSE 16 END AS r FROM {roled} WHERE role = 'linear_weight' AND component = 'text'"}),
+        duck(_TEN10.replace(" FROM m", " FROM {ranked}"), CATALOG | {"ranked": r"SELECT *, CASE WHEN name LIKE '%mlp.down_proj%' THEN CASE WHEN regexp_matches(name, 'layers\.[0-3]\.') THEN 2 ELSE 4 END WHEN name LIKE '%.q_proj%' THEN 8 ELSE 16 END AS r FROM {roled} WHERE role = 'linear_weight' AND component = 'text'"}),
     ),
     "win6_first_occurrence": (
         _win6,

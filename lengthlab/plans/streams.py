@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lengthlab.operators import lengths as L
@@ -37,15 +39,34 @@ def _str2(spark, sf_dir):
 
 
 def _str3(spark, sf_dir):
-    events = view(spark, sf_dir, "v_events")
-    return scan.throttled(events, "analysis_id", "ts", "event_id", "6 hours").select("analysis_id", "event_id")
+    """The event log as a stream of three files in order of the events; of each analysis one event in six hours and the last."""
+    rows = view(spark, sf_dir, "v_events")
+    path = new_folder(spark, "progress")
+    last = F.max("event_id").over(Window.partitionBy("analysis_id"))
+    rows = rows.select("analysis_id", "event_id", "ts", (F.col("event_id") == last).alias("final"))
+    low, high = rows.approxQuantile("event_id", [1 / 3, 2 / 3], 0.01)
+    for part in (F.col("event_id") <= low, F.col("event_id").between(low + 1, high), F.col("event_id") > high):  # files are read by age
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    events = scan.file_stream(spark, path, rows.schema, 1)
+    given = scan.throttled(events, "analysis_id", "event_id", "ts", F.col("final"), 6 * 3600)
+    out = new_folder(spark, "given")
+    query = given.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "log")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select(F.col("key").cast("long").alias("analysis_id"), F.col("order").alias("event_id"))
 
 
 def _str4(spark, sf_dir):
-    path, schema = _files(spark, sf_dir, "v_events", 3)
+    """Half of the log is there when the query starts; the rest is written while it runs."""
+    path, schema = _files(spark, sf_dir, "v_events", 2, "event_id % 2 = 0")
     out = new_folder(spark, "tail")
     terminal = F.col("status").isin("COMPLETED", "FAILED")
-    return scan.tail_events(spark, path, schema, 50, F.col("analysis_id") == 3, terminal, out).select("event_id", "status")
+    late = threading.Timer(1.0, lambda: _files(spark, sf_dir, "v_events", 1, "event_id % 2 = 1", path))
+    late.start()
+    # The first batch may hold a later terminal event than the rest, so the terminal event is told by the whole log.
+    first = view(spark, sf_dir, "v_events").where((F.col("analysis_id") == 3) & (F.col("event_id") > 50) & terminal).agg(F.min("event_id")).first()[0]
+    out = scan.tail_events(spark, path, schema, 50, F.col("analysis_id") == 3, F.col("event_id") == first, out, longest_s=90)
+    late.join()
+    return out.select("event_id", "status")
 
 
 def _str5(spark, sf_dir):
@@ -72,7 +93,17 @@ ENTRIES = {
 SELECT branch, count(*) AS rows, max(length)::BIGINT AS longest FROM (SELECT branch, length FROM {br}
 UNION ALL SELECT 'failed', 0 FROM {sft} WHERE processing_status = 'failed') t GROUP BY branch"""),
     ),
-    "str3_throttled_progress": (_str3, sql("SELECT analysis_id, max(event_id) AS event_id FROM {v_events} GROUP BY analysis_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')")),
+    "str3_throttled_progress": (
+        _str3,
+        sql("""
+SELECT * FROM (WITH RECURSIVE e AS (SELECT analysis_id, event_id, ts, event_id = max(event_id) OVER (PARTITION BY analysis_id) AS final FROM {v_events}),
+given AS (
+  SELECT analysis_id, min(event_id) AS event_id, arg_min(ts, event_id) AS ts FROM e GROUP BY analysis_id
+  UNION ALL
+  SELECT g.analysis_id, n.event_id, n.ts FROM given g, LATERAL (
+    SELECT event_id, ts FROM e WHERE e.analysis_id = g.analysis_id AND e.event_id > g.event_id AND (e.final OR e.ts - g.ts >= INTERVAL 6 HOUR) ORDER BY event_id LIMIT 1) n)
+SELECT analysis_id::BIGINT AS analysis_id, event_id::BIGINT AS event_id FROM given) t"""),
+    ),
     "str4_tail_events": (
         _str4,
         sql("""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lengthlab.operators import stats as S
 
@@ -55,21 +58,62 @@ def run_complete(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
     return spark.table(name)
 
 
-def throttled(events: DataFrame, key: str, at: str, order: str, interval: str) -> DataFrame:
-    """At most one event per key and interval, the last one; the key's final event is always among them."""
-    window = F.window(at, interval)["start"]
-    return events.groupBy(key, window.alias("interval_start")).agg(F.max(order).alias(order))
+def throttled(events: DataFrame, key: str, order: str, at: str, final: Column, interval_s: float) -> DataFrame:
+    """Streaming: of each key's events those at least `interval_s` seconds after the last one given, and every final one.
 
+    Columns key (string), order (long) and at (timestamp) of events that arrive in their order. The state of a key is the
+    time of the last event given, so it does not grow with the events; a key that has got its final event keeps no state.
+    """
+    import pandas as pd
+
+    gap = pd.Timedelta(seconds=interval_s)
+
+    def pass_on(own: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        rows = pd.concat(list(parts)).sort_values("order", kind="stable")  # the events of one key in one batch
+        given, ended = [], False
+        for row in rows.itertuples():
+            ended = ended or row.final
+            if row.final or last is None or row.at - last >= gap:
+                given.append(row.order)
+                last = row.at
+        if ended:
+            if state.exists:
+                state.remove()
+        elif last is not None:
+            state.update((last.to_pydatetime(),))
+        yield pd.DataFrame({"key": [own[0]] * len(given), "order": given})
+
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("order"), F.col(at).alias("at"), final.alias("final"))
+    return rows.groupBy("key").applyInPandasWithState(pass_on, "key string, order long", "last timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
+def tail_events(
+    spark: SparkSession, path: str, schema, cursor: int, wanted: Column, terminal: Column, out: str, longest_s: float = 60, poll_s: float = 0.2
+) -> DataFrame:
+    """Follows an event log from a cursor until a batch holds the terminal event of the wanted job, then stops by itself.
 
-def tail_events(spark: SparkSession, path: str, schema, cursor: int, wanted: Column, terminal: Column, out: str) -> DataFrame:
-    """Follows an event log from a cursor until the first terminal event of the wanted job; later events are not given."""
+    The query runs on and takes in what is written after it has started. The batch with the terminal event is the last
+    whose rows are kept, and files that come later are not read. Without one it stops after `longest_s` seconds.
+    The checkpoint keeps the place in the log: a further call with the same `out` goes on where this one has stopped.
+    """
     rows = file_stream(spark, path, schema).where(wanted & (F.col("event_id") > cursor))
+    done = threading.Event()
 
     def keep(batch: DataFrame, number: int) -> None:
+        if done.is_set():
+            return
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a replay writes the same batch again
-
-    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
-    _finish(query)
+        if not spark.read.schema(rows.schema).parquet(f"{out}/batch={number}").where(terminal).isEmpty():
+            done.set()
+
+    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}-log").trigger(processingTime=f"{poll_s} seconds").start()
+    limit = time.monotonic() + longest_s
+    while query.isActive and not done.wait(poll_s) and time.monotonic() < limit:
+        pass
+    query.stop()
+    if query.exception():
+        raise query.exception()
     seen = spark.read.schema(rows.schema).parquet(out)
     end = seen.agg(F.min(F.when(terminal, F.col("event_id"))).alias("end"))
     return seen.crossJoin(F.broadcast(end)).where("end is null or event_id <= end").drop("end", "batch")  # one row
