@@ -38,7 +38,7 @@ from lengthlab.llm.common import discard, free_shuffles, look_up, materialise, r
 LONGEST = 5
 SUPPORT = 100
 TOP = 2000
-SHARDS = 16
+SHARDS = 4
 #: Bits of a filter at most; it takes 16 per entry up to there.
 FILTER_BITS = 1 << 27
 PROBES = 3
