@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lengthlab.functions.units import with_bytes
 from lengthlab.operators import jobs as J
 from lengthlab.operators import tensors as X
+from lengthlab.scratch import new_folder
+from lengthlab.sources import versions
 from lengthlab.views import duck, table, view
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -177,7 +179,10 @@ def _job10(spark, sf_dir):
         F.col("event_id").alias("entry_id"), "owner_id", (F.col("analysis_id") % 40).alias("key"), F.col("event_id").alias("used_at"),
         (F.col("status") == "COMPLETED").alias("complete"), F.col("status").alias("summary"),
     )
-    return J.cache_upsert(rows.where("entry_id % 2 = 0"), rows.where("entry_id % 2 = 1"))
+    table = new_folder(spark, "cache")
+    for part in ("entry_id % 2 = 0", "entry_id % 2 = 1"):
+        versions.upsert(table, rows.where(part), ["owner_id", "key"], J.cache_upsert)
+    return versions.read_table(spark, table)
 
 
 def _job11(spark, sf_dir):

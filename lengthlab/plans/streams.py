@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lengthlab.operators import lengths as L
 from lengthlab.plans.statistics import sql
 from lengthlab.scratch import new_folder
-from lengthlab.streaming import scan
+from lengthlab.streaming import scan, seen
 from lengthlab.views import view
 
 
@@ -76,13 +76,9 @@ def _str5(spark, sf_dir):
 
 
 def _str6(spark, sf_dir):
-    path, schema = _files(spark, sf_dir, parts=2)
-    records = L.sft_text(scan.file_stream(spark, path, schema, 2)).select("row_id", "content_digest")
-    counted = scan.stream_dedup(records)
-    out = new_folder(spark, "distinct")
-    query = counted.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "log")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(out).agg(F.count("*").alias("distinct_rows"))
+    path, schema = _files(spark, sf_dir)
+    records = L.sft_text(scan.file_stream(spark, path, schema)).select("row_id", "content_digest")
+    return seen.stream_dedup(records, new_folder(spark, "seen"), new_folder(spark, "log")).select("content_digest")
 
 
 ENTRIES = {
@@ -111,5 +107,5 @@ SELECT event_id, status FROM {v_events} WHERE analysis_id = 3 AND event_id > 50
   AND event_id <= (SELECT min(event_id) FROM {v_events} WHERE analysis_id = 3 AND event_id > 50 AND status IN ('COMPLETED','FAILED'))"""),
     ),
     "str5_incremental_merge": (_str5, sql("SELECT branch, length::BIGINT AS length, n FROM {lc}")),
-    "str6_stream_dedup": (_str6, sql("SELECT count(DISTINCT text) AS distinct_rows FROM {v_text} WHERE text IS NOT NULL")),
+    "str6_stream_dedup": (_str6, sql("SELECT DISTINCT sha256('text' || chr(31) || text) AS content_digest FROM {v_text} WHERE text IS NOT NULL")),
 }

@@ -8,9 +8,13 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lengthlab.operators import stats as S
+from lengthlab.sources import versions
+
+COUNTS = T.StructType().add("branch", "string").add("length", "long").add("n", "long")
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -119,17 +123,18 @@ def tail_events(
     return seen.crossJoin(F.broadcast(end)).where("end is null or event_id <= end").drop("end", "batch")  # one row
 
 
-def incremental_merge(records: DataFrame, objective: str, out: str, log: str) -> DataFrame:
-    """Each batch's length counts are stored under its id, so a replay replaces them; the sum is the state."""
+def add_counts(batch: DataFrame, number: int, objective: str, out: str, source: str, fan: int = versions.FAN) -> None:
+    """Adds the length counts of one batch of records to the table in `out`; a batch that is there already changes nothing."""
+    counts = S.length_counts(S.branch_rows(batch, objective))
+    versions.add_run(batch.sparkSession, out, source, number, lambda runs: counts, S.merge_counts, fan=fan)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        S.length_counts(S.branch_rows(batch, objective)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = records.writeStream.foreachBatch(merge).option("checkpointLocation", log).trigger(availableNow=True).start()
-    _finish(query)
-    return S.merge_counts(records.sparkSession.read.parquet(out).drop("batch"))
+def incremental_merge(records: DataFrame, objective: str, out: str, log: str) -> DataFrame:
+    """The length counts of all batches so far. A read sums a few runs of merged batches, not every batch ever stored."""
 
+    def add(batch: DataFrame, number: int) -> None:
+        add_counts(batch, number, objective, out, log)
 
-def stream_dedup(records: DataFrame, column: str = "content_digest") -> DataFrame:
-    """First rows by digest. The state holds every digest seen; for unbounded streams recount in batch instead."""
-    return records.where(F.col(column).isNotNull()).dropDuplicates([column])
+    query = records.writeStream.foreachBatch(add).option("checkpointLocation", log).trigger(availableNow=True).start()
+    _finish(query)
+    return S.merge_counts(versions.read_runs(records.sparkSession, out, COUNTS))
