@@ -3,7 +3,9 @@
 A batch's texts are normalised and cut into words; each word not seen before goes, as byte symbols, into
 one flat array. In each round the pairs of neighbouring symbols of all words are looked up at once, by
 binary search over the sorted pair keys; in every word the lowest-ranked pair is merged wherever it stands
-(left to right, without overlap), until no word holds a known pair. Results per word are kept in a bounded
+(left to right, without overlap), until no word holds a known pair. Words of more than LONG bytes, whose
+rounds would each read the whole word again, share a flat array of their own: a round takes the lowest rank
+that stands anywhere in it and looks only at the neighbours of what was merged. Results per word are kept in a bounded
 dictionary per Python worker, which only saves time.
 
 The vocabulary file is of the "word" kind: texts are composed (NFC), white space becomes one space, letters
@@ -11,13 +13,15 @@ lower case; words are cut by a fixed pattern; the last symbol of a word carries
 special tokens in a text become their ids, as the public library does by default. Decoding joins the token
 strings with single spaces, as a file without a decoder asks.
 
-Null texts count as empty (no ids; hashes of the empty string); repeated rows are encoded alike; an empty
+A very long text, or one very long word, takes time in proportion to its length. Ranks are distinct, so the
+only ties are between places of one pair, which go from the left. Null texts count as empty (no ids; hashes of the empty string); repeated rows are encoded alike; an empty
 table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -34,6 +38,8 @@ from lengthlab.llm.common import read, slices, text_or_empty
 
 #: Words whose ids a worker remembers at most; the dictionary is emptied beyond it.
 REMEMBERED = 1 << 19
+#: Bytes of a word from which on its rounds look only at what has changed.
+LONG = 256
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1 << 22
 
@@ -73,6 +79,7 @@ class WordBpe:
         made = np.array([ids[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.made_by_rank = made
         self.known: dict[str | tuple[str], tuple[int, str, str]] = {}
         from tokenizers import Tokenizer
 
@@ -127,15 +134,76 @@ class WordBpe:
         order = np.argsort(all_words, kind="stable")
         return all_ids[order], np.searchsorted(all_words[order], np.arange(len(words) + 1))
 
+    def merged_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same as merged(), in time that grows with the length of the words and not with its square.
+
+        Places of pairs wait in a list for each rank. A place whose pair has changed since is known by its present
+        rank and passed over, so lists are never searched.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
+        n, none = len(flat), len(self.keys)
+        ids = np.append(self.first[flat], 0)
+        ids[ends - 1] = self.last[flat[ends - 1]]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n is beyond the end of every word
+        after[ends - 1] = after[n] = n
+        before[ends - sizes] = before[n] = n
+        rank = np.full(n + 1, none, np.int64)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            """Looks up the pairs that begin at these places and lets them wait under their ranks."""
+            pairs = ids[places] * self.size + ids[after[places]]
+            at = np.minimum(np.searchsorted(self.keys, pairs), none - 1)
+            found = np.where((self.keys[at] == pairs) & (after[places] < n), self.ranks[at], none)
+            rank[places] = found
+            known = found < none
+            found, places = found[known], places[known]
+            order = np.argsort(found, kind="stable")
+            found, places = found[order], places[order]
+            cuts = np.flatnonzero(np.diff(found)) + 1
+            for r, group in zip(found[np.append(0, cuts)].tolist() if len(found) else (), np.split(places, cuts)):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(group)
+
+        look(np.arange(n))
+        while ranks:
+            lowest = heapq.heappop(ranks)
+            hit = np.unique(np.concatenate(waiting.pop(lowest)))
+            hit = hit[rank[hit] == lowest]
+            if not len(hit):
+                continue
+            # In a run of overlapping hits (a a a) every second one, from the left, is merged.
+            begins = np.concatenate(([True], after[hit[:-1]] != hit[1:]))
+            run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            gone = after[hit]
+            ids[hit] = self.made_by_rank[lowest]
+            alive[gone] = False
+            rank[gone] = none
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            changed = np.unique(np.concatenate((hit, before[hit])))
+            look(changed[changed < n])
+        return ids[:-1][alive], np.append(0, np.cumsum(alive)[ends - 1])
+
     def learn(self, words: set[str]) -> None:
         """Encodes the words and remembers (number of ids, ids joined, tokens joined)."""
-        listed = list(words)
-        ids, bounds = self.merged([w.encode("utf-8") for w in listed])
-        shown = list(map(str, ids.tolist()))
-        tokens = list(map(self.tokens.__getitem__, ids.tolist()))
-        bounds = bounds.tolist()
-        for word, a, b in zip(listed, bounds, bounds[1:]):
-            self.known[word] = (b - a, " ".join(shown[a:b]), " ".join(tokens[a:b]))
+        coded = {w: w.encode("utf-8") for w in words}
+        for merge, listed in ((self.merged, [w for w in words if len(coded[w]) <= LONG]), (self.merged_long, [w for w in words if len(coded[w]) > LONG])):
+            if not listed:
+                continue
+            ids, bounds = merge([coded[w] for w in listed])
+            shown = list(map(str, ids.tolist()))
+            tokens = list(map(self.tokens.__getitem__, ids.tolist()))
+            bounds = bounds.tolist()
+            for word, a, b in zip(listed, bounds, bounds[1:]):
+                self.known[word] = (b - a, " ".join(shown[a:b]), " ".join(tokens[a:b]))
 
     def pieces(self, text: str) -> list[str | tuple[str]]:
         """The words of a text in order; a special token is a piece of its own, a tuple that holds its string."""

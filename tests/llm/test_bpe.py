@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 from tokenizers import Tokenizer
@@ -78,3 +79,26 @@ def test_nul_and_control_characters_match_the_library(spark, library):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for row in bpe.digests(df).collect():
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == expected(library, texts[row.doc_id]), repr(texts[row.doc_id])
+
+
+def test_both_ways_of_merging_agree(library):
+    """Words on either side of LONG, alone and together, with runs of one letter and repeats of a few."""
+    own, rng = bpe.WordBpe(vocab.path("word_bpe_49k.json")), random.Random(9)
+    kinds = ("a", "ab", "abc", "eins", "abcdefghijklmnopqrstuvwxyz", "éüßa")
+    words = ["".join(rng.choice(kind) for _ in range(rng.choice((1, 2, 3, 40, 255, 256, 257, 700)))) for kind in kinds for _ in range(12)]
+    coded = [w.encode() for w in words]
+    ids, bounds = own.merged(coded)
+    long_ids, long_bounds = own.merged_long(coded)
+    assert bounds.tolist() == long_bounds.tolist() and ids.tolist() == long_ids.tolist()
+    for word, one in zip(words, coded):
+        assert own.merged_long([one])[0].tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def test_one_very_long_word_takes_linear_time(library):
+    own, rng = bpe.WordBpe(vocab.path("word_bpe_49k.json")), random.Random(10)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "x"):
+        word = "".join(rng.choice(letters) for _ in range(200_000))
+        began = time.monotonic()
+        (pieces,) = own.encode_all([word])
+        assert time.monotonic() - began < 30
+        assert [int(i) for _, joined, _ in pieces for i in joined.split(" ")] == library.encode(word, add_special_tokens=False).ids
