@@ -321,10 +321,12 @@ GROUP BY value, error_code"""),
     "src10_build_manifest": (
         _src10,
         sql("""
-SELECT path, size, sha256, sha256(string_agg(path || chr(9) || CAST(size AS VARCHAR) || chr(9) || sha256, chr(10) ORDER BY path) OVER (
-    ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS identity, count(*) OVER () AS files
-FROM (SELECT source AS path, strlen(content)::BIGINT AS size, sha256(content) AS sha256
-  FROM (SELECT source, string_agg(CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY doc_id) AS content FROM {documents} GROUP BY source) c) m"""),
+SELECT path, size, sha256, identity, files FROM (WITH m AS (SELECT source AS path, strlen(content)::BIGINT AS size, sha256(content) AS sha256
+  FROM (SELECT source, string_agg(CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY doc_id) AS content FROM {documents} GROUP BY source) c),
+e AS (SELECT path || chr(9) || CAST(size AS VARCHAR) || chr(9) || sha256 AS line FROM m),
+leaf AS (SELECT sha256(line)[1:4] AS k, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM e GROUP BY 1),
+branch AS (SELECT k[1:2] AS k, sha256(string_agg(k || chr(9) || digest, chr(10) ORDER BY k)) AS digest FROM leaf GROUP BY 1)
+SELECT m.*, (SELECT sha256(string_agg(k || chr(9) || digest, chr(10) ORDER BY k)) FROM branch) AS identity, (SELECT count(*) FROM m) AS files FROM m) t"""),
     ),
     "src11_verify_manifest": (
         _src11,

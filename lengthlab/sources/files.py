@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 #: Stores whose files Arrow can open by path on the executors, so that a few bytes are read instead of the file.
 RANGED = ("file", "hdfs", "s3", "gs")
 HEAD, TAIL = 64, 4
+PIECE = 8 << 20
 
 
 def _ends(spark: SparkSession, path: str) -> DataFrame:
@@ -108,16 +110,48 @@ def file_offsets(counts: DataFrame) -> DataFrame:
     return counts.select("_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
 
-def build_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256) per file."""
+def build_manifest(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """(path, size, sha256) per file of any size: a task reads a file piece by piece.
+
+    Through stores that only Spark reads a file is one value, of 2 GB at most. Spark's listing leaves out files without
+    a byte and those whose names begin with a dot or an underscore, so they are in no manifest.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    first = rows.select("path").first()
+    if first and first.path.split(":", 1)[0] not in RANGED:
+        return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for name in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with system.open_input_stream(place, compression=None) as file:
+                    while part := file.read(piece):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests)], names=["path", "size", "sha256"])
+
+    return rows.select("path", "length").mapInArrow(run, "path string, size long, sha256 string")
 
 
 def content_identity(manifest: DataFrame) -> DataFrame:
-    """One sha256 over the sorted entries, one short line per file; it does not depend on the order of files."""
-    entries = F.array_sort(F.collect_list(F.concat_ws("\t", "path", F.col("size").cast("string"), "sha256")))
-    return manifest.agg(F.sha2(F.array_join(entries, "\n"), 256).alias("identity"), F.count("*").alias("files"))
+    """(identity, files): one sha256 over all entries, which does not depend on the order of files.
+
+    A tree, so that no row holds all entries: an entry is path, size and sha256 with tabs between; a leaf is the sha256
+    of the sorted entries, a line each, whose own sha256 begin with the same four hexadecimal digits; a branch that of
+    the leaves with the same first two digits, in order, as lines `digits<tab>leaf`; the identity that of the branches.
+    """
+    entry = F.concat_ws("\t", "path", F.col("size").cast("string"), "sha256")
+    lines = manifest.select(F.substring(F.sha2(entry, 256), 1, 4).alias("at"), entry.alias("line"), F.lit(1).cast("long").alias("n"))
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)
+    for digits in (4, 2):
+        level = lines.groupBy(F.substring("at", 1, digits).alias("at")).agg(digest.alias("digest"), F.sum("n").alias("n"))
+        lines = level.select("at", F.concat_ws("\t", "at", "digest").alias("line"), "n")
+    return lines.agg(digest.alias("identity"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
 
 
 def verify_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
