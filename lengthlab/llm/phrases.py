@@ -7,7 +7,8 @@ corpus must, in some shard, stand at least SUPPORT times the shard's part of the
    form SHARDS shards, whose number does not grow with the corpus, so the local support stays about SUPPORT / SHARDS.
 2. Each shard is mined completely at its local support, level by level: a phrase is counted only where its first and
    its last words form phrases that are frequent in the shard. A shard is no task: its counts are shuffled by phrase.
-3. The phrases frequent in any shard are counted over the whole corpus; those below SUPPORT go.
+3. The phrases frequent in any shard are counted over the whole corpus; those below SUPPORT go. With its number a phrase
+   keeps one stored row that holds it, and only that row spells it out.
 
 What is frequent reaches the tasks as a Bloom filter of at most FILTER_BITS bits, whatever the corpus: where it errs, a
 phrase is counted in vain and goes by its exact number. Phrases are told apart by 64-bit hashes of words and of phrases.
@@ -116,16 +117,16 @@ def _holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _filter(entries: DataFrame, most: int):
-    """A broadcast Bloom filter of the materialised entries (key, and shard if the key counts in one shard only)."""
+    """A broadcast Bloom filter of the materialised entries (key, and shard or rid if the key counts in one shard or row only)."""
     spark = entries.sparkSession
     bits = min(most, 1 << max(10, (16 * entries.count()).bit_length()))
-    by_shard = "shard" in entries.columns
+    within = [c for c in ("shard", "rid") if c in entries.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(bits // 64, np.uint64)
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
-            keys = _in_shard(keys, batch.column(1).to_numpy()) if by_shard else keys
+            keys = _in_shard(keys, batch.column(1).to_numpy()) if within else keys
             for place in _probes(keys, bits):
                 np.bitwise_or.at(table, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
         at = np.flatnonzero(table)
@@ -133,7 +134,7 @@ def _filter(entries: DataFrame, most: int):
             part = at[start : start + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part].view(np.int64))], names=["at", "word"])
 
-    rows = entries.select("key", *["shard"] * by_shard).mapInArrow(run, "at long, word long")
+    rows = entries.select("key", *within).mapInArrow(run, "at long, word long")
     found = rows.groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()  # at most `most` / 64 rows
     table = np.zeros(bits // 64, np.uint64)
     table[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
@@ -141,20 +142,21 @@ def _filter(entries: DataFrame, most: int):
 
 
 def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> DataFrame:
-    """Materialised (shard, lang, ids) rows of hashed words, and (shard, lang, id, key, word, n) rows of numbers of words."""
+    """Materialised (shard, lang, ids, rid) rows of hashed words, and (shard, lang, id, key, word, n) rows of numbers of words."""
     schema = pa.schema(
         [("shard", pa.int32()), ("lang", pa.string()), ("ids", pa.list_(pa.int64())), ("id", pa.int64()), ("key", pa.int64())]
-        + [("word", pa.string()), ("n", pa.int64())]
+        + [("word", pa.string()), ("n", pa.int64()), ("rid", pa.int64())]
     )
 
-    def rows(shard: int, lang: str, ids: np.ndarray) -> pa.RecordBatch:
+    def rows(shard: int, lang: str, ids: np.ndarray, rid: int) -> pa.RecordBatch:
         marks = np.flatnonzero(ids == 0)
         cuts = marks[np.minimum(np.searchsorted(marks, np.arange(ROW, len(ids), ROW)), len(marks) - 1)] if len(marks) else []
         offsets = np.unique(np.concatenate(([0], cuts, [len(ids)]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int64)))
         n = len(lists)
         arrays = [pa.array([shard] * n, pa.int32()), pa.array([lang] * n), lists]
-        return pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(n, schema.field(k).type) for k in range(3, 7))], schema=schema)
+        arrays += [pa.nulls(n, schema.field(k).type) for k in range(3, 7)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(rid, rid + n))], schema=schema)
 
     def numbers(shard: int, lang: str, held: list[np.ndarray], words: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids, n = np.unique(np.concatenate(held), return_counts=True)
@@ -164,20 +166,24 @@ def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> Data
             texts = pa.array([words[i] for i in own.tolist()], pa.binary()).cast(pa.string())
             arrays = [pa.array(np.full(len(own), shard, np.int32)), pa.array([lang] * len(own)), pa.nulls(len(own), schema.field(2).type)]
             arrays += [pa.array(own.view(np.int64)), pa.array(next(phrase_keys(own, lang)).view(np.int64)), texts, pa.array(m)]
+            arrays.append(pa.nulls(len(own), pa.int64()))
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size, shard = _Hashes(), defaultdict(list), 0, 0
+        known, held, size, shard, made = _Hashes(), defaultdict(list), 0, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard = batch.column("shard")[0].as_py()
+            part = batch.column("part")[0].as_py()
+            shard = part % shards
             texts: dict[str, list[bytes]] = defaultdict(list)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 texts[lang].append(text.encode("utf-8"))
             for lang, own in texts.items():
                 ids = np.fromiter(map(known.__getitem__, filter(None, tokens(own))), np.uint64)
-                yield rows(shard, lang, ids)
+                stored = rows(shard, lang, ids, (part << 32) + made)
+                made += stored.num_rows
+                yield stored
                 held[lang].append(ids)
                 size += len(ids)
             if size >= TOGETHER:
@@ -189,29 +195,31 @@ def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> Data
             yield from numbers(shard, lang, ids, known.words)
 
     chosen = docs.select(
-        (F.spark_partition_id() % shards).alias("shard"),
+        F.spark_partition_id().cast("long").alias("part"),
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
         text_or_empty(F.col(f"`{text_col}`")).alias("text"),
     )
-    kind = "shard int, lang string, ids array<long>, id long, key long, word string, n long"
+    kind = "shard int, lang string, ids array<long>, id long, key long, word string, n long, rid long"
     return materialise(chosen.mapInArrow(run, kind), "encoded")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """((values of the columns before ids), hashed words of many rows with a mark between rows)."""
-    held, size = defaultdict(list), 0
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """((values of the columns before rid and ids), hashed words of many rows with a mark behind each, (rid, size) per row)."""
+    held, of, size = defaultdict(list), defaultdict(list), 0
     mark = np.zeros(1, np.uint64)
     for batch in batches:
-        names = zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 1)))
+        names = zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 2)))
+        rids = batch.column(batch.num_columns - 2).to_pylist()
         lists = batch.column(batch.num_columns - 1)
         flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        for name, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist()):
+        for name, rid, a, b in zip(names, rids, offsets[:-1].tolist(), offsets[1:].tolist()):
             held[name] += [flat[a:b].copy(), mark]
+            of[name].append((rid, b - a + 1))
             size += b - a
         if size >= TOGETHER:
-            yield from ((name, np.concatenate(parts)) for name, parts in held.items())
-            held, size = defaultdict(list), 0
-    yield from ((name, np.concatenate(parts)) for name, parts in held.items())
+            yield from ((name, np.concatenate(parts), np.array(of[name])) for name, parts in held.items())
+            held, of, size = defaultdict(list), defaultdict(list), 0
+    yield from ((name, np.concatenate(parts), np.array(of[name])) for name, parts in held.items())
 
 
 def _mined(stored: DataFrame, shorter, k: int) -> DataFrame:
@@ -219,7 +227,7 @@ def _mined(stored: DataFrame, shorter, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shorter.value
-        for (shard, lang, least), ids in _gathered(batches):
+        for (shard, lang, least), ids, _ in _gathered(batches):
             below, keys = islice(phrase_keys(ids, lang, k), k - 2, k)
             frequent = _holds(table, _in_shard(below, shard))
             found, n = np.unique(keys[(keys != 0) & frequent[:-1] & frequent[1:]], return_counts=True)
@@ -229,7 +237,7 @@ def _mined(stored: DataFrame, shorter, k: int) -> DataFrame:
                 arrays += [pa.array(np.full(len(own), least, np.int64)), pa.array(m)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "shard", "least", "n"])
 
-    return stored.select("shard", "lang", "least", "ids").mapInArrow(run, "key long, shard int, least long, n long")
+    return stored.select("shard", "lang", "least", "rid", "ids").mapInArrow(run, "key long, shard int, least long, n long")
 
 
 def _frequent_in_shard(counted: DataFrame, name: str) -> DataFrame:
@@ -239,27 +247,44 @@ def _frequent_in_shard(counted: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _counted(stored: DataFrame, wanted, with_words: bool, longest: int) -> DataFrame:
-    """(key, n) of all phrases in the filter per task, or (key, lang, words) of each."""
+def _counted(stored: DataFrame, wanted, longest: int) -> DataFrame:
+    """(key, n, rid) of all phrases in the filter per task, rid being a row that holds the phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        for (lang,), ids in _gathered(batches):
-            for k, keys in enumerate(islice(phrase_keys(ids, lang, longest), 1, None), 2):
+        for (lang,), ids, rows in _gathered(batches):
+            ends = np.cumsum(rows[:, 1])
+            for keys in islice(phrase_keys(ids, lang, longest), 1, None):
                 at = np.flatnonzero(_holds(table, keys) & (keys != 0))
                 found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+                rid = rows[np.searchsorted(ends, at[first], side="right"), 0]
                 for start in range(0, len(found), 100_000):
-                    own, m = found[start : start + 100_000], n[start : start + 100_000]
-                    if not with_words:
-                        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(m)], names=["key", "n"])
-                        continue
-                    flat = ids[at[first[start : start + 100_000], None] + np.arange(k)].ravel().view(np.int64)
+                    part = slice(start, start + 100_000)
+                    arrays = [pa.array(found[part].view(np.int64)), pa.array(n[part]), pa.array(rid[part])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "rid"])
+
+    return stored.select("lang", "rid", "ids").mapInArrow(run, "key long, n long, rid long")
+
+
+def _spelling(stored: DataFrame, wanted, longest: int) -> DataFrame:
+    """(key, lang, words) of the phrases whose key and row are in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = wanted.value
+        for (lang,), ids, rows in _gathered(batches):
+            rids = np.repeat(rows[:, 0], rows[:, 1])
+            for k, keys in enumerate(islice(phrase_keys(ids, lang, longest), 1, None), 2):
+                at = np.flatnonzero(keys)
+                at = at[_holds(table, _in_shard(keys[at], rids[at]))]
+                found, first = np.unique(keys[at], return_index=True)
+                for start in range(0, len(found), 100_000):
+                    own, places = found[start : start + 100_000], at[first[start : start + 100_000]]
+                    flat = ids[places[:, None] + np.arange(k)].ravel().view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k, np.int32)), pa.array(flat))
                     arrays = [pa.array(own.view(np.int64)), pa.array([lang] * len(own)), lists]
                     yield pa.RecordBatch.from_arrays(arrays, names=["key", "lang", "words"])
 
-    kind = "key long, lang string, words array<long>" if with_words else "key long, n long"
-    return stored.select("lang", "ids").mapInArrow(run, kind)
+    return stored.select("lang", "rid", "ids").mapInArrow(run, "key long, lang string, words array<long>")
 
 
 def _cuts(phrases: DataFrame) -> DataFrame:
@@ -315,7 +340,7 @@ def collocations(
     totals = materialise(parts.groupBy("lang").agg(F.sum("part").alias("n")), "totals")
     least = F.expr(f"({support} * part + n - 1) div n").alias("least")
     least = materialise(parts.join(totals, "lang").select("shard", "lang", least), "least")
-    stored = texts.select("shard", "lang", "ids").join(F.broadcast(least) if least.count() <= 10_000 else least, ["shard", "lang"])
+    stored = texts.select("shard", "lang", "rid", "ids").join(F.broadcast(least) if least.count() <= 10_000 else least, ["shard", "lang"])
 
     words = numbers.select("shard", "lang", "key", "n").join(least, ["shard", "lang"])
     level = _frequent_in_shard(words, "frequent_1")
@@ -330,18 +355,18 @@ def collocations(
         candidates = candidates.union(level.select("key"))
     candidates = materialise(candidates.distinct(), "candidates")
     wanted = _filter(candidates, filter_bits)
-    counts = _counted(texts, wanted, False, longest).groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
-    counts = materialise(counts, "counts")
+    counts = _counted(texts, wanted, longest).groupBy("key").agg(F.sum("n").alias("a"), F.min("rid").alias("rid"))
+    counts = materialise(counts.where(F.col("a") >= support), "counts")
     wanted.unpersist()
     wanted = _filter(counts, filter_bits)
-    spelled = _counted(texts, wanted, True, longest).groupBy("key", "lang").agg(F.first("words").alias("words"))
-    phrases = materialise(spelled.join(counts, "key"), "phrases")
+    spelled = _spelling(texts, wanted, longest).groupBy("key", "lang").agg(F.first("words").alias("words"))
+    phrases = materialise(spelled.join(counts.drop("rid"), "key"), "phrases")
     wanted.unpersist()
     discard(*found, candidates)
     free_shuffles(docs.sparkSession)
 
     alone = numbers.groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
-    known = materialise(alone.union(counts), "known")
+    known = materialise(alone.union(counts.drop("rid")), "known")
     cuts = materialise(_cuts(phrases), "cuts")
     both = look_up(cuts, known.select(F.col("key").alias("lkey"), F.col("a").alias("l")), "lkey")
     both = look_up(materialise(both, "left"), known.select(F.col("key").alias("rkey"), F.col("a").alias("r")), "rkey")
