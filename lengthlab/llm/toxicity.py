@@ -161,6 +161,14 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def _drawn(ids: DataFrame, total: int, most: int, seed: str) -> DataFrame:
+    """At most `most` distinct ids by a hash; of about `total` ids only a third more than `most` go to the task that picks."""
+    among = 1 << 40
+    below = among if total <= 2 * most else int((1.3 * most + 100) / total * among)
+    near = ids.where(F.pmod(F.xxhash64("id", F.lit(seed), F.lit("threshold")), F.lit(among)) < below).distinct()
+    return near.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -181,13 +189,13 @@ def fit(
     if prior is None:
         prior = min(0.9, known[1] / known[0])
     keyed = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    chosen = usable.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(max_positives)
+    chosen = _drawn(usable.where("label = 1").select("id"), known[1], max_positives, "positive")
     # One text per id, however often its row is repeated, so the sample keeps its bound and stays dealt out.
     text_of = lambda ids: keyed.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text"))
-    positives = text_of(chosen.select("id"))
-    drawn = keyed.where(F.col("id").isNotNull() & ~held_out("id")).select("id")
-    drawn = drawn.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(max_unlabelled)
-    unlabelled = text_of(drawn.distinct())
+    positives = text_of(chosen)
+    others = keyed.where(F.col("id").isNotNull() & ~held_out("id")).select("id")
+    total = others.agg(F.approx_count_distinct("id", 0.02)).first()[0]
+    unlabelled = text_of(_drawn(others, total, max_unlabelled, "unlabelled"))
     sample = _featured(positives, True).unionByName(_featured(unlabelled, False))
     sample = materialise(sample.withColumn("sid", F.monotonically_increasing_id()), "sample")
     # Bounded by the sample: four numbers per text, then the chosen features, then their places per text.

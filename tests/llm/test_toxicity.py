@@ -47,6 +47,14 @@ def test_held_out_accuracy_on_the_tables(spark):
     assert sum(out[i].predicted for i in toxic) >= 0.6 * len(toxic)
 
 
+def test_drawn_ids_are_distinct_and_as_many_as_asked_for(spark):
+    ids = spark.range(50_000).union(spark.range(1).crossJoin(spark.range(5_000)).toDF("id", "n").select("id"))
+    least = sorted(r.id for r in toxicity._drawn(ids, 50_000, 300, "seed").collect())
+    assert len(set(least)) == 300 and least == sorted(r.id for r in toxicity._drawn(ids, 50_000, 300, "seed").collect())
+    assert toxicity._drawn(ids, 50_000, 30_000, "seed").count() == 30_000
+    assert toxicity._drawn(ids.limit(0), 0, 10, "seed").count() == 0
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "vile thing", 7), (None, None, 1), (1, "vile thing", 7), (2, "", 0)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
