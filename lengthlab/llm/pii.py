@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lengthlab.llm.common import materialise, read
+from lengthlab.llm.common import discard, look_up, materialise, read
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -54,8 +54,10 @@ REACH = 60
 MIN_SUPPORT = 3
 MIN_SHARE = 0.5
 THRESHOLD = 0.9
-#: Terms that may be broadcast to the passes over all words; beyond it the words are shuffled.
+#: Terms that may be broadcast to the passes over all words; beyond it the words are counted per text first.
 MAX_BROADCAST_TERMS = 50_000
+#: Characters of terms, by text, that may be broadcast to the texts; beyond it they are joined by a shuffle.
+MAX_BROADCAST_CHARS = 4_000_000
 #: Matches whose offsets are added up together; lists of this length are copied, so it bounds the copying.
 BLOCK = 128
 #: Characters of a chunk of text; a context lies in two chunks at most.
@@ -163,11 +165,19 @@ def _near(found: DataFrame) -> DataFrame:
 
 
 def _uses(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(rid, term, n): how often each of the terms stands in each text."""
+    """(rid, term, n): how often each of the terms stands in each text.
+
+    Many terms are looked up after the words of each text have been counted, so a frequent word is one row per text,
+    and its rows are not gathered under one key.
+    """
     words = found.select("rid", F.explode(F.expr(f"regexp_extract_all(lower(coalesce(blanked, text)), r'{TERM}', 0)")).alias("term"))
-    few = terms.count() <= MAX_BROADCAST_TERMS
-    words = words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    return materialise(words.groupBy("rid", "term").agg(F.count("*").alias("n")), "uses")
+    if terms.count() <= MAX_BROADCAST_TERMS:
+        words = words.join(F.broadcast(terms), "term", "left_semi")
+        return materialise(words.groupBy("rid", "term").agg(F.count("*").alias("n")), "uses")
+    each = materialise(words.groupBy("rid", "term").agg(F.count("*").alias("n")), "words")
+    uses = materialise(look_up(each, terms, "term"), "uses")
+    discard(each)
+    return uses.select("rid", "term", "n")
 
 
 def disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,9 +187,10 @@ def disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     near = materialise(_near(found), "near")
     pairs = materialise(near.groupBy("key", "term").agg(F.count("*").alias("c_et")), "pairs")
-    entities = pairs.groupBy("key").agg(F.sum("c_et").alias("n_e"))
+    entities = materialise(pairs.groupBy("key").agg(F.sum("c_et").alias("n_e")), "entities")
     # Places near entities are some of a term's places, so they bound its disclosures from above: common words go here.
     places = near.select("rid", "term", "s").distinct().groupBy("term").agg(F.count("*").alias("c_near"))
+    places = materialise(places, "places")
     total = F.lit(found.agg(F.sum("n_terms")).first()[0] or 0)
     p_e = F.col("n_e") / total
 
@@ -188,15 +199,19 @@ def disclosing(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         disclosure = 1 + F.log2(share) / F.greatest(-F.log2(p_e), F.lit(1e-9))
         return disclosure, (disclosure >= THRESHOLD) & (share >= MIN_SHARE)
 
-    wanted = pairs.where(F.col("c_et") >= MIN_SUPPORT).join(entities, "key").join(places, "term")
-    wanted = materialise(wanted.where(reveals("c_near")[1]).drop("c_near"), "wanted")
+    # A word may stand near most entities and an entity near most words, so no key of these pairs is gathered.
+    often = materialise(pairs.where(F.col("c_et") >= MIN_SUPPORT), "often")
+    often = materialise(look_up(often, entities, "key"), "known")
+    wanted = look_up(often, places, "term").where(reveals("c_near")[1])
+    wanted = materialise(wanted.select("key", "term", "c_et", "n_e"), "wanted")
     terms = materialise(wanted.select("term").distinct(), "terms")
     uses = _uses(found, terms)
-    counts = uses.groupBy("term").agg(F.sum("n").alias("c_t"))
+    counts = materialise(uses.groupBy("term").agg(F.sum("n").alias("c_t")), "counts")
     disclosure, holds = reveals("c_t")
-    scored = wanted.join(counts, "term").where(holds).select("key", "term", disclosure.alias("disclosure"))
+    scored = look_up(wanted, counts, "term").where(holds).select("key", "term", disclosure.alias("disclosure"))
     scored = materialise(scored, "disclosures")
-    return scored, uses.join(scored.select("term").distinct(), "term", "left_semi")
+    telling = materialise(scored.select("term").distinct(), "telling")
+    return scored, look_up(uses, telling, "term").select("rid", "term", "n")
 
 
 def _with_spans(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -206,7 +221,8 @@ def _with_spans(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     found = materialise(found, "spans")
     _, uses = disclosing(found)
     told = materialise(uses.groupBy("rid").agg(F.collect_set("term").alias("told")), "told")
-    few = told.count() <= MAX_BROADCAST_TERMS
+    size = told.agg(F.sum(F.expr("16 + aggregate(told, 0L, (n, t) -> n + 16 + length(t))"))).first()[0] or 0
+    few = size <= MAX_BROADCAST_CHARS
     out = found.drop("around").join(F.broadcast(told) if few else told, "rid", "left")
     terms = f"filter({_found('coalesce(blanked, text)', TERM)}, x -> array_contains(told, lower(x.v)))"
     terms = f"transform({terms}, x -> named_struct('s', x.s, 'k', 4, 'e', x.e))"

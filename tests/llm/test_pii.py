@@ -136,6 +136,7 @@ def test_large_term_sets_take_the_other_way(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     small = sorted(map(tuple, pii.personal_data(df).collect()))
     monkeypatch.setattr(pii, "MAX_BROADCAST_TERMS", 0)
+    monkeypatch.setattr(pii, "MAX_BROADCAST_CHARS", 0)
     assert sorted(map(tuple, pii.personal_data(df).collect())) == small
 
 
