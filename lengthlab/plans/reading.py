@@ -90,10 +90,13 @@ def _src4(spark, sf_dir):
 
 
 def _split_files(spark, sf_dir):
-    """documents as Parquet files, one per source, in a train and a test folder."""
+    """documents as Parquet files, one per source and in order of their ids, in a train and a test folder.
+
+    The sort begins with the folders' columns: the writer would else sort by them again, which drops the order of the ids.
+    """
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "source").withColumn("part", F.when(F.col("source") < "src3", "test").otherwise("train"))
     path = new_folder(spark, "split")
-    rows.repartition("part", "source").sortWithinPartitions("doc_id").write.partitionBy("part", "source").parquet(path)
+    rows.repartition("part", "source").sortWithinPartitions("part", "source", "doc_id").write.partitionBy("part", "source").parquet(path)
     found = files.layout(files.list_files(spark, path, "*.parquet"), {"test": "/part=test/", "train": "/part=train/"})
     return path, found
 
