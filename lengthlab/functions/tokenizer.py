@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
+#: Characters of the texts that are encoded together; an encoding takes some hundred bytes a token.
+PIECE = 1 << 18
+
+
 @lru_cache(maxsize=2)
 def _load(file: str):
     from tokenizers import Tokenizer
@@ -21,6 +25,19 @@ def _load(file: str):
     return found
 
 
+def pieces(texts: pd.Series, most: int = PIECE) -> Iterator[list[str]]:
+    """The texts in order, null as empty, in lists of at most `most` characters; a longer text is a list by itself."""
+    held, chars = [], 0
+    for text in texts.fillna(""):
+        if held and chars + len(text) > most:
+            yield held
+            held, chars = [], 0
+        held.append(text)
+        chars += len(text)
+    if held:
+        yield held
+
+
 def default_file() -> str:
     import public_tokenizers
 
@@ -35,8 +52,10 @@ def file_token_length(file: str | None = None):
     """
     path = file or default_file()
 
-    def encoded(texts: pd.Series) -> list:
-        return _load(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+    def encoded(texts: pd.Series) -> Iterator:
+        """One encoding per text; those of one piece are held at a time, whatever the size of Spark's batch."""
+        for piece in pieces(texts):
+            yield from _load(path).encode_batch(piece, add_special_tokens=False)
 
     @F.pandas_udf("long")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -68,3 +68,24 @@ def test_loss_counts_tokens_that_lie_inside_assistant_turns(spark):
         inside = sum(any(a <= s and e <= b for a, b in wanted) for s, e in offsets[1:])
         assert (row.loss_token_count, row.sequence_tokens) == (inside, len(offsets))
     assert rows[3].error_code == "empty_conversation" and rows[3].loss_token_count is None
+
+
+def test_texts_are_encoded_in_pieces(spark, monkeypatch):
+    """A batch of many texts is never encoded at once; counts, ids and nulls stay with their rows."""
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    assert [len(p) for p in tokenizer.pieces(pd.Series(["ab", None, "cd", "e" * 9, "", "f"]), 4)] == [3, 1, 2]
+    library, held = Tokenizer.from_file(tokenizer.default_file()), []
+
+    class Counted:
+        def encode_batch(self, texts, **more):
+            held.append(sum(map(len, texts)))
+            return library.encode_batch(texts, **more)
+
+    monkeypatch.setattr(tokenizer, "_load", lambda path: Counted())
+    texts = [None if i % 7 == 0 else f"text {i} " * (i % 50) for i in range(5000)]
+    wanted = [None if t is None else len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    (found,) = list(tokenizer.file_token_length().func(iter([pd.Series(texts)])))
+    assert [None if pd.isna(n) else n for n in found] == wanted
+    assert len(held) > 1 and max(held) <= 1 << 18
