@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lengthlab.functions import chat
 from lengthlab.functions.keys import token_digest
-from lengthlab.functions.text import safe_shard_id, token_ids, token_length
+from lengthlab.functions.text import safe_shard_id, token_ids, token_length, tokens
 
 LENGTHS = (
     "prompt_tokens", "completion_tokens", "sequence_tokens", "loss_token_count", "chosen_total_tokens", "rejected_total_tokens",
@@ -97,10 +97,14 @@ def records(
 
 def sft_text(rows: DataFrame, text: str = "text", limit: int | None = None, by: Counter = "tokens") -> DataFrame:
     """Plain text: the whole text is the sequence; every position but the first has loss."""
-    n = token_length(text, by)
+    if by == "tokens":  # a column of its own, so that a row's tokens are found once for its lengths, status and digest
+        rows = rows.withColumn("_tokens", tokens(text))
+        n, own = F.when(F.col("_tokens").isNotNull(), F.size("_tokens")), F.transform("_tokens", lambda t: F.hex(t))
+    else:
+        n, own = token_length(text, by), token_ids(text, by)
     lengths = {"sequence_tokens": n, "loss_token_count": chat.loss_positions(None, n)}
     content = F.sha2(F.concat_ws("\x1f", F.lit("text"), F.col(text)), 256)
-    ids = token_digest({"input_ids": token_ids(text, by)})
+    ids = token_digest({"input_ids": own})
     return records(rows, "sft", lengths, row_checks({"text": F.col(text)}), content, ids, limit, by)
 
 

@@ -12,30 +12,46 @@ from pyspark.sql import functions as F
 from lengthlab.operators import lengths as L
 from lengthlab.plans.statistics import sql
 from lengthlab.scratch import new_folder
+from lengthlab.sources.files import list_files
 from lengthlab.streaming import scan, seen
 from lengthlab.views import view
 
+#: Rows of one written file.
+ROWS = 10_000
+
 
 def _files(spark, sf_dir, name="v_text", parts=4, where=None, path=None):
+    """A view written as a folder of at least `parts` files (of a table with as many rows), and its schema.
+
+    Each task writes what it has read, with no shuffle, and a file holds ROWS rows at most, so that files and tasks
+    grow in number, not in size.
+    """
     rows = view(spark, sf_dir, name)
+    rows = rows.where(where) if where else rows
     path = path or new_folder(spark, "stream")
-    (rows.where(where) if where else rows).repartition(parts).write.mode("append").parquet(path)
+    most = max(1, min(ROWS, rows.count() // parts))
+    rows.write.mode("append").option("maxRecordsPerFile", most).parquet(path)
     return path, rows.schema
 
 
+def _share(spark, path, batches=2):
+    """Files per batch that make so many batches of those in a folder."""
+    return -(-list_files(spark, path, "*.parquet").count() // batches)
+
+
 def _str1(spark, sf_dir):
     """Half of the files are there at first; the second run resumes with the rest."""
     path, schema = _files(spark, sf_dir, where="row_index % 2 = 0")
-    out = new_folder(spark, "resumable")
-    scan.resumable_scan(spark, path, schema, L.sft_text, out, "pre_a", 2)
+    out, share = new_folder(spark, "resumable"), _share(spark, path)
+    scan.resumable_scan(spark, path, schema, L.sft_text, out, "pre_a", share)
     _files(spark, sf_dir, where="row_index % 2 = 1", path=path)
-    table = scan.resumable_scan(spark, path, schema, L.sft_text, out, "pre_a", 2)
+    table = scan.resumable_scan(spark, path, schema, L.sft_text, out, "pre_a", share)
     return table.select("row_id", "sequence_tokens", "processing_status")
 
 
 def _str2(spark, sf_dir):
     path, schema = _files(spark, sf_dir)
-    stats = scan.running_stats(L.sft_text(scan.file_stream(spark, path, schema, 2)), "sft")
+    stats = scan.running_stats(L.sft_text(scan.file_stream(spark, path, schema, _share(spark, path))), "sft")
     return scan.run_complete(stats, f"running_{uuid.uuid4().hex[:8]}", new_folder(spark, "log"))
 
 
@@ -59,26 +75,26 @@ def _str3(spark, sf_dir):
 def _str4(spark, sf_dir):
     """Every other event is there when the query starts; those between are written while it runs, so the log is whole only then."""
     path, schema = _files(spark, sf_dir, "v_events", 2, "event_id % 2 = 0")
-    out = new_folder(spark, "tail")
+    out, share = new_folder(spark, "tail"), _share(spark, path)
     terminal = F.col("status").isin("COMPLETED", "FAILED")
     with ThreadPoolExecutor(1) as writer:
         late = writer.submit(lambda: time.sleep(1) or _files(spark, sf_dir, "v_events", 1, "event_id % 2 = 1", path))
         # What is there first may hold a later terminal event than the rest, so the terminal event is told by the whole log.
         first = view(spark, sf_dir, "v_events").where((F.col("analysis_id") == 3) & (F.col("event_id") > 50) & terminal).agg(F.min("event_id")).first()[0]
-        out = scan.tail_events(spark, path, schema, 50, F.col("analysis_id") == 3, F.col("event_id") == first, out, settled=late.done)
+        out = scan.tail_events(spark, path, schema, 50, F.col("analysis_id") == 3, F.col("event_id") == first, out, settled=late.done, files_per_batch=share)
         late.result()
     return out.select("event_id", "status").where(F.lit(first is not None))  # the SQL has no rows where nothing ends
 
 
 def _str5(spark, sf_dir):
     path, schema = _files(spark, sf_dir)
-    records = L.sft_text(scan.file_stream(spark, path, schema, 2))
+    records = L.sft_text(scan.file_stream(spark, path, schema, _share(spark, path)))
     return scan.incremental_merge(records, "sft", new_folder(spark, "counts"), new_folder(spark, "log"))
 
 
 def _str6(spark, sf_dir):
     path, schema = _files(spark, sf_dir)
-    records = L.sft_text(scan.file_stream(spark, path, schema)).select("row_id", "content_digest")
+    records = L.sft_text(scan.file_stream(spark, path, schema, _share(spark, path, 4))).select("row_id", "content_digest")
     return seen.stream_dedup(records, new_folder(spark, "seen"), new_folder(spark, "log")).select("content_digest")
 
 
