@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from lengthlab.operators import lengths as L
 from lengthlab.plans.statistics import sql
-from lengthlab.scratch import new_folder
+from lengthlab.scratch import new_folder, stored
 from lengthlab.sources.files import list_files
 from lengthlab.streaming import scan, seen
 from lengthlab.views import view
 
 #: Rows of one written file.
 ROWS = 10_000
+ALL_FILES = 2**31 - 1
 
 
 def _files(spark, sf_dir, name="v_text", parts=4, where=None, path=None):
@@ -56,19 +57,18 @@ def _str2(spark, sf_dir):
 
 
 def _str3(spark, sf_dir):
-    """The event log as a stream of three files in order of the events; of each analysis one event in six hours and the last."""
+    """The event log in three writes in order of the events, each streamed before the next; of each analysis one event in six hours and the last."""
     rows = view(spark, sf_dir, "v_events")
-    path = new_folder(spark, "progress")
+    path, out, log = (new_folder(spark, name) for name in ("progress", "given", "log"))
     last = F.max("event_id").over(Window.partitionBy("analysis_id"))
-    rows = rows.select("analysis_id", "event_id", "ts", (F.col("event_id") == last).alias("final"))
+    rows = stored(rows.select("analysis_id", "event_id", "ts", (F.col("event_id") == last).alias("final")), "events")
     low, high = rows.approxQuantile("event_id", [1 / 3, 2 / 3], 0.01)
-    for part in (F.col("event_id") <= low, F.col("event_id").between(low + 1, high), F.col("event_id") > high):  # files are read by age
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    events = scan.file_stream(spark, path, rows.schema, 1)
-    given = scan.throttled(events, "analysis_id", "event_id", "ts", F.col("final"), 6 * 3600)
-    out = new_folder(spark, "given")
-    query = given.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "log")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    for part in (F.col("event_id") <= low, (F.col("event_id") > low) & (F.col("event_id") <= high), F.col("event_id") > high):
+        rows.where(part).write.mode("append").parquet(path)
+        events = scan.file_stream(spark, path, rows.schema, ALL_FILES)  # the files of a write are in no order, so they are one batch
+        given = scan.throttled(events, "analysis_id", "event_id", "ts", F.col("final"), 6 * 3600)
+        query = given.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(out).select(F.col("key").cast("long").alias("analysis_id"), F.col("order").alias("event_id"))
 
 
