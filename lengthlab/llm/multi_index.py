@@ -10,8 +10,11 @@ and caps no cell. All vectors are indexed.
 Cells in the order of their codes are packed into blocks of about as many vectors each; a large cell is split by
 a hash. The block is the key of the join, so the number of keys grows with the table, and a block is read by
 one task with chunks of the queries that visit it; a query's vector travels once for each block it visits, with
-one bit per cell. A first probe of each query's best cells gives its k-th best score so far; the second probe,
-over the other visited cells, passes on only what reaches that score, k entries per query and block at most.
+one bit per cell. A block passes on only what reaches the query's floor, k entries per query at most. The first floor is
+the k-th best of the guides, a part of the sample, that lie in cells which the query visits; they only set the floor, and
+what is found comes from the blocks. Where guides are few for the table, the best cells are probed first and each round
+visits WIDER times as many vectors as the one before, whose k-th best is the next floor. So about WIDER * k entries per
+query and round are passed on, whatever the number of blocks. Floors are scores with ids, so copies do not pass by ties.
 Scores are summed in double precision from the original vectors.
 
 What a query visits is a share of the table, so the scores computed grow with queries times vectors. On vectors
@@ -39,8 +42,8 @@ SAMPLE = 20_000
 SAMPLE_QUERIES = 200
 TARGET = 0.94
 FIRST = 200
-#: The first probe takes this part of the budget, so what reaches its k-th best score stays in proportion to k.
-EARLY = 8
+#: A round visits so many times the vectors that set its floor; guides are one vector in so many, and of this size in bytes at most.
+WIDER, GUIDE_BYTES = 8, 1 << 23
 #: Vectors of a block: a part of the table between these bounds.
 BLOCK, LARGE_BLOCK, BLOCKS = 1024, 8192, 256
 #: Queries that are held against a block at a time, and of these against all its vectors at once.
@@ -49,6 +52,8 @@ ROUNDS = 12
 #: Vectors per cell aimed at, and the largest codebook, which the sample must be able to fill; the driver holds a number per cell.
 PER_CELL = 16
 MOST_CODES = 1024
+#: Stands for no id where a floor has none.
+LAST = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -177,13 +182,54 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _sampled(rows: DataFrame, total: int) -> np.ndarray:
-    """About SAMPLE vectors by a hash of their ids; few more than these leave the executors."""
+def _sampled(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of about SAMPLE rows in the order of a hash of their ids; few more than these leave the executors."""
     among = 1 << 20
     below = min(among, int(1.3 * SAMPLE / max(1, total) * among) + 1)
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(among)) < below) if total > 2 * SAMPLE else rows
-    table = drawn.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    return _vectors(table.column("v").combine_chunks()) if table.num_rows else np.zeros((1, 2))
+    table = drawn.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").toArrow()
+    if not table.num_rows:
+        return np.zeros(0, np.int64), np.zeros((1, 2))
+    return table.column("id").to_numpy(), _vectors(table.column("v").combine_chunks())
+
+
+def _slack(score: np.ndarray) -> np.ndarray:
+    """What a product of matrices may differ by from the exact sum."""
+    return 1e-9 * (1 + np.abs(np.where(np.isfinite(score), score, 0)))
+
+
+def _exact(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return (q * e).sum(axis=1)  # the same order of sums for equal vectors anywhere
+
+
+@dataclass
+class Guides:
+    """Vectors of the table with their ids and cells, by which a query knows a floor of its k-th best before it visits a block."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    cells: np.ndarray
+
+    def floor(self, query_id: int, query: np.ndarray, visited: np.ndarray, k: int) -> tuple[float, int]:
+        """Score and id of the k-th best guide in the visited cells (a flag per cell)."""
+        at = np.flatnonzero(visited[self.cells] & (self.ids != query_id))
+        if len(at) < k:
+            return -np.inf, LAST
+        score = self.vectors[at] @ query
+        least = np.partition(score, len(at) - k)[len(at) - k]
+        at = at[score >= least - _slack(least)]
+        exact = _exact(np.broadcast_to(query, (len(at), len(query))), self.vectors[at])
+        kth = np.lexsort((self.ids[at], -exact))[k - 1]
+        return float(exact[kth]), int(self.ids[at[kth]])
+
+
+def reaches(guides: int, total: int, most: int) -> list[int]:
+    """How many vectors a query has visited at the end of each round."""
+    out, reach = [], max(FIRST, WIDER * guides * most // max(1, total))
+    while reach < most:
+        out.append(reach)
+        reach *= WIDER
+    return [*out, most]
 
 
 def search(
@@ -198,8 +244,11 @@ def search(
     rows = usable(vectors, id_col, vector_col)
     kind = rows.schema["v"].dataType.simpleString()
     total = rows.count()
-    books = train(_sampled(rows, total), total, k, target)
+    sample_ids, sample = _sampled(rows, total)
+    books = train(sample, total, k, target)
     codes = len(books.first)
+    few = min(len(sample_ids), -(-total // WIDER), GUIDE_BYTES // (8 * sample.shape[1]))
+    guides = Guides(sample_ids[:few], sample[:few], books.cells(sample[:few]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,6 +263,7 @@ def search(
         sizes[r.cell] = r["count"]
     books.lay_out(sizes)
     shared = placed.sparkSession.sparkContext.broadcast(books)
+    guiding = placed.sparkSession.sparkContext.broadcast(guides)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the block of each vector."""
@@ -230,25 +280,31 @@ def search(
     queries = placed.where(is_query).select("id", "v")
     chunks = max(1, -(-queries.count() // CHUNK))
     most = max(FIRST, int(np.ceil(books.share * total)))
-    early_most = max(FIRST, most // EARLY)
+    ends = reaches(few, total, most)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each query and block the cells to visit as bits, apart for the first probe and the rest."""
-        own = shared.value
+        """For each query and block the cells to visit as bits, apart for each round, with the floor that the guides set."""
+        own, guide = shared.value, guiding.value
         each = own.sizes.tolist()
+        visited = np.zeros(len(each), bool)
         for batch in batches:
             out: list[tuple] = []
-            for row, query in enumerate(_vectors(batch.column("v"))):
-                seen, early, cells = 0, 0, []
+            floors: list[tuple[float, int]] = []
+            for row, (query_id, query) in enumerate(zip(batch.column("id").to_pylist(), _vectors(batch.column("v")))):
+                seen, cells, before = 0, [], []
                 for cell in own.order(query):
                     if seen >= most:
                         break
                     if each[cell]:
-                        early += seen < early_most
                         cells.append(cell)
+                        before.append(seen)
                         seen += each[cell]
-                for probe, part in ((0, cells[:early]), (1, cells[early:])):
-                    part = np.sort(np.array(part, np.int64))
+                visited[cells] = True
+                floors.append(guide.floor(query_id, query, visited, k))
+                visited[cells] = False
+                rounds = np.searchsorted(ends, before, side="right")
+                for probe in range(len(ends)):
+                    part = np.sort(np.array(cells, np.int64)[rounds == probe])
                     starts = np.flatnonzero(np.diff(own.block[part], prepend=-1))
                     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
                         cell = part[a]
@@ -262,22 +318,27 @@ def search(
                 at = pa.array(at)
                 arrays = [batch.column("id").take(at), batch.column("v").take(at), pa.array(probe, pa.int32())]
                 arrays += [pa.array(block, pa.int64()), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "q", "probe", "block", "bits"])
+                score, least = zip(*floors)
+                arrays += [pa.array(score, pa.float64()).take(at), pa.array(least, pa.int64()).take(at)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "q", "probe", "block", "bits", "floor", "floor_id"])
 
     # Queries are few for their work, so they are dealt out over all tasks.
     tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    visits = queries.repartition(tasks).mapInArrow(visit, f"query_id long, q {kind}, probe int, block long, bits binary")
+    kinds = f"query_id long, q {kind}, probe int, block long, bits binary, floor double, floor_id long"
+    visits = queries.repartition(tasks).mapInArrow(visit, kinds)
     visits = materialise(visits, "visits")
     names = ["query_id", "vec_id", "score"]
 
-    def best_of(own: np.ndarray, q: np.ndarray, floor: np.ndarray, visited: np.ndarray, ids: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    def best_of(own: np.ndarray, q: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, visited: np.ndarray, ids: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
         """The k best entries of each query, ties by id; an entry must reach the query's floor."""
         score = np.where(visited, q @ e.T, -np.inf)
+        least = floor
         if score.shape[1] > k:
-            floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-        row, col = np.nonzero(visited & (score >= (floor - slack)[:, None]))
-        exact = (q[row] * e[col]).sum(axis=1)  # the same order of sums for equal vectors anywhere
+            least = np.maximum(least, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        row, col = np.nonzero(visited & (score >= (least - _slack(least))[:, None]))
+        exact = _exact(q[row], e[col])
+        behind = (exact == floor[row]) & (ids[col] > floor_id[row])
+        row, col, exact = row[~behind], col[~behind], exact[~behind]
         order = np.lexsort((ids[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         nth = np.arange(len(row)) - np.searchsorted(row, row)
@@ -295,18 +356,20 @@ def search(
                 cell = entries.field("cell").to_numpy() - low
                 own, q = asked.field("query_id").to_numpy(), _vectors(asked.field("q"))
                 floor, bits = asked.field("floor").to_numpy(), asked.field("bits").to_pylist()
+                floor_id = asked.field("floor_id").to_numpy()
                 width = int(cell.max()) // 8 + 1
                 for a in range(0, len(own), STEP):
                     part = slice(a, a + STEP)
                     flat = np.frombuffer(b"".join([b[:width].ljust(width, b"\0") for b in bits[part]]), np.uint8)
                     visited = np.unpackbits(flat.reshape(-1, width), axis=1)[:, cell].astype(bool)
-                    yield best_of(own[part], q[part], floor[part], visited & (own[part, None] != ids[None, :]), ids, e)
+                    others = visited & (own[part, None] != ids[None, :])
+                    yield best_of(own[part], q[part], floor[part], floor_id[part], others, ids, e)
 
     def probed(asked: DataFrame) -> DataFrame:
-        """The best of each asked row's cells; rows: query_id, q, block, bits, floor."""
+        """The best of each asked row's cells; rows: query_id, q, block, bits, floor, floor_id."""
         chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
         packed = asked.groupBy("block", chunk.alias("chunk")).agg(
-            F.collect_list(F.struct("query_id", "q", "bits", "floor")).alias("asked")
+            F.collect_list(F.struct("query_id", "q", "bits", "floor", "floor_id")).alias("asked")
         )
         joined = blocks.join(packed, "block").select("block", "entries", "asked")
         return joined.mapInArrow(probe, "query_id long, vec_id long, score double")
@@ -316,12 +379,17 @@ def search(
     def top(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    lowest = F.lit(float("-inf"))
-    early = materialise(top(probed(visits.where("probe = 0").withColumn("floor", lowest))), "early")
-    floors = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("at_least"))
-    late = visits.where("probe = 1").join(floors, "query_id", "left")
-    late = probed(late.withColumn("floor", F.coalesce("at_least", lowest)))
-    return top(early.select(*names).unionByName(late)).select("query_id", "rank", "vec_id", "score")
+    found = top(probed(visits.where("probe = 0")))
+    for probe_round in range(1, len(ends)):
+        found = materialise(found, f"found_{probe_round}")
+        floors = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("at_least"), F.col("vec_id").alias("at_id"))
+        asked = visits.where(F.col("probe") == probe_round).join(floors, "query_id", "left")
+        better = F.expr("coalesce(at_least > floor or at_least = floor and at_id < floor_id, false)")
+        for name, other in (("floor_id", "at_id"), ("floor", "at_least")):
+            asked = asked.withColumn(f"new_{name}", F.when(better, F.col(other)).otherwise(F.col(name)))
+        asked = asked.select("query_id", "q", "block", "bits", F.col("new_floor").alias("floor"), F.col("new_floor_id").alias("floor_id"))
+        found = top(found.select(*names).unionByName(probed(asked)))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_multi_index(spark, sf_dir: str) -> DataFrame:

@@ -92,3 +92,53 @@ def test_blocks_hold_every_cell_once():
         assert (books.low[first : first + splits] <= cell).all() and (splits == 1 or (books.low[first : first + splits] == cell).all())
         held[first : first + splits] += -(-sizes[cell] // splits)
     assert held.max() <= max(multi_index.BLOCK, sizes.sum() // multi_index.BLOCKS) and held.sum() >= sizes.sum()
+
+
+def _rows_probed(spark):
+    """Rows that came from the blocks in each execution so far, by the metrics of the plans."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), {}
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        at = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "probe(block" in node.desc():
+                for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        out[at, node.id()] = int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "copies", "many rounds"])
+def test_what_blocks_pass_on_does_not_grow_with_their_number(spark, monkeypatch, kind):
+    """About WIDER * k entries a query and round, where an eighth of all visited vectors came from 125 blocks unasked."""
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    if kind == "many rounds":
+        monkeypatch.setattr(multi_index, "GUIDE_BYTES", 8 * 16 * 50)
+    rng = np.random.default_rng(9)
+    points = rng.standard_normal((8000, 16))
+    if kind == "copies":
+        points[rng.random(8000) < 0.5] = points[0]
+    rows = list(enumerate(points.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    before = _rows_probed(spark)
+    out, wanted = found(multi_index.search(df, F.col("id") % 80 == 0)), brute(rows, every=80)
+    passed = sum(n for at, n in _rows_probed(spark).items() if at not in before)
+    hits = sum(len({i for i, _ in out[q]} & {i for i, _ in near}) for q, near in wanted.items())
+    assert set(out) == set(wanted) and all(len(near) == 20 for near in out.values())
+    assert hits / sum(map(len, wanted.values())) >= 0.9
+    rounds = 1 if kind != "many rounds" else 4
+    assert 20 * len(wanted) <= passed <= 1.5 * 8 * 20 * rounds * len(wanted)
+
+
+def test_floors_are_no_better_than_what_is_visited():
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-3, 4, (300, 4)).astype(float)  # many ties
+    guides = multi_index.Guides(rng.permutation(300), vectors, rng.integers(0, 30, 300))
+    for q in range(0, 300, 7):
+        visited = rng.random(30) < 0.6
+        own = [i for i in range(300) if visited[guides.cells[i]] and guides.ids[i] != q]
+        order = sorted((-float((vectors[i] * vectors[5]).sum()), int(guides.ids[i])) for i in own)
+        assert guides.floor(q, vectors[5], visited, 20) == (-order[19][0], order[19][1])
+    assert guides.floor(0, vectors[0], np.zeros(30, bool), 20) == (-math.inf, multi_index.LAST)
+    assert multi_index.reaches(100, 800, 500) == [500] and multi_index.reaches(100, 64_000, 32_000) == [400, 3200, 25_600, 32_000]
