@@ -7,8 +7,12 @@ corpus must, in some shard, stand at least SUPPORT times the shard's part of the
    form SHARDS shards, whose number does not grow with the corpus, so the local support stays about SUPPORT / SHARDS.
 2. Each shard is mined completely at its local support, level by level: a phrase is counted only where its first and
    its last words form phrases that are frequent in the shard. A shard is no task: its counts are shuffled by phrase.
-3. The phrases frequent in any shard are counted over the whole corpus; those below SUPPORT go. With its number a phrase
-   keeps one stored row that holds it, and only that row spells it out.
+   Most pairs of frequent words stand a few times only, so where a level may be long, its phrases are first counted in
+   buckets of their hashes, two bytes and a small count each, as many as grow with the corpus; a phrase whose bucket
+   stays below the local support is not frequent, and is never shuffled by itself.
+3. A phrase frequent in some shards has its exact numbers there, and stands at most the local support less one times in
+   each other shard. Where that can reach SUPPORT it is counted in those other shards, and goes if it stays below. With
+   its number a phrase keeps one stored row that holds it, and only that row spells it out.
 
 What is frequent reaches the tasks as a Bloom filter of at most FILTER_BITS bits, whatever the corpus: where it errs, a
 phrase is counted in vain and goes by its exact number. Phrases are told apart by 64-bit hashes of words and of phrases.
@@ -46,6 +50,10 @@ PROBES = 3
 #: Words whose phrases are counted together in a task, and words of a stored row, unless one piece is longer.
 TOGETHER = 1 << 21
 ROW = 1 << 16
+#: Buckets of a shard for each of its local support of words, and the bits of a bucket's number that a row of counts spans.
+ROOM, SPAN = 8, 16
+#: A level is counted in buckets first if it may hold more than one in so many of all words.
+LONG_LEVEL = 8
 
 #: All marks between pieces become one.
 MARK = b"."
@@ -222,48 +230,122 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.nda
     yield from ((name, np.concatenate(parts), np.array(of[name])) for name, parts in held.items())
 
 
-def _mined(stored: DataFrame, shorter, k: int) -> DataFrame:
-    """(key, shard, least, n): phrases of k words in each task, if the phrases of k - 1 words in them are in the filter."""
+def _possible(ids: np.ndarray, shard: int, lang: str, shorter: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of k words, and the places whose first and last k - 1 words are in the filter."""
+    below, keys = islice(phrase_keys(ids, lang, k), k - 2, k)
+    frequent = _holds(shorter, _in_shard(below, shard))
+    return keys, np.flatnonzero((keys != 0) & frequent[:-1] & frequent[1:])
+
+
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits)
+
+
+def _bucket_keys(buckets: np.ndarray, lang: str) -> np.ndarray:
+    return _mixed(buckets ^ _seed(lang)) | np.uint64(1)
+
+
+def _crowded(stored: DataFrame, shorter, k: int) -> DataFrame:
+    """(key, shard): buckets that hold the local support of possible phrases of k words, summed over the tasks of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shorter.value
-        for (shard, lang, least), ids, _ in _gathered(batches):
-            below, keys = islice(phrase_keys(ids, lang, k), k - 2, k)
-            frequent = _holds(table, _in_shard(below, shard))
-            found, n = np.unique(keys[(keys != 0) & frequent[:-1] & frequent[1:]], return_counts=True)
+        for (shard, lang, least, bits), ids, _ in _gathered(batches):
+            keys, at = _possible(ids, shard, lang, table, k)
+            found, n = np.unique(_buckets(keys[at], bits), return_counts=True)
+            if not len(found):
+                continue
+            n = np.minimum(n, least).astype(np.uint8 if least < 256 else np.int64)
+            part = (found >> np.uint64(SPAN)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            offsets = np.append(starts, len(found))
+            low = (found & np.uint64((1 << SPAN) - 1)).astype(np.uint16)
+            packed = [
+                pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((offsets * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+                for x in (low, n)
+            ]
+            same = [pa.array([v] * len(starts), t) for v, t in ((shard, pa.int32()), (lang, pa.string()), (least, pa.int64()), (bits, pa.int32()))]
+            names = ["shard", "lang", "least", "bits", "part", "low", "n"]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(part[starts]), *packed], names=names)
+
+    def add(rows: pa.Table) -> pa.Table:
+        shard, lang, least, part = (rows.column(c)[0].as_py() for c in ("shard", "lang", "least", "part"))
+        sums = np.zeros(1 << SPAN, np.int64)
+        for low, n in zip(rows.column("low"), rows.column("n")):
+            sums[np.frombuffer(low.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint8 if least < 256 else np.int64)
+        full = (np.flatnonzero(sums >= least) + (part << SPAN)).astype(np.uint64)
+        keys = pa.array(_bucket_keys(full, lang).view(np.int64))
+        return pa.table({"key": keys, "shard": pa.array(np.full(len(full), shard, np.int32))})
+
+    kind = "shard int, lang string, least long, bits int, part long, low binary, n binary"
+    counts = stored.select("shard", "lang", "least", "bits", "rid", "ids").mapInArrow(run, kind)
+    return counts.groupBy("shard", "lang", "part").applyInArrow(add, "key long, shard int")
+
+
+def _mined(stored: DataFrame, shorter, k: int, crowded=None) -> DataFrame:
+    """(key, shard, least, loose, n, rid): phrases of k words in each task, if the phrases of k - 1 words in them are in the filter.
+
+    With `crowded` only those whose bucket is in that filter; rid is a row that holds the phrase.
+    """
+    names = ["key", "shard", "least", "loose", "n", "rid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, full = shorter.value, crowded.value if crowded else None
+        for (shard, lang, least, loose, bits), ids, rows in _gathered(batches):
+            keys, at = _possible(ids, shard, lang, table, k)
+            if crowded:
+                at = at[_holds(full, _in_shard(_bucket_keys(_buckets(keys[at], bits), lang), shard))]
+            found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+            rid = rows[np.searchsorted(np.cumsum(rows[:, 1]), at[first], side="right"), 0]
             for start in range(0, len(found), 100_000):
-                own, m = found[start : start + 100_000], n[start : start + 100_000]
+                part = slice(start, start + 100_000)
+                own = found[part]
                 arrays = [pa.array(own.view(np.int64)), pa.array(np.full(len(own), shard, np.int32))]
-                arrays += [pa.array(np.full(len(own), least, np.int64)), pa.array(m)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "shard", "least", "n"])
+                arrays += [pa.array(np.full(len(own), x, np.int64)) for x in (least, loose)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(n[part]), pa.array(rid[part])], names=names)
 
-    return stored.select("shard", "lang", "least", "rid", "ids").mapInArrow(run, "key long, shard int, least long, n long")
+    chosen = stored.select("shard", "lang", "least", "loose", "bits", "rid", "ids")
+    return chosen.mapInArrow(run, "key long, shard int, least long, loose long, n long, rid long")
 
 
 def _frequent_in_shard(counted: DataFrame, name: str) -> DataFrame:
-    sums = counted.groupBy("key", "shard", "least").agg(F.sum("n").alias("n")).where("n >= least")
-    out = materialise(sums.select("key", "shard"), name)
+    """The phrases that reach the local support, with their numbers in the shard."""
+    same = [c for c in counted.columns if c not in ("n", "rid")]
+    sums = [F.sum("n").alias("n"), *([F.min("rid").alias("rid")] if "rid" in counted.columns else [])]
+    out = materialise(counted.groupBy(*same).agg(*sums).where("n >= least"), name)
     free_shuffles(out.sparkSession)
     return out
 
 
+def _among(rows: DataFrame, wanted) -> DataFrame:
+    """The rows (key, n) whose key is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_holds(wanted.value, batch.column("key").to_numpy().view(np.uint64))))
+
+    return rows.select("key", "n").mapInArrow(run, "key long, n long")
+
+
 def _counted(stored: DataFrame, wanted, longest: int) -> DataFrame:
-    """(key, n, rid) of all phrases in the filter per task, rid being a row that holds the phrase."""
+    """(key, shard, n, rid) of all phrases in the filter of keys and shards per task, rid being a row that holds the phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        for (lang,), ids, rows in _gathered(batches):
+        for (shard, lang), ids, rows in _gathered(batches):
             ends = np.cumsum(rows[:, 1])
             for keys in islice(phrase_keys(ids, lang, longest), 1, None):
-                at = np.flatnonzero(_holds(table, keys) & (keys != 0))
+                at = np.flatnonzero(keys)
+                at = at[_holds(table, _in_shard(keys[at], shard))]
                 found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
                 rid = rows[np.searchsorted(ends, at[first], side="right"), 0]
                 for start in range(0, len(found), 100_000):
                     part = slice(start, start + 100_000)
-                    arrays = [pa.array(found[part].view(np.int64)), pa.array(n[part]), pa.array(rid[part])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "rid"])
+                    own = found[part]
+                    arrays = [pa.array(own.view(np.int64)), pa.array(np.full(len(own), shard, np.int32)), pa.array(n[part]), pa.array(rid[part])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "shard", "n", "rid"])
 
-    return stored.select("lang", "rid", "ids").mapInArrow(run, "key long, n long, rid long")
+    return stored.select("shard", "lang", "rid", "ids").mapInArrow(run, "key long, shard int, n long, rid long")
 
 
 def _spelling(stored: DataFrame, wanted, longest: int) -> DataFrame:
@@ -338,35 +420,52 @@ def collocations(
     numbers, texts = encoded.where("id is not null"), encoded.where("ids is not null")
     parts = materialise(numbers.groupBy("shard", "lang").agg(F.sum("n").alias("part")), "parts")
     totals = materialise(parts.groupBy("lang").agg(F.sum("part").alias("n")), "totals")
-    least = F.expr(f"({support} * part + n - 1) div n").alias("least")
-    least = materialise(parts.join(totals, "lang").select("shard", "lang", least), "least")
+    least = parts.join(totals, "lang").withColumn("least", F.expr(f"({support} * part + n - 1) div n"))
+    loose = least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("loose"))  # the most that stands below the support of every shard
+    bits = F.greatest(F.lit(8), F.least(F.lit(40), F.ceil(F.log2(F.lit(ROOM / support) * F.col("n"))).cast("int"))).alias("bits")
+    least = materialise(least.join(loose, "lang").select("shard", "lang", "least", "loose", bits), "least")
     stored = texts.select("shard", "lang", "rid", "ids").join(F.broadcast(least) if least.count() <= 10_000 else least, ["shard", "lang"])
 
-    words = numbers.select("shard", "lang", "key", "n").join(least, ["shard", "lang"])
-    level = _frequent_in_shard(words, "frequent_1")
+    words = numbers.select("shard", "lang", "key", "n").join(least.select("shard", "lang", "least"), ["shard", "lang"])
+    level = frequent_words = _frequent_in_shard(words.select("key", "shard", "least", "n"), "frequent_1")
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
     found = []
     for k in range(2, longest + 1):
-        shorter = _filter(level, filter_bits)
-        level = _frequent_in_shard(_mined(stored, shorter, k), f"frequent_{k}")
+        shorter, crowded = _filter(level.select("key", "shard"), filter_bits), None
+        if LONG_LEVEL * (level.agg(F.sum("n")).first()[0] or 0) > all_words:  # no more phrases of k words than of k - 1
+            buckets = materialise(_crowded(stored, shorter, k), f"crowded_{k}")
+            crowded = _filter(buckets, filter_bits)
+            discard(buckets)
+        level = _frequent_in_shard(_mined(stored, shorter, k, crowded), f"frequent_{k}")
         shorter.unpersist()
+        if crowded:
+            crowded.unpersist()
         found.append(level)
-    candidates = found[0].select("key")
+    known = found[0]
     for level in found[1:]:
-        candidates = candidates.union(level.select("key"))
-    candidates = materialise(candidates.distinct(), "candidates")
-    wanted = _filter(candidates, filter_bits)
-    counts = _counted(texts, wanted, longest).groupBy("key").agg(F.sum("n").alias("a"), F.min("rid").alias("rid"))
+        known = known.union(level)
+    over = [F.sum(F.expr("n - least + 1")).alias("over"), F.min("loose").alias("loose"), F.collect_set("shard").alias("inside")]
+    others = F.explode(F.array_except(F.array(*map(F.lit, range(shards))), "inside")).alias("shard")
+    missing = materialise(known.groupBy("key").agg(*over).where(f"over + loose >= {support}").select("key", others), "missing")
+    wanted = _filter(missing, filter_bits)
+    counts = _counted(texts, wanted, longest).select("key", "shard", "n", F.lit(None).cast("long").alias("whole"), "rid")
+    counts = counts.union(known.select("key", "shard", F.lit(None).cast("long"), "n", "rid")).repartition("key")
+    # What the filter let through in vain has a whole number in its shard, or stands too seldom.
+    counts = counts.groupBy("key", "shard").agg(F.coalesce(F.max("whole"), F.sum("n")).alias("n"), F.min("rid").alias("rid"))
+    counts = counts.groupBy("key").agg(F.sum("n").alias("a"), F.min("rid").alias("rid"))
     counts = materialise(counts.where(F.col("a") >= support), "counts")
     wanted.unpersist()
     wanted = _filter(counts, filter_bits)
     spelled = _spelling(texts, wanted, longest).groupBy("key", "lang").agg(F.first("words").alias("words"))
     phrases = materialise(spelled.join(counts.drop("rid"), "key"), "phrases")
     wanted.unpersist()
-    discard(*found, candidates)
+    discard(*found, missing)
     free_shuffles(docs.sparkSession)
 
-    alone = numbers.groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
+    wanted = _filter(frequent_words.select("key"), filter_bits)
+    alone = _among(numbers, wanted).groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
     known = materialise(alone.union(counts.drop("rid")), "known")
+    wanted.unpersist()
     cuts = materialise(_cuts(phrases), "cuts")
     both = look_up(cuts, known.select(F.col("key").alias("lkey"), F.col("a").alias("l")), "lkey")
     both = look_up(materialise(both, "left"), known.select(F.col("key").alias("rkey"), F.col("a").alias("r")), "rkey")

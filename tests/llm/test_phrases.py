@@ -52,3 +52,35 @@ def test_scores_are_exact_beyond_64_bits(spark):
     rows = [tuple(int(x) for x in (rng.integers(1, 10**12), rng.integers(10**12, 10**15), rng.integers(10**12, 10**14), rng.integers(1, 10**14))) for _ in range(200)]
     df = spark.createDataFrame(rows, "a long, n long, l long, r long").selectExpr("a", "n", "l", "r", f"{text} as score")
     assert all(r.score == 1000 * r.a * r.n // (r.l * r.r) for r in df.collect())
+
+
+def _rows_of_passes(spark):
+    """Rows that the passes over the hashed words made in each execution so far, by the metrics of the plans."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), {}
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        at = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if re.search(r"run\((shard|lang)#.*rid#\w+, ids#\w+\)", node.desc()):
+                for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        out[at, node.id()] = int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return out
+
+
+def test_pairs_that_stand_a_few_times_are_not_shuffled_one_by_one(spark):
+    """Frequent words side by side by chance: before, each pair was a row of each task that held it."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(400):
+        words = [f"w{j}" for j in rng.integers(0, 300, 400)]
+        words[50:53] = ["one", "rare", f"phrase{i % 2}"]
+        texts.append((i, " ".join(words), "en" if i % 4 else "de"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(8, "doc_id")
+    before = _rows_of_passes(spark)
+    found = sorted(map(tuple, phrases.collocations(docs, support=90).collect()))
+    made = sum(n for at, n in _rows_of_passes(spark).items() if at not in before)
+    assert found == expected([(lang, text) for _, text, lang in texts], 90, 2000)
+    assert {"one rare", "one rare phrase1"} <= {r[2] for r in found}
+    assert made <= 160_000 / 10
