@@ -5,11 +5,13 @@ corpus must, in some shard, stand at least SUPPORT times the shard's part of the
 
 1. One pass writes the words as 64-bit hashes, with 0 between pieces, and the number of each word. Input partitions
    form SHARDS shards, whose number does not grow with the corpus, so the local support stays about SUPPORT / SHARDS.
-2. Each shard is mined completely at its local support, level by level: a phrase is counted only where its first and
-   its last words form phrases that are frequent in the shard. A shard is no task: its counts are shuffled by phrase.
+2. Each shard is mined at its local support, level by level: a phrase is counted only where its first and its last
+   words form phrases that are frequent in the shard. A shard is no task: its counts are shuffled by ranges of hashes,
+   those of one task and range packed in one row. Where a range meets, all shards do, so what cannot reach SUPPORT in
+   the corpus goes at once: it stands at most the local support less one times where it is not frequent.
    Most pairs of frequent words stand a few times only, so where a level may be long, its phrases are first counted in
    buckets of their hashes, two bytes and a small count each, as many as grow with the corpus; a phrase whose bucket
-   stays below the local support is not frequent, and is never shuffled by itself.
+   stays below the local support, or cannot reach SUPPORT over all shards, is never shuffled by itself.
 3. A phrase frequent in some shards has its exact numbers there, and stands at most the local support less one times in
    each other shard. Where that can reach SUPPORT it is counted in those other shards, and goes if it stays below. With
    its number a phrase keeps one stored row that holds it, and only that row spells it out.
@@ -52,6 +54,10 @@ TOGETHER = 1 << 21
 ROW = 1 << 16
 #: Buckets of a shard for each of its local support of words, and the bits of a bucket's number that a row of counts spans.
 ROOM, SPAN = 8, 16
+#: Phrases in a range of hashes, about, and the bits of a range's number at least.
+RANGE, LEAST_RANGES = 1 << 12, 4
+#: Counts that a task holds before it passes them on, and distinct words.
+HELD, VOCABULARY = 1 << 20, 1 << 19
 #: A level is counted in buckets first if it may hold more than one in so many of all words.
 LONG_LEVEL = 8
 
@@ -105,6 +111,14 @@ def phrase_keys(ids: np.ndarray, lang: str, longest: int = LONGEST) -> Iterator[
         yield keys
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
 def _in_shard(keys: np.ndarray, shard: int | np.ndarray) -> np.ndarray:
     return keys ^ _mixed(np.atleast_1d(np.asarray(shard, np.uint64)) * STEP + SPREAD)
 
@@ -150,11 +164,8 @@ def _filter(entries: DataFrame, most: int):
 
 
 def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> DataFrame:
-    """Materialised (shard, lang, ids, rid) rows of hashed words, and (shard, lang, id, key, word, n) rows of numbers of words."""
-    schema = pa.schema(
-        [("shard", pa.int32()), ("lang", pa.string()), ("ids", pa.list_(pa.int64())), ("id", pa.int64()), ("key", pa.int64())]
-        + [("word", pa.string()), ("n", pa.int64()), ("rid", pa.int64())]
-    )
+    """Materialised (shard, lang, ids, rid) rows of hashed words, and (shard, lang, word, n) rows of numbers of words."""
+    schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("ids", pa.list_(pa.int64())), ("rid", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 
     def rows(shard: int, lang: str, ids: np.ndarray, rid: int) -> pa.RecordBatch:
         marks = np.flatnonzero(ids == 0)
@@ -162,23 +173,26 @@ def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> Data
         offsets = np.unique(np.concatenate(([0], cuts, [len(ids)]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int64)))
         n = len(lists)
-        arrays = [pa.array([shard] * n, pa.int32()), pa.array([lang] * n), lists]
-        arrays += [pa.nulls(n, schema.field(k).type) for k in range(3, 7)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.arange(rid, rid + n))], schema=schema)
+        arrays = [pa.array([shard] * n, pa.int32()), pa.array([lang] * n), lists, pa.array(np.arange(rid, rid + n))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=schema)
 
-    def numbers(shard: int, lang: str, held: list[np.ndarray], words: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        ids, n = np.unique(np.concatenate(held), return_counts=True)
-        ids, n = ids[ids != 0], n[ids != 0]
+    def numbers(shard: int, lang: str, ids: np.ndarray, n: np.ndarray, words: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(ids), 50_000):
             own, m = ids[start : start + 50_000], n[start : start + 50_000]
             texts = pa.array([words[i] for i in own.tolist()], pa.binary()).cast(pa.string())
             arrays = [pa.array(np.full(len(own), shard, np.int32)), pa.array([lang] * len(own)), pa.nulls(len(own), schema.field(2).type)]
-            arrays += [pa.array(own.view(np.int64)), pa.array(next(phrase_keys(own, lang)).view(np.int64)), texts, pa.array(m)]
-            arrays.append(pa.nulls(len(own), pa.int64()))
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(own), pa.int64()), texts, pa.array(m)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size, shard, made = _Hashes(), defaultdict(list), 0, 0, 0
+        known, held, summed, size, shard, made = _Hashes(), defaultdict(list), {}, 0, 0, 0
+
+        def add() -> None:
+            for lang, ids in held.items():
+                ids, n = np.unique(np.concatenate(ids), return_counts=True)
+                before = summed.get(lang, (ids[:0], n[:0]))
+                summed[lang] = _summed(np.concatenate([before[0], ids[ids != 0]]), np.concatenate([before[1], n[ids != 0]]))
+            held.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -194,21 +208,38 @@ def _encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> Data
                 yield stored
                 held[lang].append(ids)
                 size += len(ids)
-            if size >= TOGETHER:
-                for lang, ids in held.items():
-                    yield from numbers(shard, lang, ids, known.words)
+            if size >= TOGETHER or len(known) >= VOCABULARY:
+                add()
+                size = 0
+            if len(known) >= VOCABULARY:
+                for lang, (ids, n) in summed.items():
+                    yield from numbers(shard, lang, ids, n, known.words)
                 known.clear()
-                held, size = defaultdict(list), 0
-        for lang, ids in held.items():
-            yield from numbers(shard, lang, ids, known.words)
+                summed.clear()
+        add()
+        for lang, (ids, n) in summed.items():
+            yield from numbers(shard, lang, ids, n, known.words)
 
     chosen = docs.select(
         F.spark_partition_id().cast("long").alias("part"),
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
         text_or_empty(F.col(f"`{text_col}`")).alias("text"),
     )
-    kind = "shard int, lang string, ids array<long>, id long, key long, word string, n long, rid long"
-    return materialise(chosen.mapInArrow(run, kind), "encoded")
+    return materialise(chosen.mapInArrow(run, "shard int, lang string, ids array<long>, rid long, word string, n long"), "encoded")
+
+
+def _word_keys(words: DataFrame) -> DataFrame:
+    """(key, lang, a, each) of words (id, lang, a, each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, langs = batch.column("id").to_numpy().view(np.uint64), np.array(batch.column("lang").to_pylist(), object)
+            keys = np.zeros(len(ids), np.uint64)
+            for lang in set(langs.tolist()):
+                keys[langs == lang] = next(phrase_keys(ids[langs == lang], lang))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns[1:]], names=["key", "lang", "a", "each"])
+
+    return words.select("id", "lang", "a", "each").mapInArrow(run, "key long, lang string, a long, each array<long>")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
@@ -245,107 +276,178 @@ def _bucket_keys(buckets: np.ndarray, lang: str) -> np.ndarray:
     return _mixed(buckets ^ _seed(lang)) | np.uint64(1)
 
 
-def _crowded(stored: DataFrame, shorter, k: int) -> DataFrame:
-    """(key, shard): buckets that hold the local support of possible phrases of k words, summed over the tasks of a shard."""
+def _cut(found: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """One binary array per column: its values in rows, a row where `found` goes on with the same number.
+
+    The first bytes of all values of a row come first, then the second: those that are mostly alike compress well.
+    """
+    starts = np.append(np.flatnonzero(np.diff(found, prepend=-1)), len(found))
+    out = []
+    for x in columns:
+        parts = [x[i:j].view(np.uint8).reshape(j - i, -1).T.tobytes() for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        out.append(pa.array(parts, pa.binary()))
+    return out
+
+
+def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """The values of all rows that _cut() made."""
+    width = np.dtype(dtype).itemsize
+    parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(width, -1).T for x in column]
+    return np.ascontiguousarray(np.concatenate(parts)).view(dtype).ravel()
+
+
+def _crowded(stored: DataFrame, shorter, k: int, support: int) -> DataFrame:
+    """(key, shard): buckets that hold the local support of possible phrases of k words, summed over the tasks of a shard.
+
+    Only those that can hold the support over all shards: where a phrase is not possible it is not in the sum, but stands
+    at most the local support less one times.
+    """
+    small = np.uint8 if support < 256 else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shorter.value
-        for (shard, lang, least, bits), ids, _ in _gathered(batches):
+        for (shard, lang, least, loose, bits), ids, _ in _gathered(batches):
             keys, at = _possible(ids, shard, lang, table, k)
             found, n = np.unique(_buckets(keys[at], bits), return_counts=True)
             if not len(found):
                 continue
-            n = np.minimum(n, least).astype(np.uint8 if least < 256 else np.int64)
             part = (found >> np.uint64(SPAN)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            offsets = np.append(starts, len(found))
             low = (found & np.uint64((1 << SPAN) - 1)).astype(np.uint16)
-            packed = [
-                pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((offsets * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
-                for x in (low, n)
-            ]
-            same = [pa.array([v] * len(starts), t) for v, t in ((shard, pa.int32()), (lang, pa.string()), (least, pa.int64()), (bits, pa.int32()))]
-            names = ["shard", "lang", "least", "bits", "part", "low", "n"]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(part[starts]), *packed], names=names)
+            packed = _cut(part, low, np.minimum(n, support).astype(small))
+            same = [pa.array([v] * len(packed[0]), t) for v, t in ((shard, pa.int32()), (lang, pa.string()), (least, pa.int64()), (loose, pa.int64()))]
+            names = ["shard", "lang", "least", "loose", "part", "low", "n"]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(part[np.flatnonzero(np.diff(part, prepend=-1))]), *packed], names=names)
 
     def add(rows: pa.Table) -> pa.Table:
-        shard, lang, least, part = (rows.column(c)[0].as_py() for c in ("shard", "lang", "least", "part"))
-        sums = np.zeros(1 << SPAN, np.int64)
-        for low, n in zip(rows.column("low"), rows.column("n")):
-            sums[np.frombuffer(low.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint8 if least < 256 else np.int64)
-        full = (np.flatnonzero(sums >= least) + (part << SPAN)).astype(np.uint64)
-        keys = pa.array(_bucket_keys(full, lang).view(np.int64))
-        return pa.table({"key": keys, "shard": pa.array(np.full(len(full), shard, np.int32))})
+        lang, loose, part = (rows.column(c)[0].as_py() for c in ("lang", "loose", "part"))
+        least = dict(zip(rows.column("shard").to_pylist(), rows.column("least").to_pylist()))
+        sums = {shard: np.zeros(1 << SPAN, np.int64) for shard in least}
+        for shard, low, n in zip(rows.column("shard").to_pylist(), rows.column("low"), rows.column("n")):
+            sums[shard][_joined([low], np.uint16)] += _joined([n], small)
+        enough = loose + sum(np.maximum(own - least[shard] + 1, 0) for shard, own in sums.items()) >= support
+        keys, shards = [], []
+        for shard, own in sums.items():
+            full = (np.flatnonzero(enough & (own >= least[shard])) + (part << SPAN)).astype(np.uint64)
+            keys.append(_bucket_keys(full, lang).view(np.int64))
+            shards.append(np.full(len(full), shard, np.int32))
+        return pa.table({"key": pa.array(np.concatenate(keys)), "shard": pa.array(np.concatenate(shards))})
+
+    kind = "shard int, lang string, least long, loose long, part long, low binary, n binary"
+    counts = stored.select("shard", "lang", "least", "loose", "bits", "rid", "ids").mapInArrow(run, kind)
+    return counts.groupBy("lang", "part").applyInArrow(add, "key long, shard int")
+
+
+def _range_bits(entries: int) -> int:
+    """So many bits of a hash name its range, of about RANGE of the entries."""
+    return min(32, max(LEAST_RANGES, (entries // RANGE).bit_length()))
+
+
+def _packed(counts: Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Sums counts ((shard, lang, least, loose), keys, n, rids) and packs those of a range in a row, with a row that holds each phrase."""
+
+    def rows(name: tuple, keys: np.ndarray, n: np.ndarray, rids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        packed = _cut(part, keys, n, rids)
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+        arrays = [*(pa.array([v] * len(starts), t) for v, t in zip(name, kinds)), pa.array(part[starts]), *packed]
+        yield pa.RecordBatch.from_arrays(arrays, names=["shard", "lang", "least", "loose", "part", "keys", "n", "rids"])
+
+    held: dict[tuple, list] = {}
+    for name, *own in counts:
+        if name in held:
+            own = [np.concatenate(pair) for pair in zip(held[name], own)]
+            rid = own[2][np.unique(own[0], return_index=True)[1]]
+            own = [*_summed(*own[:2]), rid]
+        held[name] = own
+        if sum(len(x[0]) for x in held.values()) >= HELD:
+            for name, own in held.items():
+                yield from rows(name, *own)
+            held = {}
+    for name, own in held.items():
+        yield from rows(name, *own)
+
+
+PACKED = "shard int, lang string, least long, loose long, part long, keys binary, n binary, rids binary"
+
+
+def _phrases_in(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys at these places, their numbers, and a row that holds each."""
+    found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+    return found, n, rows[np.searchsorted(np.cumsum(rows[:, 1]), at[first], side="right"), 0]
+
+
+def _mined(stored: DataFrame, shorter, k: int, ranges: int, crowded=None) -> DataFrame:
+    """Packed phrases of k words in each task, if the phrases of k - 1 words in them are in the filter.
+
+    With `crowded` only those whose bucket is in that filter.
+    """
 
-    kind = "shard int, lang string, least long, bits int, part long, low binary, n binary"
-    counts = stored.select("shard", "lang", "least", "bits", "rid", "ids").mapInArrow(run, kind)
-    return counts.groupBy("shard", "lang", "part").applyInArrow(add, "key long, shard int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, full = shorter.value, crowded.value if crowded else None
 
+        def counts() -> Iterator[tuple]:
+            for (shard, lang, least, loose, bits), ids, rows in _gathered(batches):
+                keys, at = _possible(ids, shard, lang, table, k)
+                if crowded:
+                    at = at[_holds(full, _in_shard(_bucket_keys(_buckets(keys[at], bits), lang), shard))]
+                yield (shard, lang, least, loose), *_phrases_in(ids, keys, at, rows)
 
-def _mined(stored: DataFrame, shorter, k: int, crowded=None) -> DataFrame:
-    """(key, shard, least, loose, n, rid): phrases of k words in each task, if the phrases of k - 1 words in them are in the filter.
+        yield from _packed(counts(), ranges)
 
-    With `crowded` only those whose bucket is in that filter; rid is a row that holds the phrase.
-    """
-    names = ["key", "shard", "least", "loose", "n", "rid"]
+    return stored.select("shard", "lang", "least", "loose", "bits", "rid", "ids").mapInArrow(run, PACKED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, full = shorter.value, crowded.value if crowded else None
-        for (shard, lang, least, loose, bits), ids, rows in _gathered(batches):
-            keys, at = _possible(ids, shard, lang, table, k)
-            if crowded:
-                at = at[_holds(full, _in_shard(_bucket_keys(_buckets(keys[at], bits), lang), shard))]
-            found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-            rid = rows[np.searchsorted(np.cumsum(rows[:, 1]), at[first], side="right"), 0]
-            for start in range(0, len(found), 100_000):
-                part = slice(start, start + 100_000)
-                own = found[part]
-                arrays = [pa.array(own.view(np.int64)), pa.array(np.full(len(own), shard, np.int32))]
-                arrays += [pa.array(np.full(len(own), x, np.int64)) for x in (least, loose)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(n[part]), pa.array(rid[part])], names=names)
-
-    chosen = stored.select("shard", "lang", "least", "loose", "bits", "rid", "ids")
-    return chosen.mapInArrow(run, "key long, shard int, least long, loose long, n long, rid long")
-
-
-def _frequent_in_shard(counted: DataFrame, name: str) -> DataFrame:
-    """The phrases that reach the local support, with their numbers in the shard."""
-    same = [c for c in counted.columns if c not in ("n", "rid")]
-    sums = [F.sum("n").alias("n"), *([F.min("rid").alias("rid")] if "rid" in counted.columns else [])]
-    out = materialise(counted.groupBy(*same).agg(*sums).where("n >= least"), name)
+
+def _summed_up(packed: DataFrame, support: int, name: str) -> DataFrame:
+    """(key, shard, least, loose, n, rid): phrases that reach the local support, if over all shards they can reach the support."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        of = np.array(rows.column("shard").to_pylist())
+        found = []
+        for shard in np.unique(of).tolist():
+            own = rows.filter(pa.array(of == shard))
+            keys, n, rids = (_joined(own.column(c), t) for c, t in (("keys", np.uint64), ("n", np.int64), ("rids", np.int64)))
+            rids = rids[np.unique(keys, return_index=True)[1]]
+            keys, n = _summed(keys, n)
+            least = own.column("least")[0].as_py()
+            at = n >= least
+            found.append([keys[at], np.full(at.sum(), shard, np.int32), np.full(at.sum(), least), n[at], rids[at]])
+        keys, shards, least, n, rids = map(np.concatenate, zip(*found))
+        loose = rows.column("loose")[0].as_py()
+        single, over = _summed(keys, n - least + 1)
+        at = (over + loose >= support)[np.searchsorted(single, keys)]
+        arrays = [keys.view(np.int64), shards, least, np.full(len(keys), loose), n, rids]
+        return pa.table(dict(zip(("key", "shard", "least", "loose", "n", "rid"), (pa.array(x[at]) for x in arrays))))
+
+    summed = packed.groupBy("lang", "part").applyInArrow(add, "key long, shard int, least long, loose long, n long, rid long")
+    out = materialise(summed, name)
     free_shuffles(out.sparkSession)
     return out
 
 
-def _among(rows: DataFrame, wanted) -> DataFrame:
-    """The rows (key, n) whose key is in the filter."""
+def _counted(stored: DataFrame, wanted, longest: int, ranges: int) -> DataFrame:
+    """(key, shard, n, rid) of all phrases in the filter of keys and shards, rid being a row that holds the phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_holds(wanted.value, batch.column("key").to_numpy().view(np.uint64))))
-
-    return rows.select("key", "n").mapInArrow(run, "key long, n long")
+        table = wanted.value
 
+        def counts() -> Iterator[tuple]:
+            for (shard, lang), ids, rows in _gathered(batches):
+                for keys in islice(phrase_keys(ids, lang, longest), 1, None):
+                    at = np.flatnonzero(keys)
+                    yield (shard, lang, 0, 0), *_phrases_in(ids, keys, at[_holds(table, _in_shard(keys[at], shard))], rows)
 
-def _counted(stored: DataFrame, wanted, longest: int) -> DataFrame:
-    """(key, shard, n, rid) of all phrases in the filter of keys and shards per task, rid being a row that holds the phrase."""
+        yield from _packed(counts(), ranges)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = wanted.value
-        for (shard, lang), ids, rows in _gathered(batches):
-            ends = np.cumsum(rows[:, 1])
-            for keys in islice(phrase_keys(ids, lang, longest), 1, None):
-                at = np.flatnonzero(keys)
-                at = at[_holds(table, _in_shard(keys[at], shard))]
-                found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-                rid = rows[np.searchsorted(ends, at[first], side="right"), 0]
-                for start in range(0, len(found), 100_000):
-                    part = slice(start, start + 100_000)
-                    own = found[part]
-                    arrays = [pa.array(own.view(np.int64)), pa.array(np.full(len(own), shard, np.int32)), pa.array(n[part]), pa.array(rid[part])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "shard", "n", "rid"])
+    def add(rows: pa.Table) -> pa.Table:
+        keys, n, rids = (_joined(rows.column(c), t) for c, t in (("keys", np.uint64), ("n", np.int64), ("rids", np.int64)))
+        rids = rids[np.unique(keys, return_index=True)[1]]
+        keys, n = _summed(keys, n)
+        shard = pa.array(np.full(len(keys), rows.column("shard")[0].as_py(), np.int32))
+        return pa.table({"key": pa.array(keys.view(np.int64)), "shard": shard, "n": pa.array(n), "rid": pa.array(rids)})
 
-    return stored.select("shard", "lang", "rid", "ids").mapInArrow(run, "key long, shard int, n long, rid long")
+    packed = stored.select("shard", "lang", "rid", "ids").mapInArrow(run, PACKED)
+    return packed.groupBy("shard", "lang", "part").applyInArrow(add, "key long, shard int, n long, rid long")
 
 
 def _spelling(stored: DataFrame, wanted, longest: int) -> DataFrame:
@@ -417,7 +519,9 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language."""
     encoded = _encoded(docs, text_col, lang_col, shards)
-    numbers, texts = encoded.where("id is not null"), encoded.where("ids is not null")
+    code = F.xxhash64("word")  # with seed 42, as _Hashes
+    numbers = encoded.where("word is not null").select("shard", "lang", "word", "n", F.when(code == 0, 1).otherwise(code).alias("id"))
+    texts = encoded.where("ids is not null")
     parts = materialise(numbers.groupBy("shard", "lang").agg(F.sum("n").alias("part")), "parts")
     totals = materialise(parts.groupBy("lang").agg(F.sum("part").alias("n")), "totals")
     least = parts.join(totals, "lang").withColumn("least", F.expr(f"({support} * part + n - 1) div n"))
@@ -426,17 +530,21 @@ def collocations(
     least = materialise(least.join(loose, "lang").select("shard", "lang", "least", "loose", bits), "least")
     stored = texts.select("shard", "lang", "rid", "ids").join(F.broadcast(least) if least.count() <= 10_000 else least, ["shard", "lang"])
 
-    words = numbers.select("shard", "lang", "key", "n").join(least.select("shard", "lang", "least"), ["shard", "lang"])
-    level = frequent_words = _frequent_in_shard(words.select("key", "shard", "least", "n"), "frequent_1")
+    each = F.array(*(F.sum(F.when(F.col("shard") == i, F.col("n"))) for i in range(shards))).alias("each")
+    words = numbers.groupBy("lang", "id").agg(F.sum("n").alias("a"), each).where(F.col("a") >= support)
+    words = materialise(_word_keys(words), "words")
+    free_shuffles(docs.sparkSession)
+    inside = words.select("key", "lang", F.posexplode("each").alias("shard", "n")).join(least.select("shard", "lang", "least"), ["shard", "lang"])
+    level = materialise(inside.where("n >= least").select("key", "shard", "n"), "frequent_1")
     all_words = totals.agg(F.sum("n")).first()[0] or 0
     found = []
     for k in range(2, longest + 1):
-        shorter, crowded = _filter(level.select("key", "shard"), filter_bits), None
+        shorter, crowded, entries = _filter(level.select("key", "shard"), filter_bits), None, level.count()
         if LONG_LEVEL * (level.agg(F.sum("n")).first()[0] or 0) > all_words:  # no more phrases of k words than of k - 1
-            buckets = materialise(_crowded(stored, shorter, k), f"crowded_{k}")
-            crowded = _filter(buckets, filter_bits)
+            buckets = materialise(_crowded(stored, shorter, k, support), f"crowded_{k}")
+            crowded, entries = _filter(buckets, filter_bits), buckets.count()
             discard(buckets)
-        level = _frequent_in_shard(_mined(stored, shorter, k, crowded), f"frequent_{k}")
+        level = _summed_up(_mined(stored, shorter, k, _range_bits(entries), crowded), support, f"frequent_{k}")
         shorter.unpersist()
         if crowded:
             crowded.unpersist()
@@ -448,7 +556,7 @@ def collocations(
     others = F.explode(F.array_except(F.array(*map(F.lit, range(shards))), "inside")).alias("shard")
     missing = materialise(known.groupBy("key").agg(*over).where(f"over + loose >= {support}").select("key", others), "missing")
     wanted = _filter(missing, filter_bits)
-    counts = _counted(texts, wanted, longest).select("key", "shard", "n", F.lit(None).cast("long").alias("whole"), "rid")
+    counts = _counted(texts, wanted, longest, _range_bits(missing.count())).select("key", "shard", "n", F.lit(None).cast("long").alias("whole"), "rid")
     counts = counts.union(known.select("key", "shard", F.lit(None).cast("long"), "n", "rid")).repartition("key")
     # What the filter let through in vain has a whole number in its shard, or stands too seldom.
     counts = counts.groupBy("key", "shard").agg(F.coalesce(F.max("whole"), F.sum("n")).alias("n"), F.min("rid").alias("rid"))
@@ -462,10 +570,7 @@ def collocations(
     discard(*found, missing)
     free_shuffles(docs.sparkSession)
 
-    wanted = _filter(frequent_words.select("key"), filter_bits)
-    alone = _among(numbers, wanted).groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
-    known = materialise(alone.union(counts.drop("rid")), "known")
-    wanted.unpersist()
+    known = materialise(words.select("key", "a").union(counts.drop("rid")), "known")
     cuts = materialise(_cuts(phrases), "cuts")
     both = look_up(cuts, known.select(F.col("key").alias("lkey"), F.col("a").alias("l")), "lkey")
     both = look_up(materialise(both, "left"), known.select(F.col("key").alias("rkey"), F.col("a").alias("r")), "rkey")
