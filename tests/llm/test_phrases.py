@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from lengthlab.llm import phrases
 
@@ -84,3 +85,45 @@ def test_pairs_that_stand_a_few_times_are_not_shuffled_one_by_one(spark):
     assert found == expected([(lang, text) for _, text, lang in texts], 90, 2000)
     assert {"one rare", "one rare phrase1"} <= {r[2] for r in found}
     assert made <= 160_000 / 10
+
+
+def test_what_cannot_reach_the_support_goes_with_its_level(spark, monkeypatch):
+    """Before, a pair frequent in one shard was kept and counted elsewhere, whatever its words could reach in the corpus."""
+    shards = [[f"x{i} y{i}" for i in range(20)] * 26 + ["far seen"] * 40 + [f"once{i}" for i in range(120)]]
+    # The words of "far seen" are frequent in the first shard only, but with the other shards it just reaches the support.
+    shards += [[f"x{i} . y{i}" for i in range(20)] * 30 + ["far seen"] * 20 for _ in range(3)]
+    rows = [("en", " . ".join(pieces)) for pieces in shards]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "lang string, text string")
+    stored, materialise = {}, phrases.materialise
+
+    def noted(df, name):
+        out = materialise(df, name)
+        stored[name] = out.columns, out.count()
+        return out
+
+    monkeypatch.setattr(phrases, "materialise", noted)
+    found = sorted(map(tuple, phrases.collocations(docs).collect()))
+    assert found == expected(rows, 100, 2000) and [r[2:4] for r in found] == [("far seen", 100)]
+    assert stored["frequent_2"][1] == 1
+    assert not {"id", "key"} & set(stored["encoded"][0])  # a word's hash follows from the word
+
+
+def test_packed_counts_are_those_put_in(monkeypatch):
+    rng = np.random.default_rng(3)
+    for held in (1, 500, 1 << 20):
+        monkeypatch.setattr(phrases, "HELD", held)
+        wanted, put = Counter(), []
+        for _ in range(12):
+            name = (int(rng.integers(2)), "en", 3, 6)
+            keys, n = np.unique(rng.integers(0, 300, 400).astype(np.uint64) << np.uint64(55), return_counts=True)
+            put.append((name, keys, n, np.arange(len(keys)) + (7 << 32)))
+            for key, m in zip(keys.tolist(), n.tolist()):
+                wanted[name[0], key] += m
+        found = Counter()
+        for batch in phrases._packed(iter(put), 4):
+            for row in batch.to_pylist():
+                keys, n, rids = (phrases._joined(pa.chunked_array([[row[c]]], pa.binary()), t) for c, t in (("keys", np.uint64), ("n", np.int64), ("rids", np.int64)))
+                assert set((keys >> np.uint64(60)).tolist()) == {row["part"]} and (rids >> 32 == 7).all()
+                for key, m in zip(keys.tolist(), n.tolist()):
+                    found[row["shard"], key] += m
+        assert found == wanted
